@@ -40,15 +40,20 @@ def explode_variables(functions: DataFrame, key: str = "file_key") -> DataFrame:
                       F.col("v.allocation_space_offset").alias("old_allocation_space_offset"))
 
 
-def _scan(asm: Column) -> Column:
-    """Procedures of one listing, first occurrence per lower-case name."""
+def _scan_sorted(asm: Column) -> Column:
+    """Procedures of one listing as ``(lname, pos, body)`` sorted by name, position."""
     names = F.regexp_extract_all(asm, F.lit(PROC_SCAN), 1)
     bodies = F.regexp_extract_all(asm, F.lit(PROC_SCAN), 2)
     zipped = F.arrays_zip(names.alias("name"), bodies.alias("body"))
     keyed = F.transform(zipped, lambda x, i: F.struct(F.lower(x["name"]).alias("lname"),
                                                       i.alias("pos"), x["body"].alias("body")))
-    ordered = F.array_sort(keyed)
-    return F.filter(ordered, lambda x, i: (i == 0) | (F.element_at(ordered, i)["lname"] != x["lname"]))
+    return F.array_sort(keyed)
+
+
+def _first_per_name(sorted_col: Column) -> Column:
+    """Keep the first occurrence of each name.  ``sorted_col`` must be a
+    materialised column (it is referenced inside the lambda)."""
+    return F.filter(sorted_col, lambda x, i: (i == 0) | (F.element_at(sorted_col, i)["lname"] != x["lname"]))
 
 
 def proc_pattern(name: Column) -> Column:
@@ -60,7 +65,8 @@ def proc_pattern(name: Column) -> Column:
 def split_procs(files: DataFrame, key: str = "file_key", asm: str = "assembly_code") -> DataFrame:
     """C2 (scan): every procedure of every listing: ``key, lname, proc_pos, body``."""
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
-    out = src.select(key, F.explode(_scan(F.col(asm))).alias("p"))
+    out = src.select(key, _scan_sorted(F.col(asm)).alias("_sorted")) \
+        .select(key, F.explode(_first_per_name(F.col("_sorted"))).alias("p"))
     return out.select(key, F.col("p.lname").alias("lname"), F.col("p.pos").cast("bigint").alias("proc_pos"),
                       F.col("p.body").alias("body"))
 
@@ -81,7 +87,8 @@ def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembl
     """
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
     procs = F.col("_procs")
-    with_scan = src.select(key, asm, "label", _scan(F.col(asm)).alias("_procs"))
+    with_scan = src.select(key, asm, "label", _scan_sorted(F.col(asm)).alias("_sorted")) \
+        .select(key, asm, "label", _first_per_name(F.col("_sorted")).alias("_procs"))
     lnames = F.transform(procs, lambda p: p["lname"])
 
     def slow(f):

@@ -1,9 +1,10 @@
 """Frame allocation of a procedure (D1-D3) and the index of the allocating
 instruction (D17).
 
-Only the first 40 lines of a body can hold the allocation, so the work is a
-row-local array expression over ``slice(split(body), 1, 40)``: no explode,
-no shuffle, bounded per procedure.
+Computed from the per-line table (``locations.classified_lines``), which is
+already hash-partitioned by procedure: per-line matches are plain codegen'd
+projections limited to the first 40 lines, and one ``groupBy`` per procedure
+(no exchange) folds them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from framewright.functions.patterns import (
     ALLOC_LINE,
     ALLOC_WINDOW_LINES,
-    LIVE_MARKER,
     PUSH_BYTES,
     PUSH_REG,
     PUSH_STOP,
@@ -23,56 +23,54 @@ from framewright.functions.patterns import (
 from framewright.functions.text import py_strip
 
 
-def _size_value(v: Column) -> Column:
+def size_value(v: Column) -> Column:
+    """Allocation size text -> bytes: ``12`` decimal, ``0ffch`` hexadecimal."""
     v = F.lower(v)
     hex_digits = F.regexp_replace(v, "h$", "")
     return F.when(v.endswith("h"), F.conv(hex_digits, 16, 10).cast("bigint")) \
         .otherwise(F.when(v.rlike("^[0-9]+$"), v.try_cast("bigint")))
 
 
-def _code_part(line: Column) -> Column:
-    return py_strip(F.element_at(F.split(line, ";"), 1))
-
-
-def frame_columns(body: Column) -> dict[str, Column]:
-    """Column expressions for one procedure body (raw, as cut by C2)."""
-    window = F.slice(F.split(body, "\n"), 1, ALLOC_WINDOW_LINES)
-    # pass 1: explicit add/sub esp, every match in the window, summed
-    hits = F.filter(
-        F.transform(window, lambda l: F.struct(
-            F.regexp_extract(_code_part(l), ALLOC_LINE, 1).alias("i"),
-            F.regexp_extract(_code_part(l), ALLOC_LINE, 2).alias("a"),
-            F.regexp_extract(_code_part(l), ALLOC_LINE, 3).alias("b"))),
-        lambda h: h["i"] != "")
-    explicit_text = F.array_join(F.transform(hits, lambda h: py_strip(h["i"])), " | ")
-    explicit_size = F.aggregate(
-        hits, F.lit(0).cast("bigint"),
-        lambda acc, h: acc + F.coalesce(_size_value(F.when(h["a"] != "", h["a"]).otherwise(h["b"])), F.lit(0)))
-    # pass 2: register pushes before the first call/jmp of the first 15 lines
-    head = F.slice(window, 1, PUSH_WINDOW_LINES)
-    stop = F.array_position(F.transform(head, lambda l: l.rlike(PUSH_STOP)), True)
-    before = F.when(stop == 0, head).otherwise(F.slice(head, 1, F.greatest(stop - 1, F.lit(0))))
-    pushes = F.size(F.filter(before, lambda l: l.rlike(PUSH_REG)))
-    has_explicit = F.size(hits) > 0
-    text = F.when(has_explicit, explicit_text) \
-        .when(pushes > 0, F.concat(F.lit("push reg (x"), pushes.cast("string"), F.lit(")")))
-    size = F.when(has_explicit, explicit_size).otherwise((pushes * PUSH_BYTES).cast("bigint"))
-    size = F.when(size > 0, size)
-    # 1-based position among code lines (blank and comment lines skipped)
-    code = F.filter(window, lambda l: (py_strip(l) != "") & ~py_strip(l).startswith(";")
-                    & ~py_strip(l).rlike(LIVE_MARKER))
-    explicit_idx = F.array_position(F.transform(code, lambda l: _code_part(l).rlike(ALLOC_LINE)), True)
-    push_idx = F.array_position(F.transform(code, lambda l: l.rlike(PUSH_REG)), True)
-    idx = F.when(has_explicit, explicit_idx).when(pushes > 0, push_idx)
+def frame_line_columns(raw: Column, line_no: Column) -> dict[str, Column]:
+    """Per-line facts for the frame rules (null outside their windows)."""
+    in_alloc = line_no < ALLOC_WINDOW_LINES
+    in_push = line_no < PUSH_WINDOW_LINES
+    code_part = py_strip(F.element_at(F.split(raw, ";"), 1))
+    inst = F.regexp_extract(code_part, ALLOC_LINE, 1)
+    neg = F.regexp_extract(code_part, ALLOC_LINE, 2)
+    pos = F.regexp_extract(code_part, ALLOC_LINE, 3)
+    hit = in_alloc & (inst != "")
     return {
-        "stack_allocation_instruction": text,
-        "stack_allocation_size_bytes": size,
-        "alloc_index": F.when(idx > 0, idx.cast("bigint")),
+        "alloc_inst": F.when(hit, inst),
+        "alloc_bytes": F.when(hit, size_value(F.when(neg != "", neg).otherwise(pos))),
+        "push_hit": in_push & raw.rlike(PUSH_REG),
+        "push_stop": in_push & raw.rlike(PUSH_STOP),
     }
 
 
-def proc_frames(bodies: DataFrame, key: str = "file_key") -> DataFrame:
+def frames_from_lines(lines: DataFrame, key: str = "file_key") -> DataFrame:
     """D1-D3 + D17 per procedure: ``key, lname, stack_allocation_instruction,
-    stack_allocation_size_bytes, alloc_index``."""
-    cols = frame_columns(F.col("body"))
-    return bodies.select(key, "lname", *[c.alias(n) for n, c in cols.items()])
+    stack_allocation_size_bytes, alloc_index``.
+
+    ``lines`` needs ``line_no, alloc_inst, alloc_bytes, push_hit, push_stop,
+    code_rank`` (see ``locations.classified_lines``)."""
+    head = lines.filter(F.col("line_no") < ALLOC_WINDOW_LINES)
+    agg = head.groupBy(key, "lname").agg(
+        F.array_sort(F.collect_list(F.when(F.col("alloc_inst").isNotNull(),
+                                           F.struct("line_no", "alloc_inst")))).alias("hits"),
+        F.sum(F.coalesce("alloc_bytes", F.lit(0))).alias("explicit_size"),
+        F.min(F.when(F.col("alloc_inst").isNotNull(), F.col("code_rank"))).alias("explicit_idx"),
+        F.min(F.when(F.col("push_stop"), F.col("line_no"))).alias("stop_line"),
+        F.collect_list(F.when(F.col("push_hit"), F.struct("line_no", "code_rank"))).alias("pushes"))
+    has_explicit = F.size("hits") > 0
+    stop = F.coalesce(F.col("stop_line"), F.lit(PUSH_WINDOW_LINES))
+    pushes = F.filter("pushes", lambda p: p["line_no"] < stop)
+    n_push = F.size(pushes)
+    text = F.when(has_explicit, F.array_join(F.transform("hits", lambda h: h["alloc_inst"]), " | ")) \
+        .when(n_push > 0, F.concat(F.lit("push reg (x"), n_push.cast("string"), F.lit(")")))
+    size = F.when(has_explicit, F.col("explicit_size")).otherwise((n_push * PUSH_BYTES).cast("bigint"))
+    idx = F.when(has_explicit, F.col("explicit_idx")) \
+        .when(n_push > 0, F.array_min(F.transform(pushes, lambda p: p["code_rank"])))
+    return agg.select(key, "lname", text.alias("stack_allocation_instruction"),
+                      F.when(size > 0, size).cast("bigint").alias("stack_allocation_size_bytes"),
+                      idx.cast("bigint").alias("alloc_index"))

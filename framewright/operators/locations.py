@@ -36,7 +36,7 @@ from framewright.functions.patterns import (
 )
 from framewright.functions.text import parse_offset, py_strip
 from framewright.operators.extract import function_bodies, explode_variables
-from framewright.operators.frames import proc_frames
+from framewright.operators.frames import frame_line_columns, frames_from_lines
 
 
 def format_reference(offset: Column) -> Column:
@@ -46,16 +46,20 @@ def format_reference(offset: Column) -> Column:
 
 
 def classified_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
-    """Non-blank lines with ``is_comment`` and ``block_id``."""
+    """Non-blank lines with ``is_comment``, ``block_id``, ``code_rank``
+    (1-based position among code lines) and the per-line frame facts."""
     lines = bodies.select(key, "lname", F.posexplode(F.split("body", "\n")).alias("line_no", "raw"))
-    lines = lines.select(key, "lname", F.col("line_no").cast("bigint").alias("line_no"),
+    lines = lines.select(key, "lname", F.col("line_no").cast("bigint").alias("line_no"), "raw",
                          py_strip(F.col("raw")).alias("text"))
     lines = lines.filter(F.col("text") != "")
     lines = lines.withColumn("is_comment", F.col("text").startswith(";") | F.col("text").rlike(LIVE_MARKER))
+    lines = lines.select("*", *[c.alias(n) for n, c in
+                                frame_line_columns(F.col("raw"), F.col("line_no")).items()]).drop("raw")
     w = Window.partitionBy(key, "lname").orderBy("line_no")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens = F.col("is_comment") & ~F.coalesce(F.lag("is_comment").over(w), F.lit(True))
-    return lines.withColumn("block_id", F.sum(opens.cast("bigint")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return lines.withColumn("block_id", F.sum(opens.cast("bigint")).over(run)) \
+        .withColumn("code_rank", F.sum((~F.col("is_comment")).cast("bigint")).over(run))
 
 
 def block_offsets(lines: DataFrame, key: str = "file_key") -> DataFrame:
@@ -128,7 +132,7 @@ class LabelRun:
         self.variables = explode_variables(self.functions, key).join(
             self.functions.select(key, "fn_ord", "lname"), [key, "fn_ord"])
         self.lines = block_offsets(classified_lines(self.bodies, key), key)
-        self.frames = proc_frames(self.bodies, key)
+        self.frames = frames_from_lines(self.lines, key)
 
     # D6
     def registers(self) -> DataFrame:

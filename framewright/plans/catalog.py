@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators.locations import LabelRun
-from framewright.plans.fixture_corpus import fixture_files
+from framewright.plans.fixture_corpus import corpus_files
 from framewright.session import apply_semantic_conf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def query(name: str):
 
 def _run(spark: SparkSession, sf_dir: str, stale: bool = False) -> LabelRun:
     apply_semantic_conf(spark)
-    return LabelRun(fixture_files(spark, sf_dir, stale_labels=stale))
+    return LabelRun(corpus_files(spark, sf_dir, stale_labels=stale))
 
 
 @query("stack_allocation")

@@ -139,3 +139,21 @@ def fixture_files(spark: SparkSession, sf_dir: str, stale_labels: bool = False)
         F.array_join(F.transform("fs", lambda x: x["fn_asm"]), "\n").alias("assembly_code"),
         F.struct(F.transform("fs", lambda x: x["fn_label"]).alias("functions")).alias("label"),
     )
+
+
+_MEMO: dict = {}
+
+
+def corpus_files(spark: SparkSession, sf_dir: str, stale_labels: bool = False) -> DataFrame:
+    """The fixture files, materialised once per session.
+
+    The corpus is an input table: it is written once with a reliable
+    checkpoint (into the session's ``spark.checkpoint.dir``) and every query
+    of the session reads that copy instead of rebuilding the text.
+    """
+    from framewright.session import cut_lineage
+
+    key = (id(spark), sf_dir, stale_labels)
+    if key not in _MEMO:
+        _MEMO[key] = cut_lineage(fixture_files(spark, sf_dir, stale_labels))
+    return _MEMO[key]
