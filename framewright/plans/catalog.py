@@ -85,3 +85,143 @@ def q_resolve_offsets(spark, sf_dir):
     names = run.variables.select("file_key", "lname", "function_name", "variable_name")
     return res.join(names, ["file_key", "lname", "variable_name"]).select(
         "file_key", "function_name", "variable_name", "offset")
+
+
+# --- C / E / G: extraction, sanitizing, formatting ---------------------------
+
+from framewright.operators import chat as G  # noqa: E402
+from framewright.operators.extract import c_functions, listing_lines  # noqa: E402
+from framewright.operators.sanitize import sanitize_dataset, strip_debug  # noqa: E402
+from framewright.functions.patterns import DECL_COMMENT  # noqa: E402
+
+
+def _fn_names(run: LabelRun) -> DataFrame:
+    return run.functions.select("file_key", "lname", "function_name")
+
+
+@query("extract_proc")
+def q_extract_proc(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return run.bodies.join(_fn_names(run), ["file_key", "lname"]).select(
+        "file_key", "function_name", F.md5("body").alias("body_md5"))
+
+
+@query("listing_lines")
+def q_listing_lines(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    lines = listing_lines(run.bodies)
+    agg = lines.groupBy("file_key", "lname").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_lines"))
+    code = run.lines.groupBy("file_key", "lname").agg(
+        F.count_if(~F.col("is_comment")).cast("bigint").alias("n_code_lines"))
+    return agg.join(code, ["file_key", "lname"]).join(_fn_names(run), ["file_key", "lname"]).select(
+        "file_key", "function_name", "n_lines", "n_code_lines")
+
+
+@query("segment_blocks")
+def q_segment_blocks(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    agg = run.lines.groupBy("file_key", "lname").agg(
+        (F.max("block_id") + 1).cast("bigint").alias("n_blocks"),
+        F.count_if("is_comment").cast("bigint").alias("n_comment_lines"))
+    return agg.join(_fn_names(run), ["file_key", "lname"]).select(
+        "file_key", "function_name", "n_blocks", "n_comment_lines")
+
+
+@query("active_comments")
+def q_active_comments(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    agg = run.lines.groupBy("file_key", "lname").agg(
+        F.count_if(F.col("is_comment") & ~F.col("text").rlike(DECL_COMMENT)).cast("bigint").alias("n_active_comments"))
+    return agg.join(_fn_names(run), ["file_key", "lname"]).select("file_key", "function_name", "n_active_comments")
+
+
+@query("var_block_mentions")
+def q_var_block_mentions(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return run.mentions().join(_fn_names(run), ["file_key", "lname"]).select(
+        "file_key", "function_name", "variable_name", "block_id")
+
+
+def _block_facts(run: LabelRun) -> DataFrame:
+    return run.lines.groupBy("file_key", "lname", "block_id").agg(
+        F.first("block_write_off").alias("write_offset"), F.first("block_any_off").alias("any_offset"))
+
+
+@query("block_write_offset")
+def q_block_write_offset(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return _block_facts(run).filter(F.col("write_offset").isNotNull()).join(_fn_names(run), ["file_key", "lname"]) \
+        .select("file_key", "function_name", "block_id", "write_offset")
+
+
+@query("block_any_offset")
+def q_block_any_offset(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return _block_facts(run).filter(F.col("any_offset").isNotNull()).join(_fn_names(run), ["file_key", "lname"]) \
+        .select("file_key", "function_name", "block_id", "any_offset")
+
+
+@query("strip_debug")
+def q_strip_debug(spark, sf_dir):
+    files = corpus_files(spark, sf_dir)
+    s = files.select("file_key", strip_debug(F.col("assembly_code")).alias("a"))
+    return s.select("file_key", F.md5("a").alias("sanitized_md5"),
+                    F.size(F.split("a", "\n")).cast("bigint").alias("sanitized_lines"))
+
+
+@query("sanitize_dataset")
+def q_sanitize_dataset(spark, sf_dir):
+    files = sanitize_dataset(corpus_files(spark, sf_dir))
+    return files.select("file_key", F.md5("assembly_code").alias("sanitized_md5"),
+                        F.size(F.split("assembly_code", "\n")).cast("bigint").alias("sanitized_lines"))
+
+
+@query("extract_c_function")
+def q_extract_c_function(spark, sf_dir):
+    c = c_functions(corpus_files(spark, sf_dir))
+    return c.select("file_key", "function_name", F.md5("c_function").alias("c_md5"),
+                    F.length("c_function").cast("bigint").alias("c_chars"))
+
+
+@query("variable_registry")
+def q_variable_registry(spark, sf_dir):
+    fns = _run(spark, sf_dir).functions
+    reg = G.variable_registry(F.col("fn.variable_mapping"))
+    return fns.select("file_key", "function_name",
+                      F.array_join(F.transform(reg, lambda r: r["name"]), ",").alias("registry_names"),
+                      F.aggregate(reg, F.lit(0).cast("bigint"), lambda a, r: a + r["size_bytes"]).alias("registry_bytes"))
+
+
+def labelled_sanitized_files(spark, sf_dir) -> DataFrame:
+    """The training-set path: label, write labels back, sanitize."""
+    files = corpus_files(spark, sf_dir)
+    run = LabelRun(files)
+    return sanitize_dataset(run.updated_files(files))
+
+
+@query("build_target")
+def q_build_target(spark, sf_dir):
+    files = labelled_sanitized_files(spark, sf_dir)
+    fns = files.select("file_key", F.explode("label.functions").alias("fn"))
+    return fns.select("file_key", F.col("fn.function_name").alias("function_name"),
+                      G.build_target(F.col("fn")).alias("target"))
+
+
+@query("render_prompt")
+def q_render_prompt(spark, sf_dir):
+    f = G.format_functions(labelled_sanitized_files(spark, sf_dir))
+    return f.select("file_key", "function_name", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("bigint").alias("prompt_chars"))
+
+
+@query("chat_examples")
+def q_chat_examples(spark, sf_dir):
+    ex = G.chat_examples(labelled_sanitized_files(spark, sf_dir))
+    return ex.select("file_key", "function_name", F.md5(F.col("messages")[0]["content"]).alias("prompt_md5"),
+                     F.col("messages")[1]["content"].alias("target"))
+
+
+@query("format_report")
+def q_format_report(spark, sf_dir):
+    return G.format_report(labelled_sanitized_files(spark, sf_dir))

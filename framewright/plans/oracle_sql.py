@@ -107,3 +107,188 @@ ORACLES["resolve_offsets"] = corpus("""
 SELECT file_key, 'fn_' || k AS function_name, variable_name, allocation_space_offset AS offset
 FROM loc WHERE kind IN (2, 3, 4)
 """)
+
+
+# --- text of the corpus, rebuilt in DuckDB from the same rule ---------------
+# (the oracle never parses text: it re-creates each line with its ord and
+# knows from the rule which lines a stage keeps)
+
+def _op(m: str) -> str:
+    return "chr(9) || '" + m.ljust(10) + "'"
+
+
+LINES_CTE = f"""
+fl AS (
+  SELECT k, -100 AS ord, '_fn_' || k || chr(9) || 'proc' || chr(9) || 'near' AS line, 'code' AS cls FROM f
+  UNION ALL SELECT k, -99, ' ;' || chr(9) || 'void fn_' || k || '() {{', 'comment' FROM f
+  UNION ALL SELECT k, -98, {_op('push')} || 'ebp', 'code' FROM f
+  UNION ALL SELECT k, -97, {_op('mov')} || 'ebp,esp', 'code' FROM f
+  UNION ALL SELECT k, -96, CASE WHEN mx >= 3 AND k % 7 = 0 THEN {_op('add')} || 'esp,-0ffch'
+                                WHEN mx < 3 THEN {_op('push')} || 'ecx' END, 'code' FROM f
+  UNION ALL SELECT k, -95, CASE WHEN mx >= 3 THEN
+        (CASE WHEN k % 5 = 1 THEN {_op('sub')} || 'esp,' || (4 * mx) ELSE {_op('add')} || 'esp,-' || (4 * mx) END)
+        || CASE WHEN k % 3 = 0 THEN ' ; locals' ELSE '' END
+      WHEN mx = 2 THEN {_op('push')} || 'ecx' END, 'code' FROM f
+  UNION ALL SELECT k, -40, {_op('mov')} || 'dword ptr [ebp-77],0', 'code' FROM f
+  UNION ALL SELECT k, 9000, {_op('pop')} || 'ebp', 'code' FROM f
+  UNION ALL SELECT k, 9001, chr(9) || 'ret', 'code' FROM f
+  UNION ALL SELECT k, 9002, '?debug L ' || k, 'debug' FROM f
+  UNION ALL SELECT k, 9003, '_fn_' || k || chr(9) || 'endp', 'code' FROM f
+  UNION ALL SELECT k, -50 + ln, ' ;' || chr(9) || '    int ' || variable_name || ';', 'comment' FROM vf
+  UNION ALL SELECT k, 10 * ln, '?live1@' || (16 * ln) || ': ; '
+        || CASE ln % 3 WHEN 0 THEN 'EBX' WHEN 1 THEN 'ESI' ELSE 'EDI' END || ' = ' || variable_name, 'live'
+      FROM vf WHERE kind = 0
+  UNION ALL SELECT k, 10 * ln + 1, {_op('mov')} || CASE ln % 3 WHEN 0 THEN 'ebx' WHEN 1 THEN 'esi' ELSE 'edi' END || ',1',
+      'code' FROM vf WHERE kind = 0
+  UNION ALL SELECT k, 10 * ln, ' ;' || chr(9) || '    sink(&' || variable_name || ');', 'comment' FROM vf WHERE kind = 2
+  UNION ALL SELECT k, 10 * ln + 1, {_op('lea')} || 'eax,[ebp-' || (4 * ln) || ']', 'code' FROM vf WHERE kind = 2
+  UNION ALL SELECT k, 10 * ln + 2, {_op('call')} || '_sink', 'code' FROM vf WHERE kind = 2
+  UNION ALL SELECT k, 10 * ln, ' ;' || chr(9) || '    ' || variable_name || ' = 7;', 'comment' FROM vf WHERE kind = 3
+  UNION ALL SELECT k, 10 * ln + 1, {_op('mov')} || 'dword ptr [ebp-' || (4 * ln) || '],7', 'code' FROM vf WHERE kind = 3
+  UNION ALL SELECT k, 10 * ln, ' ;' || chr(9) || '    ' || variable_name || ' = f(&' || variable_name || ');', 'comment'
+      FROM vf WHERE kind = 4
+  UNION ALL SELECT k, 10 * ln + 1, {_op('lea')} || 'eax,[ebp-99]', 'code' FROM vf WHERE kind = 4
+  UNION ALL SELECT k, 10 * ln + 2, {_op('mov')} || '[ebp - '
+        || CASE WHEN substr(lower(hex(4 * ln)), 1, 1) BETWEEN 'a' AND 'f' THEN '0' ELSE '' END
+        || lower(hex(4 * ln)) || 'h],eax', 'code' FROM vf WHERE kind = 4
+),
+lines AS (
+  SELECT fl.k, ord, line, cls, f.file_key, f.file_no FROM fl JOIN f USING (k) WHERE line IS NOT NULL
+),
+clean AS (  -- E1 applied line by line: comment/live/debug lines dropped, inline comment cut
+  SELECT k, ord, file_key, file_no, rtrim(split_part(line, ';', 1), ' ' || chr(9)) AS line
+  FROM lines WHERE cls = 'code'
+),
+regs AS (
+  SELECT k, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "name": "' || variable_name || '",' || chr(10)
+         || '    "size_bytes": 4' || chr(10) || '  }}', ',' || chr(10) ORDER BY var_ord) || chr(10) || ']' AS registry
+  FROM (SELECT k, var_ord, variable_name FROM vf UNION ALL SELECT k, nv, 'ptr_' || k FROM f WHERE k % 4 = 0)
+  GROUP BY k
+),
+cfn AS (
+  SELECT k, 'fn_' || k || '() {{' || chr(10) || string_agg('    int ' || variable_name || ';' || chr(10)
+         || '    if (' || variable_name || ' > -1) {{' || chr(10) || '        sink((void*)&' || variable_name || ');'
+         || chr(10) || '    }}', chr(10) ORDER BY ln) || chr(10) || '}}' AS c_function
+  FROM vf GROUP BY k
+),
+afn AS (
+  SELECT k, substr(string_agg(line, chr(10) ORDER BY ord), 2) AS asm_function
+  FROM clean WHERE ord BETWEEN -99 AND 9002 GROUP BY k
+),
+tgt AS (
+  SELECT ff.k, '{{"stack_allocation_instruction":"' || ff.alloc_text || '","stack_allocation_size_bytes":'
+         || ff.alloc_size || ',"variable_mappings":[' || string_agg('{{"variable_name":"' || loc.variable_name
+         || '","assembly_reference":' || coalesce('"' || loc.assembly_reference || '"', 'null')
+         || ',"allocation_space_offset":' || coalesce(CAST(loc.allocation_space_offset AS VARCHAR), 'null') || '}}',
+         ',' ORDER BY loc.var_ord) || ']}}' AS target,
+         ff.alloc_size
+  FROM ff JOIN loc ON loc.k = ff.k GROUP BY ff.k, ff.alloc_text, ff.alloc_size
+)
+"""
+
+
+def text_corpus(sql: str) -> str:
+    return "WITH " + CORPUS_CTE + "," + LINES_CTE + sql
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def prompt_sql(registry: str, c_source: str, asm_source: str) -> str:
+    from framewright.functions.patterns import PROMPT_TEMPLATE
+    head, rest = PROMPT_TEMPLATE.split("{registry}")
+    mid1, rest = rest.split("{c_source}")
+    mid2, tail = rest.split("{asm_source}")
+    tail = tail.replace("{{", "{").replace("}}", "}").rstrip()
+    return (f"({_sql_lit(head)} || {registry} || {_sql_lit(mid1)} || {c_source} || {_sql_lit(mid2)} || "
+            f"{asm_source} || {_sql_lit(tail)})")
+
+
+ORACLES["strip_debug"] = text_corpus("""
+SELECT file_key, md5(string_agg(line, chr(10) ORDER BY k, ord)) AS sanitized_md5,
+       CAST(count(*) AS BIGINT) AS sanitized_lines
+FROM clean GROUP BY file_key
+""")
+
+ORACLES["listing_lines"] = text_corpus("""
+SELECT file_key, 'fn_' || k AS function_name,
+       CAST(count(*) FILTER (WHERE ord BETWEEN -99 AND 9002) + 2 AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE ord BETWEEN -99 AND 9002 AND cls IN ('code', 'debug')) AS BIGINT) AS n_code_lines
+FROM lines GROUP BY file_key, k
+""")
+
+ORACLES["extract_proc"] = text_corpus("""
+SELECT file_key, 'fn_' || k AS function_name,
+       md5(chr(10) || string_agg(line, chr(10) ORDER BY ord) || chr(10)) AS body_md5
+FROM lines WHERE ord BETWEEN -99 AND 9002 GROUP BY file_key, k
+""")
+
+ORACLES["extract_c_function"] = text_corpus("""
+SELECT f.file_key, 'fn_' || f.k AS function_name, md5(c_function) AS c_md5, CAST(length(c_function) AS BIGINT) AS c_chars
+FROM f JOIN cfn USING (k)
+""")
+
+ORACLES["segment_blocks"] = corpus("""
+SELECT file_key, function_name, CAST(2 + n_live AS BIGINT) AS n_blocks,
+       CAST(1 + nv + n_live AS BIGINT) AS n_comment_lines
+FROM ff
+""")
+
+ORACLES["active_comments"] = corpus("""
+SELECT file_key, function_name, CAST(1 + n_live AS BIGINT) AS n_active_comments FROM ff
+""")
+
+ORACLES["var_block_mentions"] = corpus("""
+SELECT file_key, 'fn_' || k AS function_name, variable_name,
+       CAST(1 + row_number() OVER (PARTITION BY k ORDER BY ln) AS BIGINT) AS block_id
+FROM vf WHERE kind <> 1
+""")
+
+ORACLES["block_write_offset"] = corpus("""
+SELECT file_key, function_name, CAST(1 AS BIGINT) AS block_id, CAST(-77 AS BIGINT) AS write_offset FROM ff
+UNION ALL
+SELECT file_key, 'fn_' || k, CAST(bid AS BIGINT), CAST(-4 * ln AS BIGINT)
+FROM (SELECT *, 1 + row_number() OVER (PARTITION BY k ORDER BY ln) AS bid FROM vf WHERE kind <> 1)
+WHERE kind IN (3, 4)
+""")
+
+ORACLES["block_any_offset"] = corpus("""
+SELECT file_key, function_name, CAST(1 AS BIGINT) AS block_id, CAST(-77 AS BIGINT) AS any_offset FROM ff
+UNION ALL
+SELECT file_key, 'fn_' || k, CAST(bid AS BIGINT),
+       CASE kind WHEN 4 THEN CAST(-99 AS BIGINT) ELSE CAST(-4 * ln AS BIGINT) END
+FROM (SELECT *, 1 + row_number() OVER (PARTITION BY k ORDER BY ln) AS bid FROM vf WHERE kind <> 1)
+WHERE kind IN (2, 3, 4)
+""")
+
+ORACLES["build_target"] = text_corpus("""
+SELECT f.file_key, 'fn_' || f.k AS function_name, tgt.target FROM f JOIN tgt USING (k)
+""")
+
+ORACLES["render_prompt"] = text_corpus(f"""
+SELECT file_key, function_name, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars
+FROM (SELECT f.file_key, 'fn_' || f.k AS function_name,
+             {prompt_sql('regs.registry', 'cfn.c_function', 'afn.asm_function')} AS prompt
+      FROM f JOIN regs USING (k) JOIN cfn USING (k) JOIN afn USING (k))
+""")
+
+ORACLES["chat_examples"] = text_corpus(f"""
+SELECT file_key, function_name, md5(prompt) AS prompt_md5, target
+FROM (SELECT f.file_key, 'fn_' || f.k AS function_name, tgt.target,
+             {prompt_sql('regs.registry', 'cfn.c_function', 'afn.asm_function')} AS prompt
+      FROM f JOIN regs USING (k) JOIN cfn USING (k) JOIN afn USING (k) JOIN tgt USING (k))
+""")
+
+ORACLES["format_report"] = corpus("""
+SELECT CAST(count(*) AS BIGINT) AS formatted, CAST(0 AS BIGINT) AS skipped FROM ff
+""")
+
+ORACLES["variable_registry"] = corpus("""
+SELECT file_key, 'fn_' || k AS function_name,
+       string_agg(variable_name, ',' ORDER BY var_ord) AS registry_names,
+       CAST(4 * count(*) AS BIGINT) AS registry_bytes
+FROM (SELECT file_key, k, var_ord, variable_name FROM vf
+      UNION ALL SELECT file_key, k, nv, 'ptr_' || k FROM f WHERE k % 4 = 0)
+GROUP BY file_key, k
+""")
