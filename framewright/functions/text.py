@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from framewright.functions.patterns import JSON_SENTINEL
 
-# Python's str.isspace() set: Unicode White_Space plus the four ASCII
-# information separators.
+# --- fixed values: Python's str.isspace() characters (what str.strip() removes)
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as a Java regex class ((?U)\s is Unicode White_Space).
 _WS = r"[\s\x1c-\x1f]"
 
 
@@ -27,12 +32,12 @@ def _c(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(_c(c), rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def py_rstrip(c) -> Column:
     """Python ``str.rstrip()``."""
-    return F.regexp_replace(_c(c), rf"(?U){_WS}+$", "")
+    return F.rtrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def py_strip_sql(expr: str) -> str:

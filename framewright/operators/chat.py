@@ -61,22 +61,28 @@ def build_target(fn: Column) -> Column:
     return F.to_json(target, {"ignoreNullFields": "false"})
 
 
-def format_functions(files: DataFrame, key: str = "file_key") -> DataFrame:
+def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
     """G1-G4 before the skip rule: ``key, fn_ord, function_name, c_function,
-    asm_function, prompt, target`` for every label function."""
+    asm_function, prompt, target`` for every label function.
+
+    ``labels``: optional ``key, fn_ord, fn`` with label structs that replace
+    the nested ones of ``files`` (e.g. ``LabelRun.updated_functions()``), so
+    a fresh labelling need not be nested back into file records first."""
     asm = asm_functions(files, key)
     cf = c_functions(files, key)
     j = asm.join(cf, [key, "fn_ord", "function_name"])
+    if labels is not None:
+        j = j.drop("fn").join(labels.select(key, "fn_ord", "fn"), [key, "fn_ord"])
     reg = registry_json(variable_registry(F.col("fn.variable_mapping")))
     return j.select(key, "fn_ord", "function_name", "c_function", "asm_function",
                     render_prompt(reg, F.col("c_function"), F.col("asm_function")).alias("prompt"),
                     build_target(F.col("fn")).alias("target"))
 
 
-def chat_examples(files: DataFrame, key: str = "file_key") -> DataFrame:
+def chat_examples(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
     """One ``messages`` row per function whose C and listing parts
     were both found."""
-    f = format_functions(files, key)
+    f = format_functions(files, key, labels)
     ok = (F.col("c_function") != "") & (F.col("asm_function") != "")
     return f.filter(ok).select(
         key, "fn_ord", "function_name", "prompt", "target",
@@ -84,9 +90,9 @@ def chat_examples(files: DataFrame, key: str = "file_key") -> DataFrame:
                 F.struct(F.lit("assistant").alias("role"), F.col("target").alias("content"))).alias("messages"))
 
 
-def format_report(files: DataFrame, key: str = "file_key") -> DataFrame:
+def format_report(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
     """Formatted / skipped counts."""
-    f = format_functions(files, key)
+    f = format_functions(files, key, labels)
     ok = (F.col("c_function") != "") & (F.col("asm_function") != "")
     return f.agg(F.count_if(ok).cast("bigint").alias("formatted"),
                  F.count_if(~ok).cast("bigint").alias("skipped"))

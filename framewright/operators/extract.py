@@ -125,16 +125,15 @@ def listing_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def c_function(c_text: Column, name: Column) -> Column:
-    """Cut one C function: from the name of the first ``name(...) {`` to
-    its matching ``}`` (all braces count), stripped; "" when absent or
-    unmatched."""
-    pattern = F.concat(F.lit(C_SIGNATURE_TEMPLATE.split("{name}")[0]), quote_regex(name),
-                       F.lit(C_SIGNATURE_TEMPLATE.split("{name}")[1].replace("{{", "{")))
-    start = F.call_function("regexp_instr", c_text, pattern)
-    head = F.call_function("regexp_extract", c_text, pattern, F.lit(0))
-    brace = start + F.length(head) - 1
-    rest = F.substring(c_text, brace, 1 << 30)
+def c_signature_pattern(name: Column) -> Column:
+    head, tail = C_SIGNATURE_TEMPLATE.split("{name}")
+    return F.concat(F.lit(head), quote_regex(name), F.lit(tail.replace("{{", "{")))
+
+
+def _brace_end(rest: Column) -> Column:
+    """1-based position in ``rest`` (which starts with ``{``) of the ``}``
+    closing it; -1 when unmatched.  One pass over the ``}``-separated pieces
+    with a scalar accumulator (depth, offset, end)."""
     pieces = F.split(rest, r"\}")
     closed = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
@@ -146,16 +145,26 @@ def c_function(c_text: Column, name: Column) -> Column:
             F.struct(depth.alias("d"), pos.alias("n"), F.when(depth == 0, pos).otherwise(F.lit(-1)).alias("e")))
 
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(-1).alias("e"))
-    end = F.aggregate(closed, init, step)["e"]
-    cut = F.substring(c_text, start, brace - start + end)
-    return F.when((start > 0) & (end > 0), py_strip(cut)).otherwise(F.lit(""))
+    return F.aggregate(closed, init, step)["e"]
 
 
 def c_functions(files: DataFrame, key: str = "file_key", c: str = "source_code_c") -> DataFrame:
-    """C3 for every label function: ``key, fn_ord, function_name, c_function``."""
-    src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias(c), "label")
-    rows = src.select(key, c, F.posexplode("label.functions").alias("fn_ord", "fn"))
-    rows = rows.filter(F.col("fn.function_name").isNotNull() & (F.col("fn.function_name") != ""))
-    return rows.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"),
-                       F.col("fn.function_name").alias("function_name"),
-                       c_function(F.col(c), F.col("fn.function_name")).alias("c_function"))
+    """C3 for every label function: ``key, fn_ord, function_name, c_function``.
+
+    From the name of the first ``name(...) {`` to the ``}`` matching its
+    brace (every brace counts), stripped; "" when absent or unmatched.  The
+    signature's brace is the first ``{`` after the first ``)`` after the
+    name (the pattern admits no ``)`` inside the parentheses)."""
+    src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias("_c"),
+                       F.posexplode("label.functions").alias("fn_ord", "fn"))
+    src = src.filter(F.col("fn.function_name").isNotNull() & (F.col("fn.function_name") != ""))
+    src = src.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"),
+                     F.col("fn.function_name").alias("function_name"), "_c",
+                     F.call_function("regexp_instr", F.col("_c"), c_signature_pattern(F.col("fn.function_name")))
+                     .alias("_start"))
+    src = src.withColumn("_brace", F.when(F.col("_start") > 0, F.call_function(
+        "locate", F.lit("{"), F.col("_c"), F.call_function("locate", F.lit(")"), F.col("_c"), F.col("_start")))))
+    src = src.withColumn("_end", F.when(F.col("_start") > 0, _brace_end(F.substring(F.col("_c"), F.col("_brace"), 1 << 30))))
+    cut = F.substring(F.col("_c"), F.col("_start"), F.col("_brace") - F.col("_start") + F.col("_end"))
+    return src.select(key, "fn_ord", "function_name",
+                      F.when(F.col("_end") > 0, py_strip(cut)).otherwise(F.lit("")).alias("c_function"))

@@ -33,18 +33,21 @@ def size_value(v: Column) -> Column:
 
 def frame_line_columns(raw: Column, line_no: Column) -> dict[str, Column]:
     """Per-line facts for the frame rules (null outside their windows)."""
-    in_alloc = line_no < ALLOC_WINDOW_LINES
+    # Each regex runs only inside its window and only on lines holding the
+    # literal the pattern needs ('esp' for allocations).
+    lower = F.lower(raw)
+    in_alloc = (line_no < ALLOC_WINDOW_LINES) & lower.contains("esp")
     in_push = line_no < PUSH_WINDOW_LINES
     code_part = py_strip(F.element_at(F.split(raw, ";"), 1))
-    inst = F.regexp_extract(code_part, ALLOC_LINE, 1)
+    inst = F.when(in_alloc, F.regexp_extract(code_part, ALLOC_LINE, 1))
+    hit = inst.isNotNull() & (inst != "")
     neg = F.regexp_extract(code_part, ALLOC_LINE, 2)
     pos = F.regexp_extract(code_part, ALLOC_LINE, 3)
-    hit = in_alloc & (inst != "")
     return {
         "alloc_inst": F.when(hit, inst),
         "alloc_bytes": F.when(hit, size_value(F.when(neg != "", neg).otherwise(pos))),
-        "push_hit": in_push & raw.rlike(PUSH_REG),
-        "push_stop": in_push & raw.rlike(PUSH_STOP),
+        "push_hit": in_push & lower.contains("push") & raw.rlike(PUSH_REG),
+        "push_stop": in_push & (lower.contains("call") | lower.contains("jmp")) & raw.rlike(PUSH_STOP),
     }
 
 

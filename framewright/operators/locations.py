@@ -22,6 +22,7 @@ hash-partitioned on that key, so the windows below add no exchange):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from framewright.functions.patterns import (
 )
 from framewright.functions.text import parse_offset, py_strip
 from framewright.operators.extract import function_bodies, explode_variables
+from framewright.session import cut_lineage
 from framewright.operators.frames import frame_line_columns, frames_from_lines
 
 
@@ -52,7 +54,8 @@ def classified_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
     lines = lines.select(key, "lname", F.col("line_no").cast("bigint").alias("line_no"), "raw",
                          py_strip(F.col("raw")).alias("text"))
     lines = lines.filter(F.col("text") != "")
-    lines = lines.withColumn("is_comment", F.col("text").startswith(";") | F.col("text").rlike(LIVE_MARKER))
+    text = F.col("text")
+    lines = lines.withColumn("is_comment", text.startswith(";") | (text.startswith("?live") & text.rlike(LIVE_MARKER)))
     lines = lines.select("*", *[c.alias(n) for n, c in
                                 frame_line_columns(F.col("raw"), F.col("line_no")).items()]).drop("raw")
     w = Window.partitionBy(key, "lname").orderBy("line_no")
@@ -64,9 +67,12 @@ def classified_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
 
 def block_offsets(lines: DataFrame, key: str = "file_key") -> DataFrame:
     """D8/D9 on every line: ``write_off`` / ``any_off`` of the line's block."""
-    code = ~F.col("is_comment")
-    w_off = F.when(code, parse_offset(F.regexp_extract("text", WRITE_EBP, 1)))
-    a_off = F.when(code, parse_offset(F.regexp_extract("text", ANY_EBP, 1)))
+    # both patterns need the literal '[ebp'; other lines skip the regexes
+    code = ~F.col("is_comment") & F.lower("text").contains("[ebp")
+    w_raw = F.regexp_extract("text", WRITE_EBP, 1)
+    a_raw = F.regexp_extract("text", ANY_EBP, 1)
+    w_off = F.when(code & (w_raw != ""), parse_offset(w_raw))
+    a_off = F.when(code & (a_raw != ""), parse_offset(a_raw))
     wb = Window.partitionBy(key, "lname", "block_id").orderBy("line_no") \
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return lines.withColumn("block_write_off", F.first(w_off, ignorenulls=True).over(wb)) \
@@ -125,15 +131,28 @@ class LabelRun:
     ``files`` needs ``file_key, assembly_code, label`` (nested label schema).
     """
 
-    def __init__(self, files: DataFrame, key: str = "file_key", match: str = "substring"):
+    def __init__(self, files: DataFrame, key: str = "file_key", match: str = "substring",
+                 materialize: str | None = "persist"):
+        """``materialize``: how the per-line table, read by three branches
+        (frames, mentions, registers), is kept: ``"persist"`` (memory and
+        disk; lost blocks are recomputed from lineage), ``"checkpoint"``
+        (written to ``spark.checkpoint.dir``) or ``None`` (recompute)."""
         self.key = key
         self.match = match
         self.functions, self.bodies = function_bodies(files, key)
         self.variables = explode_variables(self.functions, key).join(
             self.functions.select(key, "fn_ord", "lname"), [key, "fn_ord"])
-        self.lines = block_offsets(classified_lines(self.bodies, key), key)
+        lines = block_offsets(classified_lines(self.bodies, key), key)
+        if materialize == "persist":
+            lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+        elif materialize == "checkpoint":
+            lines = cut_lineage(lines)
+        self.lines = lines
         self.frames = frames_from_lines(self.lines, key)
 
+    def close(self) -> None:
+        self.lines.unpersist()
+
     # D6
     def registers(self) -> DataFrame:
         return register_facts(self.lines, self.key)
@@ -214,21 +233,20 @@ class LabelRun:
             F.when(F.col("allocation_space_offset") < 0,
                    F.col("stack_allocation_size_bytes") + F.col("allocation_space_offset")).alias("region_offset"))
 
-    def updated_files(self, files: DataFrame) -> DataFrame:
-        """D14 nested: ``files`` with label values replaced where found.
-
-        Functions whose procedure was not found keep every old value."""
+    def updated_functions(self) -> DataFrame:
+        """D14 per function: ``key, fn_ord, fn`` with the label struct after
+        the update.  Functions whose procedure was not found keep every old
+        value; found ones get the new frame and, per variable, the new
+        location when found, else the old one."""
         k = self.key
         app = self.applied()
-        fr = self.function_frames()
-        vars_nested = app.groupBy(k, "fn_ord").agg(F.array_sort(F.collect_list(F.struct(
+        fr = self.function_frames().select(k, "fn_ord", F.lit(True).alias("_hit"),
+                                           "stack_allocation_instruction", "stack_allocation_size_bytes")
+        vs = app.groupBy(k, "fn_ord").agg(F.array_sort(F.collect_list(F.struct(
             "var_ord", "variable_name", "assembly_reference", "allocation_space_offset", "size_bytes"))).alias("vs"))
-        fn_new = fr.join(vars_nested, [k, "fn_ord"], "left")
-        all_fns = files.select(k, F.posexplode("label.functions").alias("fn_ord", "fn")) \
-            .withColumn("fn_ord", F.col("fn_ord").cast("bigint"))
-        merged = all_fns.join(fn_new, [k, "fn_ord"], "left")
-        hit = F.col("lname").isNotNull()
-        merged = merged.select(k, "fn_ord", F.struct(
+        merged = self.functions.select(k, "fn_ord", "fn").join(fr, [k, "fn_ord"], "left").join(vs, [k, "fn_ord"], "left")
+        hit = F.coalesce(F.col("_hit"), F.lit(False))
+        fn = F.struct(
             F.col("fn.function_name").alias("function_name"),
             F.when(hit, F.col("stack_allocation_instruction")).otherwise(F.col("fn.stack_allocation_instruction"))
             .alias("stack_allocation_instruction"),
@@ -237,7 +255,17 @@ class LabelRun:
             F.when(hit & F.col("vs").isNotNull(), F.transform("vs", lambda x: F.struct(
                 x["variable_name"].alias("variable_name"), x["assembly_reference"].alias("assembly_reference"),
                 x["allocation_space_offset"].alias("allocation_space_offset"), x["size_bytes"].alias("size_bytes"))))
-            .otherwise(F.col("fn.variable_mapping")).alias("variable_mapping")).alias("fn"))
+            .otherwise(F.col("fn.variable_mapping")).alias("variable_mapping"))
+        return merged.select(k, "fn_ord", fn.alias("fn"))
+
+    def updated_files(self, files: DataFrame) -> DataFrame:
+        """D14 nested: ``files`` with label values replaced where found."""
+        k = self.key
+        upd = self.updated_functions()
+        all_fns = files.select(k, F.posexplode("label.functions").alias("fn_ord", "old")) \
+            .withColumn("fn_ord", F.col("fn_ord").cast("bigint"))
+        merged = all_fns.join(upd, [k, "fn_ord"], "left") \
+            .select(k, "fn_ord", F.coalesce(F.col("fn"), F.col("old")).alias("fn"))
         nested = merged.groupBy(k).agg(F.array_sort(F.collect_list(F.struct("fn_ord", "fn"))).alias("fs"))
         nested = nested.select(k, F.struct(F.transform("fs", lambda x: x["fn"]).alias("functions")).alias("new_label"))
         return files.join(nested, k, "left").withColumn(

@@ -25,9 +25,17 @@ def query(name: str):
     return deco
 
 
+_RUNS: dict = {}
+
+
 def _run(spark: SparkSession, sf_dir: str, stale: bool = False) -> LabelRun:
+    """One labelling run per (session, corpus); its line table is persisted
+    and shared by every query of the session."""
     apply_semantic_conf(spark)
-    return LabelRun(corpus_files(spark, sf_dir, stale_labels=stale))
+    key = (id(spark), sf_dir, stale)
+    if key not in _RUNS:
+        _RUNS[key] = LabelRun(corpus_files(spark, sf_dir, stale_labels=stale))
+    return _RUNS[key]
 
 
 @query("stack_allocation")
@@ -196,8 +204,7 @@ def q_variable_registry(spark, sf_dir):
 def labelled_sanitized_files(spark, sf_dir) -> DataFrame:
     """The training-set path: label, write labels back, sanitize."""
     files = corpus_files(spark, sf_dir)
-    run = LabelRun(files)
-    return sanitize_dataset(run.updated_files(files))
+    return sanitize_dataset(_run(spark, sf_dir).updated_files(files))
 
 
 @query("build_target")
@@ -208,20 +215,27 @@ def q_build_target(spark, sf_dir):
                       G.build_target(F.col("fn")).alias("target"))
 
 
+def _format_inputs(spark, sf_dir):
+    """Sanitized files plus the freshly updated labels (flat)."""
+    return sanitize_dataset(corpus_files(spark, sf_dir)), _run(spark, sf_dir).updated_functions()
+
+
 @query("render_prompt")
 def q_render_prompt(spark, sf_dir):
-    f = G.format_functions(labelled_sanitized_files(spark, sf_dir))
+    f = G.format_functions(*_format_inputs(spark, sf_dir)[:1], labels=_format_inputs(spark, sf_dir)[1])
     return f.select("file_key", "function_name", F.md5("prompt").alias("prompt_md5"),
                     F.length("prompt").cast("bigint").alias("prompt_chars"))
 
 
 @query("chat_examples")
 def q_chat_examples(spark, sf_dir):
-    ex = G.chat_examples(labelled_sanitized_files(spark, sf_dir))
+    files, labels = _format_inputs(spark, sf_dir)
+    ex = G.chat_examples(files, labels=labels)
     return ex.select("file_key", "function_name", F.md5(F.col("messages")[0]["content"]).alias("prompt_md5"),
                      F.col("messages")[1]["content"].alias("target"))
 
 
 @query("format_report")
 def q_format_report(spark, sf_dir):
-    return G.format_report(labelled_sanitized_files(spark, sf_dir))
+    files, labels = _format_inputs(spark, sf_dir)
+    return G.format_report(files, labels=labels)
