@@ -122,7 +122,7 @@ def conversation_rows_from_messages(examples: DataFrame, idx: str = "idx", messa
     prompt = F.filter(m, lambda x: x["role"] != "assistant")
     answers = F.filter(m, lambda x: x["role"] == "assistant")
     return examples.select(F.col(idx).alias("idx"), prompt.alias("messages"),
-                           F.element_at(answers, 1)["content"].alias("ground_truth")) \
+                           F.try_element_at(answers, F.lit(1))["content"].alias("ground_truth")) \
         .filter((F.size("messages") > 0) & F.col("ground_truth").isNotNull())
 
 
@@ -136,7 +136,7 @@ def render_chatml(messages: Column, add_generation_prompt: bool = True, default_
     text = F.array_join(F.transform(messages, turn), "")
     if default_system is not None:
         sys_turn = F.lit(f"{CHATML_START}system\n{default_system}{CHATML_END}\n")
-        text = F.when(F.element_at(messages, 1)["role"] == "system", text).otherwise(F.concat(sys_turn, text))
+        text = F.when(F.try_element_at(messages, F.lit(1))["role"] == "system", text).otherwise(F.concat(sys_turn, text))
     if add_generation_prompt:
         text = F.concat(text, F.lit(f"{CHATML_START}assistant\n"))
     return text

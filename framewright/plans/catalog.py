@@ -239,3 +239,66 @@ def q_chat_examples(spark, sf_dir):
 def q_format_report(spark, sf_dir):
     files, labels = _format_inputs(spark, sf_dir)
     return G.format_report(files, labels=labels)
+
+
+# --- I: prediction parsing and scoring ---------------------------------------
+
+from framewright.operators import scoring as S  # noqa: E402
+from framewright.plans.predictions import planted_prediction  # noqa: E402
+
+
+def eval_rows(spark, sf_dir) -> DataFrame:
+    """Ground truth = answer JSON of each labelled function; the prediction is
+    planted from it by class ``k % 9``; ``sample_idx = k``."""
+    upd = _run(spark, sf_dir).updated_functions()
+    k = F.substring(F.col("fn.function_name"), 4, 64).cast("bigint")
+    plus_one = F.col("fn").withField("stack_allocation_size_bytes", F.col("fn.stack_allocation_size_bytes") + 1)
+    rows = upd.select(k.alias("sample_idx"), "fn", G.build_target(F.col("fn")).alias("ground_truth"),
+                      G.build_target(plus_one).alias("_t_plus"))
+    return rows.select("sample_idx", "ground_truth",
+                       planted_prediction(F.col("sample_idx") % 9, F.col("ground_truth"), F.col("fn"),
+                                          F.col("_t_plus")).alias("prediction"))
+
+
+@query("json_block")
+def q_json_block(spark, sf_dir):
+    r = eval_rows(spark, sf_dir)
+    return r.select("sample_idx", F.md5(S.json_block(S.py_strip(F.col("prediction")))).alias("block_md5"))
+
+
+@query("json_block_fenced")
+def q_json_block_fenced(spark, sf_dir):
+    r = eval_rows(spark, sf_dir)
+    return r.select("sample_idx", F.md5(S.json_block_fenced(S.py_strip(F.col("prediction")))).alias("block_md5"))
+
+
+@query("json_valid")
+def q_json_valid(spark, sf_dir):
+    return S.score(eval_rows(spark, sf_dir)).select("sample_idx", "json_parse_success")
+
+
+@query("exact_match")
+def q_exact_match(spark, sf_dir):
+    return S.score(eval_rows(spark, sf_dir)).select("sample_idx", "exact_match_success")
+
+
+@query("eval_results")
+def q_eval_results(spark, sf_dir):
+    return S.eval_results(S.score(eval_rows(spark, sf_dir))).select(
+        "sample_idx", "json_parse_success", "exact_match_success")
+
+
+@query("eval_results_fenced")
+def q_eval_results_fenced(spark, sf_dir):
+    return S.eval_results(S.score(eval_rows(spark, sf_dir), rule="fenced")).select(
+        "sample_idx", "json_parse_success", "exact_match_success")
+
+
+@query("eval_metrics")
+def q_eval_metrics(spark, sf_dir):
+    return S.eval_metrics(S.score(eval_rows(spark, sf_dir)))
+
+
+@query("eval_metrics_fenced")
+def q_eval_metrics_fenced(spark, sf_dir):
+    return S.eval_metrics(S.score(eval_rows(spark, sf_dir), rule="fenced"))

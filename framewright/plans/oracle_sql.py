@@ -181,6 +181,16 @@ tgt AS (
          || '","assembly_reference":' || coalesce('"' || loc.assembly_reference || '"', 'null')
          || ',"allocation_space_offset":' || coalesce(CAST(loc.allocation_space_offset AS VARCHAR), 'null') || '}}',
          ',' ORDER BY loc.var_ord) || ']}}' AS target,
+         '{{"stack_allocation_instruction":"' || ff.alloc_text || '","stack_allocation_size_bytes":'
+         || (ff.alloc_size + 1) || ',"variable_mappings":[' || string_agg('{{"variable_name":"' || loc.variable_name
+         || '","assembly_reference":' || coalesce('"' || loc.assembly_reference || '"', 'null')
+         || ',"allocation_space_offset":' || coalesce(CAST(loc.allocation_space_offset AS VARCHAR), 'null') || '}}',
+         ',' ORDER BY loc.var_ord) || ']}}' AS target_plus,
+         '{{ "variable_mappings" : [ ' || string_agg('{{ "allocation_space_offset" : '
+         || coalesce(CAST(loc.allocation_space_offset AS VARCHAR), 'null') || ', "assembly_reference" : '
+         || coalesce('"' || loc.assembly_reference || '"', 'null') || ', "variable_name" : "' || loc.variable_name
+         || '" }}', ', ' ORDER BY loc.var_ord) || ' ], "stack_allocation_size_bytes" : ' || ff.alloc_size
+         || ', "stack_allocation_instruction" : "' || ff.alloc_text || '" }}' AS reordered,
          ff.alloc_size
   FROM ff JOIN loc ON loc.k = ff.k GROUP BY ff.k, ff.alloc_text, ff.alloc_size
 )
@@ -292,3 +302,50 @@ FROM (SELECT file_key, k, var_ord, variable_name FROM vf
       UNION ALL SELECT file_key, k, nv, 'ptr_' || k FROM f WHERE k % 4 = 0)
 GROUP BY file_key, k
 """)
+
+
+# --- scoring: expected outcome per planted class (FIXTURES 3.4) --------------
+# class: tuned valid, tuned match, fenced valid, fenced match
+_CLASS_TABLE = """
+cls(c, tv, tm, fv, fm) AS (VALUES
+  (0, true, true, true, true), (1, true, true, true, true), (2, true, true, true, true),
+  (3, true, true, false, false), (4, false, false, false, false), (5, true, false, true, false),
+  (6, true, true, false, false), (7, false, false, false, false), (8, false, false, false, false))
+"""
+
+_EVAL = corpus("," + _CLASS_TABLE + """
+SELECT k AS sample_idx, tv, tm, fv, fm FROM f JOIN cls ON cls.c = f.k % 9
+""")
+
+ORACLES["json_valid"] = f"SELECT sample_idx, tv AS json_parse_success FROM ({_EVAL})"
+ORACLES["exact_match"] = f"SELECT sample_idx, tm AS exact_match_success FROM ({_EVAL})"
+ORACLES["eval_results"] = f"SELECT sample_idx, tv AS json_parse_success, tm AS exact_match_success FROM ({_EVAL})"
+ORACLES["eval_results_fenced"] = f"SELECT sample_idx, fv AS json_parse_success, fm AS exact_match_success FROM ({_EVAL})"
+ORACLES["eval_metrics"] = f"""
+SELECT CAST(count(*) AS BIGINT) AS total_samples,
+       coalesce(100.0 * count(*) FILTER (WHERE tv) / nullif(count(*), 0), 0.0) AS json_parse_rate_pct,
+       coalesce(100.0 * count(*) FILTER (WHERE tm) / nullif(count(*), 0), 0.0) AS exact_match_accuracy_pct
+FROM ({_EVAL})
+"""
+ORACLES["eval_metrics_fenced"] = f"""
+SELECT CAST(count(*) AS BIGINT) AS total_samples,
+       coalesce(100.0 * count(*) FILTER (WHERE fv) / nullif(count(*), 0), 0.0) AS json_parse_rate_pct,
+       coalesce(100.0 * count(*) FILTER (WHERE fm) / nullif(count(*), 0), 0.0) AS exact_match_accuracy_pct
+FROM ({_EVAL})
+"""
+
+# Extracted block text per class, from the rebuilt target texts.
+_BLOCKS = text_corpus("""
+SELECT f.k AS sample_idx, f.k % 9 AS c, tgt.target AS t, tgt.target_plus AS tp, tgt.reordered AS tr
+FROM f JOIN tgt USING (k)
+""")
+ORACLES["json_block"] = f"""
+SELECT sample_idx, md5(CASE c WHEN 2 THEN tr WHEN 4 THEN left(t, length(t) - 2) WHEN 5 THEN tp
+                              WHEN 7 THEN 'no json' WHEN 8 THEN '' ELSE t END) AS block_md5
+FROM ({_BLOCKS})
+"""
+ORACLES["json_block_fenced"] = f"""
+SELECT sample_idx, md5(CASE c WHEN 2 THEN tr WHEN 3 THEN t || ' }} trailing }}' WHEN 4 THEN left(t, length(t) - 2)
+                              WHEN 5 THEN tp WHEN 6 THEN '' WHEN 7 THEN 'no json' WHEN 8 THEN '' ELSE t END) AS block_md5
+FROM ({_BLOCKS})
+"""
