@@ -302,3 +302,105 @@ def q_eval_metrics(spark, sf_dir):
 @query("eval_metrics_fenced")
 def q_eval_metrics_fenced(spark, sf_dir):
     return S.eval_metrics(S.score(eval_rows(spark, sf_dir), rule="fenced"))
+
+
+# --- F: splits; H: batching (documents) --------------------------------------
+
+from framewright.operators import batching as H  # noqa: E402
+from framewright.operators import split as SP  # noqa: E402
+from framewright.plans.predictions import planted_predictor  # noqa: E402
+from framewright.session import table_path  # noqa: E402
+
+SLICE_KEEP = 0.5
+SAMPLE_LIMIT = 100
+BATCH_SIZE = 8
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, "documents"))
+
+
+@query("split_train_val")
+def q_split_train_val(spark, sf_dir):
+    return SP.split_train_val(_documents(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query("slice_sample")
+def q_slice_sample(spark, sf_dir):
+    return SP.slice_sample(_documents(spark, sf_dir).select("doc_id"), "doc_id", SLICE_KEEP)
+
+
+@query("sample_limit")
+def q_sample_limit(spark, sf_dir):
+    d = _documents(spark, sf_dir).select("doc_id", "n_chars")
+    return SP.sample_limit(d, "doc_id", SAMPLE_LIMIT)
+
+
+@query("split_report")
+def q_split_report(spark, sf_dir):
+    return SP.split_report(q_split_train_val(spark, sf_dir))
+
+
+def _doc_lengths(spark, sf_dir) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.col("n_chars").alias("length"))
+
+
+@query("length_sort")
+def q_length_sort(spark, sf_dir):
+    return H.length_positions(_doc_lengths(spark, sf_dir)).select("idx", "length", "sort_pos")
+
+
+@query("length_batches")
+def q_length_batches(spark, sf_dir):
+    return H.length_batches(_doc_lengths(spark, sf_dir), BATCH_SIZE).select("idx", "batch_no")
+
+
+@query("padding_waste")
+def q_padding_waste(spark, sf_dir):
+    return H.padding_waste(H.length_batches(_doc_lengths(spark, sf_dir), BATCH_SIZE))
+
+
+@query("predict_batches")
+def q_predict_batches(spark, sf_dir):
+    """H1-H4 + I: ChatML prompts of the labelled functions, length-sorted
+    batches, a batched predictor, then scoring."""
+    rows = eval_rows(spark, sf_dir)
+    prompt = G.render_chatml(F.array(F.struct(F.lit("user").alias("role"), F.col("ground_truth").alias("content"))))
+    ev = rows.select(F.col("sample_idx").alias("idx"), prompt.alias("prompt"), "ground_truth") \
+        .withColumn("length", F.length("prompt"))
+    batches = H.length_batches(ev, BATCH_SIZE)
+    preds = H.predict_batches(batches, planted_predictor)
+    scored = S.score(preds.join(ev.select("idx", "ground_truth"), "idx").withColumnRenamed("idx", "sample_idx"))
+    return scored.select("sample_idx", "json_parse_success", "exact_match_success")
+
+
+# --- G6-G9 on the conversations table ----------------------------------------
+
+def _conversations(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, "conversations"))
+
+
+@query("conversation_eval_rows")
+def q_conversation_eval_rows(spark, sf_dir):
+    r = G.conversation_rows(_conversations(spark, sf_dir))
+    return r.select("idx", F.size("messages").cast("bigint").alias("n_prompt_messages"),
+                    F.md5("ground_truth").alias("ground_truth_md5"))
+
+
+@query("render_chatml")
+def q_render_chatml(spark, sf_dir):
+    r = G.conversation_rows(_conversations(spark, sf_dir))
+    t = G.render_chatml(F.col("messages"))
+    return r.select("idx", F.md5(t).alias("prompt_md5"), F.length(t).cast("bigint").alias("prompt_chars"))
+
+
+@query("length_profile")
+def q_length_profile(spark, sf_dir):
+    r = G.conversation_rows(_conversations(spark, sf_dir))
+    return G.length_profile(r, F.length(G.render_chatml(F.col("messages"))), ["idx"])
+
+
+@query("over_budget")
+def q_over_budget(spark, sf_dir):
+    r = G.conversation_rows(_conversations(spark, sf_dir))
+    return G.over_budget(r, F.length(G.render_chatml(F.col("messages"))))

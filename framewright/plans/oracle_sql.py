@@ -349,3 +349,59 @@ SELECT sample_idx, md5(CASE c WHEN 2 THEN tr WHEN 3 THEN t || ' }} trailing }}'
                               WHEN 5 THEN tp WHEN 6 THEN '' WHEN 7 THEN 'no json' WHEN 8 THEN '' ELSE t END) AS block_md5
 FROM ({_BLOCKS})
 """
+
+
+# --- F / H on documents --------------------------------------------------------
+ORACLES["split_train_val"] = """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id)
+                         <= ceil(0.2 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split
+FROM documents
+"""
+ORACLES["slice_sample"] = """
+SELECT doc_id FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n
+  FROM documents) WHERE r <= floor(0.5 * n)
+"""
+ORACLES["sample_limit"] = "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100"
+ORACLES["split_report"] = f"""
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows FROM ({ORACLES['split_train_val']}) GROUP BY split
+"""
+_POS = """
+SELECT doc_id AS idx, n_chars AS length, CAST(row_number() OVER (ORDER BY n_chars, doc_id) AS BIGINT) AS sort_pos
+FROM documents
+"""
+ORACLES["length_sort"] = _POS
+ORACLES["length_batches"] = f"SELECT idx, CAST(floor((sort_pos - 1) / 8) AS BIGINT) AS batch_no FROM ({_POS})"
+ORACLES["padding_waste"] = f"""
+SELECT CAST(floor((sort_pos - 1) / 8) AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(max(length) AS BIGINT) AS max_length, CAST(sum(length) AS BIGINT) AS real_length,
+       CAST(count(*) * max(length) AS BIGINT) AS padded_length
+FROM ({_POS}) GROUP BY 1
+"""
+ORACLES["predict_batches"] = ORACLES["eval_results"]
+
+# --- G6-G9 on conversations ----------------------------------------------------
+_CONV = """
+SELECT conv_id AS idx,
+       count(*) FILTER (WHERE role <> 'assistant') AS n_prompt,
+       arg_min(text, turn) FILTER (WHERE role = 'assistant') AS ground_truth,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
+         FILTER (WHERE role <> 'assistant') || '<|im_start|>assistant' || chr(10) AS chatml
+FROM conversations GROUP BY conv_id
+HAVING count(*) FILTER (WHERE role <> 'assistant') > 0 AND count(*) FILTER (WHERE role = 'assistant') > 0
+"""
+ORACLES["conversation_eval_rows"] = f"""
+SELECT idx, CAST(n_prompt AS BIGINT) AS n_prompt_messages, md5(ground_truth) AS ground_truth_md5 FROM ({_CONV})
+"""
+ORACLES["render_chatml"] = f"""
+SELECT idx, md5(chatml) AS prompt_md5, CAST(length(chatml) AS BIGINT) AS prompt_chars FROM ({_CONV})
+"""
+ORACLES["length_profile"] = f"""
+SELECT avg(l) AS mean_length, CAST(max(l) AS BIGINT) AS max_length, CAST(count(*) AS BIGINT) AS n_examples
+FROM (SELECT length(chatml) AS l FROM ({_CONV}) ORDER BY idx LIMIT 500)
+"""
+ORACLES["over_budget"] = f"""
+SELECT CAST(count(*) FILTER (WHERE length(chatml) > 4096) AS BIGINT) AS over_budget,
+       CAST(count(*) AS BIGINT) AS n_examples, CAST(max(length(chatml)) AS BIGINT) AS max_length
+FROM ({_CONV})
+"""
