@@ -404,3 +404,90 @@ def q_length_profile(spark, sf_dir):
 def q_over_budget(spark, sf_dir):
     r = G.conversation_rows(_conversations(spark, sf_dir))
     return G.over_budget(r, F.length(G.render_chatml(F.col("messages"))))
+
+
+# --- B: pairing / stitching (paths derived from documents) ---------------------
+
+from framewright.operators import pairing as B  # noqa: E402
+from framewright.operators import runs as J  # noqa: E402
+
+
+def document_tree(spark, sf_dir) -> DataFrame:
+    """A file tree as ``(path, content)``: a ``.c`` file for documents with
+    ``doc_id % 5 <> 0`` and an ``.asm`` file for ``doc_id % 7 <> 0``."""
+    d = _documents(spark, sf_dir)
+    c = d.filter(F.col("doc_id") % 5 != 0).select(
+        F.concat_ws("/", F.lit("tree"), "lang", F.lit("src"), F.concat(F.lit("prog_"), "doc_id", F.lit(".c"))).alias("path"),
+        F.col("text").alias("content"))
+    a = d.filter(F.col("doc_id") % 7 != 0).select(
+        F.concat_ws("/", F.lit("tree"), "lang", F.lit("asm"), F.concat(F.lit("prog_"), "doc_id", F.lit(".asm"))).alias("path"),
+        F.concat("text", F.lit("\n; asm")).alias("content"))
+    return c.unionByName(a)
+
+
+@query("pair_files")
+def q_pair_files(spark, sf_dir):
+    p = B.pair_files(document_tree(spark, sf_dir))
+    return p.select("file_id", F.md5("source_code_c").alias("c_md5"), F.md5("assembly_code").alias("asm_md5"))
+
+
+def _stitched(spark, sf_dir) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    records = d.select(F.col("doc_id").alias("file_no"), F.lit("").alias("assembly_code"))
+    listings = d.filter(F.col("doc_id") % 7 != 0).select(
+        F.format_string(B.LISTING_NAME_FORMAT, "doc_id").alias("name"), F.concat("text", F.lit("\n; asm")).alias("content"))
+    return B.stitch_listings(records, listings)
+
+
+@query("stitch_listing")
+def q_stitch_listing(spark, sf_dir):
+    return _stitched(spark, sf_dir).select("file_no", "stitched", F.md5("assembly_code").alias("asm_md5"))
+
+
+@query("stitch_report")
+def q_stitch_report(spark, sf_dir):
+    return B.stitch_report(_stitched(spark, sf_dir))
+
+
+# --- J: run metrics (derived from events) -------------------------------------
+
+def _events(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, "events"))
+
+
+def step_log(spark, sf_dir) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select(F.col("event_id").alias("step"), F.col("value").alias("elapsed_s"),
+                    (F.col("user_id") * 10 + 1).alias("real_tokens"),
+                    ((F.col("user_id") % 40) / 2.0).alias("peak_gb"))
+
+
+@query("throughput_report")
+def q_throughput_report(spark, sf_dir):
+    return J.throughput_report(step_log(spark, sf_dir))
+
+
+@query("epoch_estimate")
+def q_epoch_estimate(spark, sf_dir):
+    return J.epoch_estimate(J.throughput_report(step_log(spark, sf_dir)))
+
+
+@query("loss_curve")
+def q_loss_curve(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    log = e.select(F.col("event_id").alias("step"),
+                   F.when(F.col("event_type") == "click", F.col("value")).alias("loss"),
+                   F.when(F.col("event_type") == "view", F.col("value")).alias("eval_loss"))
+    return J.loss_curve(log)
+
+
+@query("latest_checkpoint")
+def q_latest_checkpoint(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    folders = e.groupBy("user_id").agg(F.max(F.col("event_type") == "purchase").alias("has_state")) \
+        .select(F.concat(F.lit(J.CHECKPOINT_PREFIX), F.col("user_id").cast("string")).alias("folder"), "has_state")
+    odd = e.filter(F.col("event_type") == "signup").select(
+        F.concat(F.lit(J.CHECKPOINT_PREFIX), F.lit("x"), F.col("event_id").cast("string")).alias("folder"),
+        F.lit(True).alias("has_state"))
+    root = e.agg(F.max(F.col("event_type") == "error").alias("has_state")).select(F.lit("").alias("folder"), "has_state")
+    return J.latest_checkpoint(folders.unionByName(odd).unionByName(root))

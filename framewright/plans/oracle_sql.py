@@ -405,3 +405,55 @@ SELECT CAST(count(*) FILTER (WHERE length(chatml) > 4096) AS BIGINT) AS over_bud
        CAST(count(*) AS BIGINT) AS n_examples, CAST(max(length(chatml)) AS BIGINT) AS max_length
 FROM ({_CONV})
 """
+
+
+# --- B: pairing / stitching ------------------------------------------------------
+ORACLES["pair_files"] = """
+SELECT 'prog_' || doc_id AS file_id, md5(text) AS c_md5, md5(text || chr(10) || '; asm') AS asm_md5
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0
+"""
+ORACLES["stitch_listing"] = """
+SELECT doc_id AS file_no, doc_id % 7 <> 0 AS stitched,
+       md5(CASE WHEN doc_id % 7 <> 0 THEN text || chr(10) || '; asm' ELSE '' END) AS asm_md5
+FROM documents
+"""
+ORACLES["stitch_report"] = """
+SELECT CAST(count(*) FILTER (WHERE doc_id % 7 <> 0) AS BIGINT) AS stitched,
+       CAST(count(*) FILTER (WHERE doc_id % 7 = 0) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS no_id
+FROM documents
+"""
+
+# --- J: run metrics ----------------------------------------------------------------
+_STEPS = """
+SELECT event_id AS step, value AS elapsed_s, user_id * 10 + 1 AS real_tokens, (user_id % 40) / 2.0 AS peak_gb,
+       row_number() OVER (ORDER BY event_id) <= 5 AS warm
+FROM events
+"""
+ORACLES["throughput_report"] = f"""
+SELECT avg(elapsed_s) FILTER (WHERE NOT warm) AS avg_step_s, min(elapsed_s) FILTER (WHERE NOT warm) AS min_step_s,
+       max(elapsed_s) FILTER (WHERE NOT warm) AS max_step_s,
+       sum(real_tokens) FILTER (WHERE NOT warm) / sum(elapsed_s) FILTER (WHERE NOT warm) AS avg_tokens_per_s,
+       min(real_tokens / elapsed_s) FILTER (WHERE NOT warm) AS min_tokens_per_s,
+       max(real_tokens / elapsed_s) FILTER (WHERE NOT warm) AS max_tokens_per_s,
+       CAST(count(*) FILTER (WHERE NOT warm) AS BIGINT) AS measured_steps, max(peak_gb) AS peak_gb
+FROM ({_STEPS})
+"""
+ORACLES["epoch_estimate"] = f"""
+SELECT CAST(826 AS BIGINT) AS steps_per_epoch, CAST(13211 * 1828 AS BIGINT) AS tokens_per_epoch,
+       (13211 * 1828)::DOUBLE / avg_tokens_per_s AS epoch_seconds,
+       (13211 * 1828)::DOUBLE / avg_tokens_per_s / 60.0 AS epoch_minutes
+FROM ({ORACLES['throughput_report']})
+"""
+ORACLES["loss_curve"] = """
+SELECT 'train' AS series, event_id AS step, value FROM events WHERE event_type = 'click'
+UNION ALL
+SELECT 'eval', event_id, value FROM events WHERE event_type = 'view'
+"""
+ORACLES["latest_checkpoint"] = """
+WITH u AS (SELECT user_id, bool_or(event_type = 'purchase') AS has_state FROM events GROUP BY user_id),
+best AS (SELECT arg_max(user_id, user_id) AS uid, arg_max(has_state, user_id) AS hs FROM u),
+root AS (SELECT bool_or(event_type = 'error') AS r FROM events)
+SELECT CASE WHEN hs THEN 'checkpoint-' || uid || '/trainer_state.json' WHEN r THEN 'trainer_state.json' END AS state_path,
+       'checkpoint-' || uid AS latest_folder
+FROM best, root
+"""
