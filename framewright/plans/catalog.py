@@ -491,3 +491,67 @@ def q_latest_checkpoint(spark, sf_dir):
         F.lit(True).alias("has_state"))
     root = e.agg(F.max(F.col("event_type") == "error").alias("has_state")).select(F.lit("").alias("folder"), "has_state")
     return J.latest_checkpoint(folders.unionByName(odd).unionByName(root))
+
+
+# --- K: synthetic program corpus (one program per order) ------------------------
+
+from framewright.operators import synth as K  # noqa: E402
+
+
+def _programs(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, "orders")).select("o_orderkey")
+
+
+def _gen(spark, sf_dir):
+    fns = K.gen_functions(_programs(spark, sf_dir), "o_orderkey")
+    return fns, K.declared(fns)
+
+
+@query("gen_functions")
+def q_gen_functions(spark, sf_dir):
+    return K.gen_functions(_programs(spark, sf_dir), "o_orderkey")
+
+
+@query("gen_params")
+def q_gen_params(spark, sf_dir):
+    return K.gen_params(q_gen_functions(spark, sf_dir))
+
+
+@query("gen_locals")
+def q_gen_locals(spark, sf_dir):
+    return K.gen_locals(q_gen_functions(spark, sf_dir)).filter("kind = 1").select(
+        "p", "f", "ord", "v_type", "is_array", "array_size", "is_ghost", "raw_name")
+
+
+@query("gen_pointers")
+def q_gen_pointers(spark, sf_dir):
+    return K.gen_locals(q_gen_functions(spark, sf_dir)).filter("kind = 2").select("p", "f", "target_ord", "raw_name")
+
+
+@query("gen_names")
+def q_gen_names(spark, sf_dir):
+    _, decl = _gen(spark, sf_dir)
+    return decl.select("p", "f", F.col("kind").cast("bigint").alias("kind"), "ord", "name")
+
+
+@query("gen_labels")
+def q_gen_labels(spark, sf_dir):
+    _, decl = _gen(spark, sf_dir)
+    lab = K.gen_labels(decl)
+    return lab.select("p", "f", F.array_join(F.transform("fn.variable_mapping", lambda v: v["variable_name"]), ",")
+                      .alias("names"), F.size("fn.variable_mapping").cast("bigint").alias("n_variables"))
+
+
+@query("gen_statements")
+def q_gen_statements(spark, sf_dir):
+    fns, decl = _gen(spark, sf_dir)
+    g = K.gen_statement_groups(fns, decl)
+    return g.groupBy("p", "f").agg(F.count(F.lit(1)).cast("bigint").alias("n_groups"),
+                                   F.sum(F.size("lines")).cast("bigint").alias("n_lines"))
+
+
+@query("gen_source")
+def q_gen_source(spark, sf_dir):
+    c = K.generate_corpus(_programs(spark, sf_dir), "o_orderkey")
+    return c.select("file_id", F.length("source_code_c").cast("bigint").alias("c_chars"),
+                    F.size("label.functions").cast("bigint").alias("n_functions"))

@@ -457,3 +457,100 @@ SELECT CASE WHEN hs THEN 'checkpoint-' || uid || '/trainer_state.json' WHEN r TH
        'checkpoint-' || uid AS latest_folder
 FROM best, root
 """
+
+
+# --- K: generator draws recomputed in DuckDB ----------------------------------------
+
+def _u(*parts: str) -> str:
+    key = "concat_ws('|', '42', " + ", ".join(parts) + ")"
+    return f"((CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % 1000000) / 1000000.0)"
+
+
+def _randint(a: int, b: int, *parts: str) -> str:
+    return f"CAST({a} + floor({_u(*parts)} * {b - a + 1}) AS BIGINT)"
+
+
+def _choice(values: list[str], *parts: str) -> str:
+    arr = "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    return f"{arr}[CAST(floor({_u(*parts)} * {len(values)}) AS BIGINT) + 1]"
+
+
+def _gen_sql():
+    from framewright.operators import synth as K
+    fns = f"""
+gf AS (
+  SELECT p, CAST(f AS BIGINT) AS f FROM (
+    SELECT o_orderkey AS p, unnest(range(CAST({_randint(1, 10, 'o_orderkey', "'nf'")} AS BIGINT))) AS f FROM orders)
+),
+gfn AS (
+  SELECT p, f, {_u('p', 'f', "'micro'")} < 0.15 AS is_micro,
+         CASE WHEN {_u('p', 'f', "'ret'")} < 0.6 THEN {_choice(K.RET_TYPES, 'p', 'f', "'rt'")} ELSE 'void' END AS ret_type
+  FROM gf
+),
+gfun AS (
+  SELECT p, f, is_micro, ret_type,
+         CASE WHEN is_micro THEN {_randint(0, 1, 'p', 'f', "'np'")} ELSE {_randint(0, 4, 'p', 'f', "'np'")} END AS n_params,
+         CASE WHEN is_micro THEN {_randint(1, 2, 'p', 'f', "'nv'")} ELSE {_randint(6, 15, 'p', 'f', "'nv'")} END AS n_locals,
+         CASE WHEN is_micro THEN CAST(1 AS BIGINT) ELSE {_randint(1, 4, 'p', 'f', "'rounds'")} END AS n_rounds
+  FROM gfn
+),
+gpar AS (
+  SELECT p, f, ord, {_choice(K.PARAM_TYPES, 'p', 'f', "'pt'", 'ord')} AS v_type,
+         {_choice(K.REALISTIC_PARAM_NAMES, 'p', 'f', "'pn'", 'ord')} || '_' || f || '_' || {_randint(0, 9, 'p', 'f', "'pd'", 'ord')}
+           AS raw_name
+  FROM (SELECT p, f, CAST(unnest(range(n_params)) AS BIGINT) AS ord FROM gfun)
+),
+gv0 AS (
+  SELECT g.p, g.f, g.is_micro, CAST(unnest(range(g.n_locals)) AS BIGINT) AS ord FROM gfun g
+),
+gloc AS (
+  SELECT p, f, ord,
+         CASE WHEN is_micro THEN {_choice(K.C_TYPES, 'p', 'f', "'vt'", 'ord')} ELSE {_choice(K.ALL_TYPES, 'p', 'f', "'vt'", 'ord')} END
+           AS v_type,
+         (NOT is_micro) AND {_u('p', 'f', "'arr'", 'ord')} < 0.35 AS is_array,
+         {_u('p', 'f', "'ghost'", 'ord')} > 0.8 AS is_ghost,
+         {_name_sql('var_', "'v'")} AS raw_name
+  FROM gv0
+),
+gptr AS (
+  SELECT p, f, ord AS target_ord, {_name_sql('p', "'ptr'")} AS raw_name
+  FROM gloc WHERE NOT is_array AND NOT is_ghost AND {_u('p', 'f', "'alias'", 'ord')} < 0.4
+),
+gall AS (
+  SELECT p, f, 0 AS kind, ord, raw_name, false AS is_ghost FROM gpar
+  UNION ALL SELECT p, f, 1, ord, raw_name, is_ghost FROM gloc
+  UNION ALL SELECT p, f, 2, target_ord, raw_name, false FROM gptr
+),
+gnames AS (
+  SELECT p, f, kind, ord, is_ghost,
+         CASE WHEN rn = 1 THEN raw_name ELSE raw_name || '_' || (rn - 1) END AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY p, f, raw_name ORDER BY kind, ord) AS rn FROM gall)
+)
+"""
+    return fns
+
+
+def _name_sql(prefix: str, tag: str) -> str:
+    from framewright.operators import synth as K
+    h = f"md5(concat_ws('|', '42', p, f, {tag}, ord, 'name'))"
+    sl = [f"CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT)" for i in range(4)]
+    arr = "[" + ", ".join("'" + v + "'" for v in K.REALISTIC_VAR_NAMES) + "]"
+    realistic = f"{arr}[{sl[1]} % {len(K.REALISTIC_VAR_NAMES)} + 1] || ({sl[2]} % 100)"
+    letters = " || ".join(f"chr(CAST(97 + floor({sl[3]} / {26 ** i}) % 26 AS INTEGER))" for i in range(4))
+    return f"CASE WHEN ({sl[0]} % 1000000) / 1000000.0 < 0.6 THEN {realistic} ELSE '{prefix}' || {letters} END"
+
+
+GEN = "WITH " + _gen_sql()
+ORACLES["gen_functions"] = GEN + "SELECT * FROM gfun"
+ORACLES["gen_params"] = GEN + "SELECT p, f, ord, v_type, raw_name FROM gpar"
+ORACLES["gen_locals"] = GEN + f"""
+SELECT p, f, ord, v_type, is_array,
+       CASE WHEN is_array THEN {_randint(8, 256, 'p', 'f', "'asz'", 'ord')} ELSE CAST(0 AS BIGINT) END AS array_size,
+       is_ghost, raw_name FROM gloc
+"""
+ORACLES["gen_pointers"] = GEN + "SELECT p, f, target_ord, raw_name FROM gptr"
+ORACLES["gen_names"] = GEN + "SELECT p, f, CAST(kind AS BIGINT) AS kind, ord, name FROM gnames"
+ORACLES["gen_labels"] = GEN + """
+SELECT p, f, string_agg(name, ',' ORDER BY kind, ord) AS names, CAST(count(*) AS BIGINT) AS n_variables
+FROM gnames WHERE kind = 0 OR NOT is_ghost GROUP BY p, f
+"""
