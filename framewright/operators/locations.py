@@ -132,19 +132,22 @@ class LabelRun:
     """
 
     def __init__(self, files: DataFrame, key: str = "file_key", match: str = "substring",
-                 materialize: str | None = "persist"):
+                 materialize: str | None = "checkpoint"):
         """``materialize``: how the per-line table, read by three branches
-        (frames, mentions, registers), is kept: ``"persist"`` (memory and
-        disk; lost blocks are recomputed from lineage), ``"checkpoint"``
-        (written to ``spark.checkpoint.dir``) or ``None`` (recompute)."""
+        (frames, mentions, registers), is kept: ``"persist"`` (executor
+        local disk, off the heap; lost blocks are recomputed from lineage),
+        ``"checkpoint"`` (written to ``spark.checkpoint.dir``, cuts lineage)
+        or ``None`` (recompute in every branch)."""
         self.key = key
         self.match = match
+        self.materialize = materialize
+        self._updated = None
         self.functions, self.bodies = function_bodies(files, key)
         self.variables = explode_variables(self.functions, key).join(
             self.functions.select(key, "fn_ord", "lname"), [key, "fn_ord"])
         lines = block_offsets(classified_lines(self.bodies, key), key)
         if materialize == "persist":
-            lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+            lines = lines.persist(StorageLevel.DISK_ONLY)
         elif materialize == "checkpoint":
             lines = cut_lineage(lines)
         self.lines = lines
@@ -152,6 +155,8 @@ class LabelRun:
 
     def close(self) -> None:
         self.lines.unpersist()
+        if self._updated is not None:
+            self._updated.unpersist()
 
     # D6
     def registers(self) -> DataFrame:
@@ -237,7 +242,18 @@ class LabelRun:
         """D14 per function: ``key, fn_ord, fn`` with the label struct after
         the update.  Functions whose procedure was not found keep every old
         value; found ones get the new frame and, per variable, the new
-        location when found, else the old one."""
+        location when found, else the old one.  Materialised once per run
+        (formatting and evaluation both read it)."""
+        if self._updated is None:
+            upd = self._updated_functions()
+            if self.materialize == "checkpoint":
+                upd = cut_lineage(upd)
+            elif self.materialize == "persist":
+                upd = upd.persist(StorageLevel.DISK_ONLY)
+            self._updated = upd
+        return self._updated
+
+    def _updated_functions(self) -> DataFrame:
         k = self.key
         app = self.applied()
         fr = self.function_frames().select(k, "fn_ord", F.lit(True).alias("_hit"),

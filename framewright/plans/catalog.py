@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.locations import LabelRun
 from framewright.plans.fixture_corpus import corpus_files
-from framewright.session import apply_semantic_conf
+from framewright.session import apply_semantic_conf, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -247,9 +247,20 @@ from framewright.operators import scoring as S  # noqa: E402
 from framewright.plans.predictions import planted_prediction  # noqa: E402
 
 
+_EVAL_ROWS: dict = {}
+
+
 def eval_rows(spark, sf_dir) -> DataFrame:
     """Ground truth = answer JSON of each labelled function; the prediction is
-    planted from it by class ``k % 9``; ``sample_idx = k``."""
+    planted from it by class ``k % 9``; ``sample_idx = k``.  Materialised once
+    per session: it is the input table of every scoring query."""
+    key = (id(spark), sf_dir)
+    if key not in _EVAL_ROWS:
+        _EVAL_ROWS[key] = cut_lineage(_eval_rows(spark, sf_dir))
+    return _EVAL_ROWS[key]
+
+
+def _eval_rows(spark, sf_dir) -> DataFrame:
     upd = _run(spark, sf_dir).updated_functions()
     k = F.substring(F.col("fn.function_name"), 4, 64).cast("bigint")
     plus_one = F.col("fn").withField("stack_allocation_size_bytes", F.col("fn.stack_allocation_size_bytes") + 1)
