@@ -221,6 +221,8 @@ SELECT file_key, md5(string_agg(line, chr(10) ORDER BY k, ord)) AS sanitized_md5
 FROM clean GROUP BY file_key
 """)
 
+ORACLES["sanitize_dataset"] = ORACLES["strip_debug"]
+
 ORACLES["listing_lines"] = text_corpus("""
 SELECT file_key, 'fn_' || k AS function_name,
        CAST(count(*) FILTER (WHERE ord BETWEEN -99 AND 9002) + 2 AS BIGINT) AS n_lines,
