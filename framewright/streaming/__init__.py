@@ -1,0 +1,7 @@
+"""Incremental driving of the batch stages.
+
+The original tools have no streaming stage; every stage is a batch job.
+``incremental`` only re-runs the existing stitch + label operators on
+listing files as they arrive (file source + ``foreachBatch``); it adds no
+operator of its own.
+"""

@@ -1,0 +1,40 @@
+"""Stitch and label listings as they land in a folder.
+
+``readStream`` over the listing folder (binary file source, one row per new
+file) -> per micro-batch: join to the records by listing name (B2), label
+(D1-D14), append the updated records to ``out_dir``.  The stream's
+checkpoint folder makes the file log exactly-once: a restarted query skips
+files already processed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framewright.operators.locations import LabelRun
+from framewright.operators.pairing import stitch_listings
+from framewright.sources.files import decode_text
+
+
+def start(spark: SparkSession, listing_dir: str, records: DataFrame, out_dir: str, checkpoint_dir: str,
+          trigger_once: bool = False):
+    """Start the stream; returns the ``StreamingQuery``.
+
+    ``records``: a static DataFrame of file records (``file_no``,
+    ``file_key``, ``source_code_c``, ``assembly_code``, ``label``)."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                           T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    files = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.asm").load(listing_dir)
+             .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+                     decode_text(F.col("content"), "replace").alias("content")))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        stitched = stitch_listings(records, batch).filter("stitched").drop("stitched")
+        run = LabelRun(stitched, materialize=None)
+        run.updated_files(stitched).write.mode("append").json(out_dir)
+
+    writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if trigger_once else writer
+    return writer.start()
