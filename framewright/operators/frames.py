@@ -51,28 +51,27 @@ def frame_line_columns(raw: Column, line_no: Column) -> dict[str, Column]:
     }
 
 
-def frames_from_lines(lines: DataFrame, key: str = "file_key") -> DataFrame:
+def frames_from_blocks(blocks: DataFrame, key: str = "file_key") -> DataFrame:
     """D1-D3 + D17 per procedure: ``key, lname, stack_allocation_instruction,
     stack_allocation_size_bytes, alloc_index``.
 
-    ``lines`` needs ``line_no, alloc_inst, alloc_bytes, push_hit, push_stop,
-    code_rank`` (see ``locations.classified_lines``)."""
-    head = lines.filter(F.col("line_no") < ALLOC_WINDOW_LINES)
-    agg = head.groupBy(key, "lname").agg(
-        F.array_sort(F.collect_list(F.when(F.col("alloc_inst").isNotNull(),
-                                           F.struct("line_no", "alloc_inst")))).alias("hits"),
-        F.sum(F.coalesce("alloc_bytes", F.lit(0))).alias("explicit_size"),
-        F.min(F.when(F.col("alloc_inst").isNotNull(), F.col("code_rank"))).alias("explicit_idx"),
-        F.min(F.when(F.col("push_stop"), F.col("line_no"))).alias("stop_line"),
-        F.collect_list(F.when(F.col("push_hit"), F.struct("line_no", "code_rank"))).alias("pushes"))
+    ``blocks`` carries per-block partials of the first 40 lines (``allocs``,
+    ``pushes``, ``stop_line``; see ``locations.block_facts``); this second
+    aggregation keeps the procedure partitioning, so it adds no exchange."""
+    agg = blocks.groupBy(key, "lname").agg(
+        F.array_sort(F.flatten(F.collect_list("allocs"))).alias("hits"),
+        F.min("stop_line").alias("stop_line"),
+        F.flatten(F.collect_list("pushes")).alias("pushes"))
     has_explicit = F.size("hits") > 0
+    explicit_size = F.aggregate("hits", F.lit(0).cast("bigint"),
+                                lambda acc, h: acc + F.coalesce(h["alloc_bytes"], F.lit(0).cast("bigint")))
     stop = F.coalesce(F.col("stop_line"), F.lit(PUSH_WINDOW_LINES))
     pushes = F.filter("pushes", lambda p: p["line_no"] < stop)
     n_push = F.size(pushes)
     text = F.when(has_explicit, F.array_join(F.transform("hits", lambda h: h["alloc_inst"]), " | ")) \
         .when(n_push > 0, F.concat(F.lit("push reg (x"), n_push.cast("string"), F.lit(")")))
-    size = F.when(has_explicit, F.col("explicit_size")).otherwise((n_push * PUSH_BYTES).cast("bigint"))
-    idx = F.when(has_explicit, F.col("explicit_idx")) \
+    size = F.when(has_explicit, explicit_size).otherwise((n_push * PUSH_BYTES).cast("bigint"))
+    idx = F.when(has_explicit, F.col("hits")[0]["code_rank"]) \
         .when(n_push > 0, F.array_min(F.transform(pushes, lambda p: p["code_rank"])))
     return agg.select(key, "lname", text.alias("stack_allocation_instruction"),
                       F.when(size > 0, size).cast("bigint").alias("stack_allocation_size_bytes"),

@@ -38,7 +38,7 @@ from framewright.functions.patterns import (
 from framewright.functions.text import parse_offset, py_strip
 from framewright.operators.extract import function_bodies, explode_variables
 from framewright.session import cut_lineage
-from framewright.operators.frames import frame_line_columns, frames_from_lines
+from framewright.operators.frames import frame_line_columns, frames_from_blocks
 
 
 def format_reference(offset: Column) -> Column:
@@ -65,25 +65,48 @@ def classified_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
         .withColumn("code_rank", F.sum((~F.col("is_comment")).cast("bigint")).over(run))
 
 
-def block_offsets(lines: DataFrame, key: str = "file_key") -> DataFrame:
-    """D8/D9 on every line: ``write_off`` / ``any_off`` of the line's block."""
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """D8/D9 per code line: ``w_off`` (first write ``[ebp±N]``) and ``a_off``
+    (first ``[ebp±N]`` of the line); null when absent or unparsable."""
     # both patterns need the literal '[ebp'; other lines skip the regexes
     code = ~F.col("is_comment") & F.lower("text").contains("[ebp")
     w_raw = F.regexp_extract("text", WRITE_EBP, 1)
     a_raw = F.regexp_extract("text", ANY_EBP, 1)
-    w_off = F.when(code & (w_raw != ""), parse_offset(w_raw))
-    a_off = F.when(code & (a_raw != ""), parse_offset(a_raw))
-    wb = Window.partitionBy(key, "lname", "block_id").orderBy("line_no") \
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return lines.withColumn("block_write_off", F.first(w_off, ignorenulls=True).over(wb)) \
-        .withColumn("block_any_off", F.first(a_off, ignorenulls=True).over(wb))
+    return lines.withColumn("w_off", F.when(code & (w_raw != ""), parse_offset(w_raw))) \
+        .withColumn("a_off", F.when(code & (a_raw != ""), parse_offset(a_raw)))
 
 
-def register_facts(lines: DataFrame, key: str = "file_key") -> DataFrame:
+def block_facts(lines: DataFrame, key: str = "file_key") -> DataFrame:
+    """One row per block, from one aggregation that keeps the procedure
+    partitioning (no exchange, no sort):
+
+    * ``write_off`` / ``any_off``: first write offset / first any offset (D8/D9)
+    * ``comment_text``: all comment lines joined (register facts, D6)
+    * ``active``: non-declaration comment lines (mentions, D7/D10)
+    * frame partials of the first 40 lines (``allocs``, ``pushes``, ``stop_line``)
+    """
+    c = F.col
+    active = c("is_comment") & ~c("text").rlike(DECL_COMMENT)
+    g = lines.groupBy(key, "lname", "block_id").agg(
+        F.min_by("w_off", F.when(c("w_off").isNotNull(), c("line_no"))).alias("write_off"),
+        F.min_by("a_off", F.when(c("a_off").isNotNull(), c("line_no"))).alias("any_off"),
+        F.array_sort(F.collect_list(F.when(c("is_comment"), F.struct("line_no", "text")))).alias("_comments"),
+        F.array_sort(F.collect_list(F.when(active, F.struct("line_no", "text")))).alias("_active"),
+        F.count_if(c("is_comment")).cast("bigint").alias("n_comment"),
+        F.count_if(~c("is_comment")).cast("bigint").alias("n_code"),
+        F.collect_list(F.when(c("alloc_inst").isNotNull(),
+                              F.struct("line_no", "alloc_inst", "alloc_bytes", "code_rank"))).alias("allocs"),
+        F.collect_list(F.when(c("push_hit"), F.struct("line_no", "code_rank"))).alias("pushes"),
+        F.min(F.when(c("push_stop"), c("line_no"))).alias("stop_line"))
+    return g.select(key, "lname", "block_id", "write_off", "any_off",
+                    F.array_join(F.transform("_comments", lambda x: x["text"]), "\n").alias("comment_text"),
+                    F.transform("_active", lambda x: x["text"]).alias("active"),
+                    "n_comment", "n_code", "allocs", "pushes", "stop_line")
+
+
+def register_facts(blocks: DataFrame, key: str = "file_key") -> DataFrame:
     """``key, lname, var, reg`` — last register fact per variable."""
-    comments = lines.filter("is_comment").groupBy(key, "lname", "block_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))),
-                                 lambda x: x["text"]), "\n").alias("comment_text"))
+    comments = blocks.filter(F.col("n_comment") > 0)
     pairs = comments.select(
         key, "lname", "block_id",
         F.posexplode(F.arrays_zip(F.regexp_extract_all("comment_text", F.lit(REG_FACT), 1).alias("reg"),
@@ -95,20 +118,20 @@ def register_facts(lines: DataFrame, key: str = "file_key") -> DataFrame:
         F.max_by("reg", F.struct("block_id", "pos")).alias("reg"))
 
 
-def mention_candidates(lines: DataFrame, names: DataFrame, key: str = "file_key",
+def mention_candidates(blocks: DataFrame, names: DataFrame, key: str = "file_key",
                        only_with_offset: bool = True, match: str = "substring") -> DataFrame:
-    """``key, lname, cand, block_id[, off]`` — text pieces of active
+    """``key, lname, cand, block_id, off`` — text pieces of active
     comment lines that can equal a variable name of the procedure.
 
     ``names``: ``key, lname, variable_name`` (distinct).
     ``match="word"`` uses whole ``\\w+`` tokens instead of substrings.
     """
-    active = F.col("is_comment") & ~F.col("text").rlike(DECL_COMMENT)
-    src = lines.filter(active)
+    src = blocks.filter(F.size("active") > 0)
     if only_with_offset:
-        src = src.withColumn("off", F.coalesce("block_write_off", "block_any_off")).filter(F.col("off").isNotNull())
+        src = src.withColumn("off", F.coalesce("write_off", "any_off")).filter(F.col("off").isNotNull())
     else:
         src = src.withColumn("off", F.lit(None).cast("bigint"))
+    src = src.select(key, "lname", "block_id", "off", F.explode("active").alias("text"))
     if match == "word":
         return src.select(key, "lname", "block_id", "off",
                           F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0))).alias("cand"))
@@ -142,25 +165,22 @@ class LabelRun:
         self.match = match
         self.materialize = materialize
         self._updated = None
+        self._locations = None
         self.functions, self.bodies = function_bodies(files, key)
         self.variables = explode_variables(self.functions, key).join(
             self.functions.select(key, "fn_ord", "lname"), [key, "fn_ord"])
-        lines = block_offsets(classified_lines(self.bodies, key), key)
-        if materialize == "persist":
-            lines = lines.persist(StorageLevel.DISK_ONLY)
-        elif materialize == "checkpoint":
-            lines = cut_lineage(lines)
-        self.lines = lines
-        self.frames = frames_from_lines(self.lines, key)
+        self.lines = line_offsets(classified_lines(self.bodies, key))
+        self.blocks = self._keep(block_facts(self.lines, key))
+        self.frames = frames_from_blocks(self.blocks, key)
 
     def close(self) -> None:
-        self.lines.unpersist()
-        if self._updated is not None:
-            self._updated.unpersist()
+        for df in (self.blocks, self._locations, self._updated):
+            if df is not None:
+                df.unpersist()
 
     # D6
     def registers(self) -> DataFrame:
-        return register_facts(self.lines, self.key)
+        return register_facts(self.blocks, self.key)
 
     def names(self) -> DataFrame:
         return self.variables.select(self.key, "lname", "variable_name").filter(
@@ -169,21 +189,35 @@ class LabelRun:
     # D10 (all mention pairs)
     def mentions(self) -> DataFrame:
         k = self.key
-        cands = mention_candidates(self.lines, self.names(), k, only_with_offset=False, match=self.match)
+        cands = mention_candidates(self.blocks, self.names(), k, only_with_offset=False, match=self.match)
         return cands.join(self.names().withColumnRenamed("variable_name", "cand"), [k, "lname", "cand"]) \
             .select(k, "lname", F.col("cand").alias("variable_name"), "block_id").distinct()
 
     # D11
     def resolved_offsets(self) -> DataFrame:
         k = self.key
-        cands = mention_candidates(self.lines, self.names(), k, only_with_offset=True, match=self.match)
+        cands = mention_candidates(self.blocks, self.names(), k, only_with_offset=True, match=self.match)
         first = cands.groupBy(k, "lname", "cand").agg(F.min_by("off", "block_id").alias("offset"),
                                                       F.min("block_id").alias("block_id"))
         return first.join(self.names().withColumnRenamed("variable_name", "cand"), [k, "lname", "cand"]) \
             .select(k, "lname", F.col("cand").alias("variable_name"), "offset", "block_id")
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if self.materialize == "checkpoint":
+            return cut_lineage(df)
+        if self.materialize == "persist":
+            return df.persist(StorageLevel.DISK_ONLY)
+        return df
+
     # One row per label variable of a function whose procedure was found
     def locations(self) -> DataFrame:
+        """Materialised once per run: the report, the update, region offsets
+        and everything downstream read it."""
+        if self._locations is None:
+            self._locations = self._keep(self._compute_locations())
+        return self._locations
+
+    def _compute_locations(self) -> DataFrame:
         k = self.key
         found_procs = self.bodies.select(k, "lname")
         v = self.variables.join(found_procs, [k, "lname"], "left_semi")
@@ -245,12 +279,7 @@ class LabelRun:
         location when found, else the old one.  Materialised once per run
         (formatting and evaluation both read it)."""
         if self._updated is None:
-            upd = self._updated_functions()
-            if self.materialize == "checkpoint":
-                upd = cut_lineage(upd)
-            elif self.materialize == "persist":
-                upd = upd.persist(StorageLevel.DISK_ONLY)
-            self._updated = upd
+            self._updated = self._keep(self._updated_functions())
         return self._updated
 
     def _updated_functions(self) -> DataFrame:

@@ -100,7 +100,7 @@ def q_resolve_offsets(spark, sf_dir):
 from framewright.operators import chat as G  # noqa: E402
 from framewright.operators.extract import c_functions, listing_lines  # noqa: E402
 from framewright.operators.sanitize import sanitize_dataset, strip_debug  # noqa: E402
-from framewright.functions.patterns import DECL_COMMENT  # noqa: E402
+
 
 
 def _fn_names(run: LabelRun) -> DataFrame:
@@ -120,8 +120,7 @@ def q_listing_lines(spark, sf_dir):
     lines = listing_lines(run.bodies)
     agg = lines.groupBy("file_key", "lname").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_lines"))
-    code = run.lines.groupBy("file_key", "lname").agg(
-        F.count_if(~F.col("is_comment")).cast("bigint").alias("n_code_lines"))
+    code = run.blocks.groupBy("file_key", "lname").agg(F.sum("n_code").cast("bigint").alias("n_code_lines"))
     return agg.join(code, ["file_key", "lname"]).join(_fn_names(run), ["file_key", "lname"]).select(
         "file_key", "function_name", "n_lines", "n_code_lines")
 
@@ -129,9 +128,9 @@ def q_listing_lines(spark, sf_dir):
 @query("segment_blocks")
 def q_segment_blocks(spark, sf_dir):
     run = _run(spark, sf_dir)
-    agg = run.lines.groupBy("file_key", "lname").agg(
+    agg = run.blocks.groupBy("file_key", "lname").agg(
         (F.max("block_id") + 1).cast("bigint").alias("n_blocks"),
-        F.count_if("is_comment").cast("bigint").alias("n_comment_lines"))
+        F.sum("n_comment").cast("bigint").alias("n_comment_lines"))
     return agg.join(_fn_names(run), ["file_key", "lname"]).select(
         "file_key", "function_name", "n_blocks", "n_comment_lines")
 
@@ -139,8 +138,7 @@ def q_segment_blocks(spark, sf_dir):
 @query("active_comments")
 def q_active_comments(spark, sf_dir):
     run = _run(spark, sf_dir)
-    agg = run.lines.groupBy("file_key", "lname").agg(
-        F.count_if(F.col("is_comment") & ~F.col("text").rlike(DECL_COMMENT)).cast("bigint").alias("n_active_comments"))
+    agg = run.blocks.groupBy("file_key", "lname").agg(F.sum(F.size("active")).cast("bigint").alias("n_active_comments"))
     return agg.join(_fn_names(run), ["file_key", "lname"]).select("file_key", "function_name", "n_active_comments")
 
 
@@ -152,8 +150,8 @@ def q_var_block_mentions(spark, sf_dir):
 
 
 def _block_facts(run: LabelRun) -> DataFrame:
-    return run.lines.groupBy("file_key", "lname", "block_id").agg(
-        F.first("block_write_off").alias("write_offset"), F.first("block_any_off").alias("any_offset"))
+    return run.blocks.select("file_key", "lname", "block_id", F.col("write_off").alias("write_offset"),
+                             F.col("any_off").alias("any_offset"))
 
 
 @query("block_write_offset")
