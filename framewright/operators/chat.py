@@ -68,9 +68,12 @@ def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame
     ``labels``: optional ``key, fn_ord, fn`` with label structs that replace
     the nested ones of ``files`` (e.g. ``LabelRun.updated_functions()``), so
     a fresh labelling need not be nested back into file records first."""
-    asm = asm_functions(files, key)
-    cf = c_functions(files, key)
-    j = asm.join(cf, [key, "fn_ord", "function_name"])
+    asm = asm_functions(files, key).select(key, "fn_ord", "asm_function")
+    fns = files.select(key, F.posexplode("label.functions").alias("fn_ord", "fn")) \
+        .withColumn("fn_ord", F.col("fn_ord").cast("bigint"))
+    cf = c_functions(files, key).join(fns, [key, "fn_ord"])
+    # functions of files without a listing stay, with an empty listing part
+    j = cf.join(asm, [key, "fn_ord"], "left").withColumn("asm_function", F.coalesce("asm_function", F.lit("")))
     if labels is not None:
         j = j.drop("fn").join(labels.select(key, "fn_ord", "fn"), [key, "fn_ord"])
     reg = registry_json(variable_registry(F.col("fn.variable_mapping")))
