@@ -511,9 +511,16 @@ def _programs(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "orders")).select("o_orderkey")
 
 
+_GEN: dict = {}
+
+
 def _gen(spark, sf_dir):
-    fns = K.gen_functions(_programs(spark, sf_dir), "o_orderkey")
-    return fns, K.declared(fns)
+    """Functions and the declaration table, materialised once per session."""
+    key = (id(spark), sf_dir)
+    if key not in _GEN:
+        fns = K.gen_functions(_programs(spark, sf_dir), "o_orderkey")
+        _GEN[key] = (fns, cut_lineage(K.declared(fns)))
+    return _GEN[key]
 
 
 @query("gen_functions")
