@@ -24,26 +24,33 @@ def rank_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def _cut(df: DataFrame, h: str, n_first: int) -> tuple[int, int]:
-    """(cut bucket, rows needed from it) so that ``n_first`` rows come first.
-
-    Reads the bucket histogram (at most 65,536 rows, independent of the data
-    size) to the driver."""
+def _histogram(df: DataFrame, h: str) -> list[tuple[int, int]]:
+    """(bucket, rows) for the first hex digits of the rank hash — at most
+    65,536 rows whatever the data size; read to the driver."""
     b = F.conv(F.substring(h, 1, _BUCKET_HEX_DIGITS), 16, 10).cast("int")
-    hist = df.groupBy(b.alias("b")).count().orderBy("b").collect()
+    return [(r["b"], r["count"]) for r in df.groupBy(b.alias("b")).count().collect()]
+
+
+def _cut(hist: list[tuple[int, int]], n_first: int) -> tuple[int, int]:
+    """(cut bucket, rows needed from it) so that ``n_first`` rows come first."""
     before = 0
-    for row in hist:
-        if before + row["count"] >= n_first:
-            return row["b"], n_first - before
-        before += row["count"]
+    for b, cnt in sorted(hist):
+        if before + cnt >= n_first:
+            return b, n_first - before
+        before += cnt
     return 1 << (4 * _BUCKET_HEX_DIGITS), 0
 
 
-def first_by_hash(df: DataFrame, key: str, n_first: int, seed: int = SPLIT_SEED, flag: str = "is_first") -> DataFrame:
-    """Add ``flag``: true for the ``n_first`` rows with the smallest hash rank."""
+def first_by_hash(df: DataFrame, key: str, n_first, seed: int = SPLIT_SEED, flag: str = "is_first") -> DataFrame:
+    """Add ``flag``: true for the ``n_first`` rows with the smallest hash rank.
+
+    ``n_first``: a row count, or a function of the total row count (taken
+    from the histogram, so no separate count job runs)."""
     h = "_h"
     d = df.withColumn(h, rank_hash(F.col(key), seed))
-    cut_b, need = _cut(d, h, n_first)
+    hist = _histogram(d, h)
+    n = sum(c for _, c in hist)
+    cut_b, need = _cut(hist, n_first(n) if callable(n_first) else n_first)
     b = F.conv(F.substring(h, 1, _BUCKET_HEX_DIGITS), 16, 10).cast("int")
     d = d.withColumn("_b", b)
     below = d.filter(F.col("_b") != cut_b).withColumn(flag, F.col("_b") < cut_b)
@@ -52,21 +59,15 @@ def first_by_hash(df: DataFrame, key: str, n_first: int, seed: int = SPLIT_SEED,
     return below.unionByName(at).drop(h, "_b")
 
 
-def split_train_val(df: DataFrame, key: str, val_fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED,
-                    n: int | None = None) -> DataFrame:
+def split_train_val(df: DataFrame, key: str, val_fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED) -> DataFrame:
     """add ``split`` in {train, val}; val size = ceil(fraction * n)."""
-    n = df.count() if n is None else n
-    n_val = math.ceil(val_fraction * n)
-    out = first_by_hash(df, key, n_val, seed, "_val")
+    out = first_by_hash(df, key, lambda n: math.ceil(val_fraction * n), seed, "_val")
     return out.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
-def slice_sample(df: DataFrame, key: str, keep_fraction: float, seed: int = SPLIT_SEED,
-                 n: int | None = None) -> DataFrame:
+def slice_sample(df: DataFrame, key: str, keep_fraction: float, seed: int = SPLIT_SEED) -> DataFrame:
     """keep the first floor(fraction * n) rows of the seeded order."""
-    n = df.count() if n is None else n
-    n_keep = int(n * keep_fraction)
-    return first_by_hash(df, key, n_keep, seed, "_keep").filter("_keep").drop("_keep")
+    return first_by_hash(df, key, lambda n: int(n * keep_fraction), seed, "_keep").filter("_keep").drop("_keep")
 
 
 def sample_limit(df: DataFrame, order_col: str, limit: int) -> DataFrame:
