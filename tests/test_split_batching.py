@@ -4,7 +4,6 @@ import hashlib
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from framewright.operators import batching as H
 from framewright.operators import split as SP
