@@ -82,12 +82,18 @@ def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame
                     build_target(F.col("fn")).alias("target"))
 
 
+def _both_parts_found() -> Column:
+    """Skip rule as ONE predicate over both join sides: split into
+    conjuncts it would be pushed below the join into the C-cut projection
+    and evaluate that regex work twice."""
+    return F.least(F.length("c_function"), F.length("asm_function")) > 0
+
+
 def chat_examples(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
     """One ``messages`` row per function whose C and listing parts
     were both found."""
     f = format_functions(files, key, labels)
-    ok = (F.col("c_function") != "") & (F.col("asm_function") != "")
-    return f.filter(ok).select(
+    return f.filter(_both_parts_found()).select(
         key, "fn_ord", "function_name", "prompt", "target",
         F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
                 F.struct(F.lit("assistant").alias("role"), F.col("target").alias("content"))).alias("messages"))
@@ -96,7 +102,7 @@ def chat_examples(files: DataFrame, key: str = "file_key", labels: DataFrame | N
 def format_report(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
     """Formatted / skipped counts."""
     f = format_functions(files, key, labels)
-    ok = (F.col("c_function") != "") & (F.col("asm_function") != "")
+    ok = _both_parts_found()
     return f.agg(F.count_if(ok).cast("bigint").alias("formatted"),
                  F.count_if(~ok).cast("bigint").alias("skipped"))
 
