@@ -3,10 +3,13 @@ functions, number listing lines).
 
 Procedures are cut with one literal-pattern scan per file
 (``regexp_extract_all`` with a back-reference) instead of one regex per
-function, so a file is scanned once however many functions it holds.  A
-label function whose exact name the scan does not find (e.g. it only occurs
-as the tail of a longer name) takes the per-name pattern of the original
-rule, inside the same row.
+function, so a file is scanned once however many functions it holds.  The
+per-name rule has no left boundary, so a header ``_my_f proc near`` also
+answers to ``f``: every header is indexed under its name and each tail after
+an ``_``, and a name takes the earliest header that answers to it.  A label
+function that no scanned header answers to (e.g. a header hidden inside
+another procedure) takes the per-name pattern of the original rule, inside
+the same row.
 """
 
 from __future__ import annotations
@@ -40,16 +43,35 @@ def explode_variables(functions: DataFrame, key: str = "file_key") -> DataFrame:
                       F.col("v.allocation_space_offset").alias("old_allocation_space_offset"))
 
 
+def _tails(lname: Column) -> Column:
+    """Every name a header answers to: the whole name and each tail after an
+    ``_`` (``a_b_c`` -> ``a_b_c``, ``b_c``, ``c``), as the per-name rule has no
+    left boundary."""
+    parts = F.split(lname, "_")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)),
+                                lambda j: F.array_join(F.slice(parts, j, F.size(parts)), "_")),
+                    lambda t: t != "")
+
+
 def _scan_sorted(asm: Column) -> Column:
-    """Procedures of one listing as ``(lname, pos, body)`` sorted by name, position."""
+    """Procedure headers of one listing as ``(lname, pos)`` for every name
+    they answer to, sorted by name then position (``pos`` indexes the bodies
+    of ``_scan_bodies``)."""
     names = F.regexp_extract_all(asm, F.lit(PROC_SCAN), 1)
-    bodies = F.regexp_extract_all(asm, F.lit(PROC_SCAN), 2)
-    zipped = F.arrays_zip(names.alias("name"), bodies.alias("body"))
-    keyed = F.transform(zipped, lambda x, i: F.struct(F.lower(x["name"]).alias("lname"),
-                                                      i.alias("pos"), x["body"].alias("body")))
+    keyed = F.flatten(F.transform(names, lambda n, i: F.transform(
+        _tails(F.lower(n)), lambda t: F.struct(t.alias("lname"), i.alias("pos")))))
     return F.array_sort(keyed)
 
 
+def _scan_bodies(asm: Column) -> Column:
+    return F.regexp_extract_all(asm, F.lit(PROC_SCAN), 2)
+
+
+def _with_bodies(first: Column, bodies: Column) -> Column:
+    return F.transform(first, lambda p: F.struct(p["lname"].alias("lname"), p["pos"].alias("pos"),
+                                                 F.element_at(bodies, p["pos"] + 1).alias("body")))
+
+
 def _first_per_name(sorted_col: Column) -> Column:
     """Keep the first occurrence of each name.  ``sorted_col`` must be a
     materialised column (it is referenced inside the lambda)."""
@@ -65,8 +87,8 @@ def proc_pattern(name: Column) -> Column:
 def split_procs(files: DataFrame, key: str = "file_key", asm: str = "assembly_code") -> DataFrame:
     """C2 (scan): every procedure of every listing: ``key, lname, proc_pos, body``."""
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
-    out = src.select(key, _scan_sorted(F.col(asm)).alias("_sorted")) \
-        .select(key, F.explode(_first_per_name(F.col("_sorted"))).alias("p"))
+    out = src.select(key, _scan_sorted(F.col(asm)).alias("_sorted"), _scan_bodies(F.col(asm)).alias("_bodies")) \
+        .select(key, F.explode(_with_bodies(_first_per_name(F.col("_sorted")), F.col("_bodies"))).alias("p"))
     return out.select(key, F.col("p.lname").alias("lname"), F.col("p.pos").cast("bigint").alias("proc_pos"),
                       F.col("p.body").alias("body"))
 
@@ -87,8 +109,9 @@ def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembl
     """
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
     procs = F.col("_procs")
-    with_scan = src.select(key, asm, "label", _scan_sorted(F.col(asm)).alias("_sorted")) \
-        .select(key, asm, "label", _first_per_name(F.col("_sorted")).alias("_procs"))
+    with_scan = src.select(key, asm, "label", _scan_sorted(F.col(asm)).alias("_sorted"),
+                           _scan_bodies(F.col(asm)).alias("_bodies")) \
+        .select(key, asm, "label", _with_bodies(_first_per_name(F.col("_sorted")), F.col("_bodies")).alias("_procs"))
     lnames = F.transform(procs, lambda p: p["lname"])
 
     def slow(f):

@@ -117,3 +117,12 @@ def test_first_proc_occurrence_and_suffix_fallback(spark):
     got = {r["function_name"]: r["stack_allocation_size_bytes"] for r in LabelRun(df).function_frames().collect()}
     # first occurrence, case-insensitive name; 'h' only exists as the tail of 'my_h'
     assert got == {"f": 8, "F": 8, "h": 16}
+
+
+def test_tail_name_header_before_exact_one(spark):
+    # the per-name rule has no left boundary: '_my_f proc near' answers to 'f'
+    asm = "\n".join([proc("my_f", ["\tsub esp,4"]), proc("f", ["\tsub esp,8"])])
+    df = files_df(spark, [(1, "", asm, [("f", []), ("my_f", []), ("y_f", [])])])
+    got = {r["function_name"]: r["stack_allocation_size_bytes"] for r in LabelRun(df).function_frames().collect()}
+    # '_y_f' does not occur in '_my_f' (no '_' before 'y'): not found
+    assert got == {"f": 4, "my_f": 4}
