@@ -571,3 +571,26 @@ def q_gen_source(spark, sf_dir):
     c = K.generate_corpus(_programs(spark, sf_dir), "o_orderkey")
     return c.select("file_id", F.length("source_code_c").cast("bigint").alias("c_chars"),
                     F.size("label.functions").cast("bigint").alias("n_functions"))
+
+
+# --- A1/A4: dataset write + read round trip ------------------------------------
+
+import uuid  # noqa: E402
+
+from framewright.session import ensure_checkpoint_dir  # noqa: E402
+from framewright.sources import dataset as DS  # noqa: E402
+
+
+@query("dataset_roundtrip")
+def q_dataset_roundtrip(spark, sf_dir):
+    """Write the corpus records as JSON lines (A4) into the session's shared
+    checkpoint folder, read them back with the explicit schema (A1)."""
+    files = corpus_files(spark, sf_dir).withColumn("file_id", F.col("file_key"))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/roundtrip-{uuid.uuid4().hex}"
+    DS.write_dataset(files, path)
+    back = DS.read_dataset(spark, path, multiline=False)
+    return back.select(
+        "file_key", F.size("label.functions").cast("bigint").alias("n_functions"),
+        F.aggregate(F.col("label.functions"), F.lit(0).cast("bigint"),
+                    lambda a, f: a + F.size(f["variable_mapping"])).alias("n_variables"),
+        F.md5("assembly_code").alias("asm_md5"), F.md5("source_code_c").alias("c_md5"))

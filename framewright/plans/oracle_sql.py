@@ -556,3 +556,13 @@ ORACLES["gen_labels"] = GEN + """
 SELECT p, f, string_agg(name, ',' ORDER BY kind, ord) AS names, CAST(count(*) AS BIGINT) AS n_variables
 FROM gnames WHERE kind = 0 OR NOT is_ghost GROUP BY p, f
 """
+
+
+ORACLES["dataset_roundtrip"] = text_corpus("""
+SELECT a.file_key, n_functions, n_variables, asm_md5, c_md5
+FROM (SELECT file_key, md5(string_agg(line, chr(10) ORDER BY k, ord)) AS asm_md5 FROM lines GROUP BY file_key) a
+JOIN (SELECT f.file_key, CAST(count(*) AS BIGINT) AS n_functions,
+             CAST(sum(f.nv + CASE WHEN f.k % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_variables,
+             md5(string_agg('void ' || cfn.c_function, chr(10) ORDER BY f.k)) AS c_md5
+      FROM f JOIN cfn USING (k) GROUP BY f.file_key) c USING (file_key)
+""")
