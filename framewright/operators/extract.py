@@ -34,9 +34,10 @@ def explode_functions(files: DataFrame, key: str = "file_key") -> DataFrame:
 
 def explode_variables(functions: DataFrame, key: str = "file_key") -> DataFrame:
     """One row per variable of each function (``var_ord`` keeps list order)."""
-    out = functions.select(key, "fn_ord", "function_name",
+    extra = [c for c in ("lname",) if c in functions.columns]
+    out = functions.select(key, "fn_ord", "function_name", *extra,
                            F.posexplode(F.col("fn.variable_mapping")).alias("var_ord", "v"))
-    return out.select(key, "fn_ord", "function_name", F.col("var_ord").cast("bigint").alias("var_ord"),
+    return out.select(key, "fn_ord", "function_name", *extra, F.col("var_ord").cast("bigint").alias("var_ord"),
                       F.col("v.variable_name").alias("variable_name"),
                       F.col("v.size_bytes").alias("size_bytes"),
                       F.col("v.assembly_reference").alias("old_assembly_reference"),

@@ -167,8 +167,7 @@ class LabelRun:
         self._updated = None
         self._locations = None
         self.functions, self.bodies = function_bodies(files, key)
-        self.variables = explode_variables(self.functions, key).join(
-            self.functions.select(key, "fn_ord", "lname"), [key, "fn_ord"])
+        self.variables = explode_variables(self.functions, key)
         self.lines = line_offsets(classified_lines(self.bodies, key))
         self.blocks = self._keep(block_facts(self.lines, key))
         self.frames = frames_from_blocks(self.blocks, key)
