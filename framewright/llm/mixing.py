@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.storage import stage
-from framewright.llm.text_expr import WORD, free_name, whole
+from framewright.llm.text_expr import WORD, free_name, whole, words
 
 MAX_EPOCHS = 3  # a source's target is at most this many times its size
 WEIGHTS = (1, 2, 3)  # by source in code-point order, repeating
@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     t = whole(F.col(f"`{text}`"))
-    return docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{source}`").alias("source"), F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).cast("long").alias("size"),
+    return docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{source}`").alias("source"), F.size(words(t)).cast("long").alias("size"),
                        _key(F.col(f"`{doc_id}`"), t).alias("key"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,7 +16,8 @@ def whole(text: str | Column) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than space and 0x09-0x0D."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", F.expr("array()").cast("array<string>")).otherwise(F.split(trimmed, BLANK + "+"))
 
 
 def without(text: Column, pattern: str) -> Column:
