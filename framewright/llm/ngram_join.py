@@ -12,11 +12,7 @@
    and what can follow the last of them) and a suffix filter (a lower bound of the
    symmetric difference from hash-range counts), then are verified once, on whole sets.
 
-Only links that join components matter, so candidates are taken in rounds: first one
-pair a class, with the least class of its prefixes; then, in each prefix n-gram that
-still spans several components, each class with the n-gram's leader; at last all
-remaining pairs of different components. The last round leaves out nothing, the first
-ones keep a large group of near copies from being compared pair by pair.
+Candidates are verified in rounds (``rounds``) that stop comparing what is connected.
 """
 
 from __future__ import annotations
@@ -30,13 +26,13 @@ from pyspark.sql import functions as F
 
 from framewright.llm import wordhash
 from framewright.llm.components import connected_components
+from framewright.llm.rounds import link, shared_keys
 from framewright.llm.storage import stage
 
 WIDTH = 4
 PERCENT = 85
 BUCKETS = 1 << 18
 RANGES = 16  # hash ranges of the suffix filter
-STAR_ROUNDS = 2
 
 
 def _class_of(grams: np.ndarray) -> int:
@@ -144,22 +140,6 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return stage(fit.select("a", "b", "ta", "tb").mapInArrow(run, "src BIGINT, dst BIGINT"), "links")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The prefix rows with k, the component that their class is in so far."""
-    found = connected_components(links)
-    return rows.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of n-grams that span several components, with low, the least of these."""
-    spans = rows.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").drop("high")
-    return stage(rows.join(spans, "token"), "open")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row per row of ``docs``.
 
@@ -178,36 +158,19 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     classes = stage(nodes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("ranges").alias("ranges")), "classes")
 
     prefixes = _prefixes(docs, counts, width, percent)
-    several = prefixes.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("high")
-    rows = stage(prefixes.join(several, "token").distinct(), "candidates")
+    rows = shared_keys(prefixes)
     texts = _texts(docs, rows.select("c").distinct().join(classes, "c").select("doc_id", "c"), width)
 
-    first = _ordered(rows.groupBy("c").agg(F.min("low").alias("a")).withColumnRenamed("c", "b"))
-    tried = stage(first, "tried")
-    links = _verify(tried, classes, texts, width, percent)
-    rows = rows.drop("low")
-    for _ in range(STAR_ROUNDS):
-        rows = _open(_labelled(rows, links))
-        leaders = rows.where("k = low").groupBy("token").agg(F.min("c").alias("a"))
-        star = _ordered(rows.where("k <> low").join(leaders, "token").select("a", F.col("c").alias("b")))
-        star = stage(star.join(tried, ["a", "b"], "left_anti"), "tried")
-        found = _verify(star, classes, texts, width, percent)
-        rows = rows.drop("k", "low")
-        tried, links = tried.unionByName(star), links.unionByName(found)
-        if found.isEmpty():
-            break
-    rows = _open(_labelled(rows, links))
-    x = rows.select("token", *(F.col(c).alias(f"x{c}") for c in ("c", "n", "pos", "k")))
-    y = rows.select("token", *(F.col(c).alias(f"y{c}") for c in ("c", "n", "pos", "k")))
-    rest = x.join(y, (x["token"] == y["token"]) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
-                  & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
-    rest = rest.groupBy(F.col("xc").alias("a"), F.col("yc").alias("b"), "xn", "yn").agg(
-        F.count("*").alias("m"), F.max("xpos").alias("xp"), F.max("ypos").alias("yp"))
-    # Shared n-grams stand in the same order in both sets, so what follows the last shared one bounds the rest.
-    rest = rest.where(F.col("m") + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1)
-                      >= F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))).select("a", "b")
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "tried")
-    links = links.unionByName(_verify(rest, classes, texts, width, percent))
+    def rest(x: DataFrame, y: DataFrame) -> DataFrame:
+        pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
+                       & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
+        pairs = pairs.groupBy(F.col("xc").alias("a"), F.col("yc").alias("b"), "xn", "yn").agg(
+            F.count("*").alias("m"), F.max("xpos").alias("xp"), F.max("ypos").alias("yp"))
+        # Shared n-grams stand in the same order in both sets, so what follows the last shared one bounds the rest.
+        return pairs.where(F.col("m") + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1)
+                           >= F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))).select("a", "b")
+
+    links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest)
 
     component = connected_components(links).withColumnRenamed("node", "c")
     reached = classes.select("c", "doc_id").join(component, "c")
