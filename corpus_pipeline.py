@@ -16,7 +16,7 @@ from framewright.llm.storage import stage, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,6 +143,16 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", commo
     return m.select(*(F.col(f"`{c}`") for c in keep), *new)
 
 
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", **settings) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with its columns.
+
+    The row number keeps the verdict one column: without it the planner would write the filter's
+    expressions out at every use.
+    """
+    judged = quality_rules(docs, text, lang, **settings).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
     return quality_rules(docs.select("doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
