@@ -22,6 +22,7 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.45
 MIN_WORDS_FOR_WORD_RULE = 50
 MIN_LANGUAGE_SHARE = 1 / 256  # of all words; smaller languages are compared with all texts together
+LOOKED_UP = 24  # repeated windows that are looked up one by one
 POOLED = "\0all"  # key of the reference of all texts
 #: Character classes in the order in which they are taken out of a text; the rest is the last class.
 CLASSES = (r"\p{Ll}+", BLANK + "+", r"\p{Lu}+", r"[.,;:?'\"()\-]+", r"\p{N}+", r"\p{L}+")
@@ -53,19 +54,22 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
         "_tri", F.when(F.size("_words") >= 3, F.transform(
             F.expr("slice(_words, 1, size(_words) - 2)"),
             lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.expr("array()").cast("array<bigint>")))
-    # Windows sorted by hash, with their place; needed only where some window comes twice.
-    out = out.withColumn("_pairs", F.when(
-        F.size(F.array_distinct("_tri")) < F.size("_tri"),
-        F.sort_array(F.transform("_tri", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    repeated = F.filter("_pairs", lambda e, k: F.coalesce(e["x"] == F.get("_pairs", k - 1)["x"], F.lit(False))
-                        | F.coalesce(e["x"] == F.get("_pairs", k + 1)["x"], F.lit(False)))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
+    # Windows that come twice. Few of them are looked up for each place; many, as in texts that repeat
+    # themselves, are found by sorting the windows with their places.
+    out = out.withColumn("_sorted", F.sort_array("_tri"))
+    out = out.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda x, k: x == F.get(F.col("_sorted"), k - 1))))
+    out = out.withColumn("_pairs", F.when(F.size("_twice") > LOOKED_UP, F.sort_array(F.transform("_tri", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    many = F.transform(F.filter("_pairs", lambda e, k: F.coalesce(e["x"] == F.get("_pairs", k - 1)["x"], F.lit(False))
+                                | F.coalesce(e["x"] == F.get("_pairs", k + 1)["x"], F.lit(False))), lambda e: e["i"])
+    few = F.filter(F.transform("_tri", lambda x, i: F.when(F.array_contains("_twice", x), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_at", F.when(F.size("_twice") == 0, F.expr("array()").cast("array<int>")).when(F.col("_pairs").isNotNull(), many).otherwise(few))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2)))))
     return (out.withColumn("n_words", F.size("_words").cast("long"))
             .withColumn("word_chars", (F.length("_t") - F.col("_c1")).cast("long"))
             .withColumn("n_symbols", F.length(without(F.col(f"_r{last - 1}"), SYMBOLS)).cast("long"))
             .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-            .withColumn("n_repeat_words", F.when(F.col("_pairs").isNull(), F.lit(0)).otherwise(covered).cast("long"))
-            .drop("_t", "_lines", "_tri", "_pairs", *(f"_r{k}" for k in range(last))))
+            .withColumn("n_repeat_words", covered.cast("long"))
+            .drop("_t", "_lines", "_tri", "_sorted", "_twice", "_pairs", "_at", *(f"_r{k}" for k in range(last))))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
@@ -85,7 +89,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     chars = chars.withColumn(f"_c{n - 1}", F.length(left)).groupBy("_lang").agg(*(F.sum(f"_c{k}").cast("double").alias(f"_c{k}") for k in range(n)))
     counts, chars = stage(counts, "lang-words"), stage(chars, "lang-chars")
 
-    words_of = counts.groupBy("_lang").agg(F.sum("_n").alias("_total"))
+    words_of = stage(counts.groupBy("_lang").agg(F.sum("_n").alias("_total")), "lang-totals")
     large = words_of.join(F.broadcast(words_of.agg(F.sum("_total").alias("_every"))), F.lit(True)) \
         .where((F.col("_lang") != POOLED) & (F.col("_total") >= F.col("_every") * MIN_LANGUAGE_SHARE)).select("_lang")
     own = counts.join(large, "_lang")
@@ -93,10 +97,12 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     both = own.select("_lang", "_w", "_n").unionByName(pooled)
     # The most common words by two steps, so that no language is sorted in one task.
     part = Window.partitionBy("_lang", F.pmod(F.xxhash64("_w"), F.lit(64))).orderBy(F.desc("_n"), "_w")
-    top = both.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= common) \
+    # A word that comes once is not common.
+    top = both.where("_n > 1").withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= common) \
         .withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_n"), "_w"))).where(F.col("_k") <= common)
     tops = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("_k", "_w", "_n"))).alias("_top"), F.sum("_n").alias("_inside"))
-    totals = both.groupBy("_lang").agg(F.sum("_n").alias("_all"))
+    totals = words_of.select("_lang", F.col("_total").alias("_all")).where(F.col("_lang") != POOLED) \
+        .unionByName(words_of.agg(F.sum("_total").alias("_all")).withColumn("_lang", F.lit(POOLED)))
     char_rows = chars.unionByName(chars.agg(*(F.sum(f"_c{k}").alias(f"_c{k}") for k in range(n))).withColumn("_lang", F.lit("\0sum"))) \
         .where(F.col("_lang") != POOLED).withColumn("_lang", F.when(F.col("_lang") == "\0sum", POOLED).otherwise(F.col("_lang")))
     q = tops.join(totals, "_lang").join(char_rows, "_lang")
