@@ -27,6 +27,7 @@ K = 2
 BIN_BITS = 6
 TUPLE = 2
 PLACE_BITS = 24
+BLOCK_IDS = 512  # neighbouring ids that one task sorts: bounds what a window holds
 _LONG = rf"[^\x20\x09-\x0D]{{{TOKEN + 1}}}"
 _TOKENS = rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}"
 
@@ -82,53 +83,50 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """``(i, next, half)`` for each doc_id of ``docs(doc_id, n)``: the next doc_id in ascending order (the
-    first after the last; null before all others) and the most characters that a row of it replaces.
+    """``(i, next)`` for each distinct doc_id of ``docs(doc_id)``: the next one in ascending order, the
+    first after the last; null stands before all others.
 
     Ids are sorted in ranges; the last id of a range is followed by the first id of the next range
     that has any, found among the ranges' first ids, one row a range.
     """
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 2)).alias("half"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = stage(ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("r", F.spark_partition_id()), "ids")
+    ids = stage(docs.select("doc_id").distinct().repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("r", F.spark_partition_id()), "ids")
     order = Window.partitionBy("r").orderBy(F.col("doc_id").asc_nulls_first())
     ids = ids.withColumn("next", F.lead("doc_id").over(order)).withColumn("place", F.row_number().over(order)) \
         .withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     firsts = ids.where("place = 1").select(F.col("r").alias("fr"), F.col("doc_id").alias("first"))
     by_range = Window.orderBy("fr")
-    after = firsts.withColumn("after", F.coalesce(F.lead(F.struct("first")).over(by_range), F.first(F.struct("first")).over(by_range))).drop("first")
+    lead, head = F.lead(F.struct("first")).over(by_range), F.first(F.struct("first")).over(by_range)
+    after = firsts.withColumn("wraps", lead.isNull()).withColumn("after", F.coalesce(lead, head)).drop("first")
     return ids.join(after, (F.col("r") == F.col("fr")) & F.col("last"), "left").select(
-        F.col("doc_id").alias("i"), F.when(F.col("last"), F.col("after.first")).otherwise(F.col("next")).alias("next"), "half")
+        F.col("doc_id").alias("i"), F.when(F.col("last"), F.col("after.first")).otherwise(F.col("next")).alias("next"),
+        F.coalesce("wraps", F.lit(False)).alias("wraps"))
+
+
+def _block(doc_id: Column) -> Column:
+    """Key of the ``BLOCK_IDS`` ids that are sorted together; null has a block of its own."""
+    return F.coalesce(F.floor(doc_id / BLOCK_IDS).cast("long"), F.lit(-(1 << 62)))
 
 
 def op10_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document, with their likeness.
 
-    Rows that share a doc_id have the same next document; of several rows with the next doc_id, the one
-    with the smallest text hash is the next document. A null doc_id stands before all others. A document
-    that is alone is its own next. Columns other than doc_id and text are left out.
+    Texts are dealt once, by blocks of neighbouring ids; the document after a block's last id is sent
+    there too. Rows that share a doc_id follow one another by text hash, so the next of several is the
+    one with the next hash. A null doc_id stands before all others. A document that is alone is its own
+    next. Columns other than doc_id and text are left out; an empty table gives no row.
     """
     base = docs.select("doc_id", whole("text").alias("text"))
-    order = stage(following(base.select("doc_id", F.length("text").alias("n"))), "order")
-    # Each text with its fingerprint, once.
-    prints = with_fingerprint(base, "text", "fingerprint").withColumn("n_chars", F.length("text").cast("long"))
-    prints = prints.withColumn("h", F.xxhash64("text"))
-    marks = stage(prints.select("doc_id", "h", "n_chars", "fingerprint"), "prints").distinct()
-    back = order.withColumnRenamed("i", "before")
-    follower = base.join(back, base["doc_id"].eqNullSafe(back["next"])).select(
-        "before", F.xxhash64("text").alias("h"), base["doc_id"].alias("next_id"), F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"))
-    follower = follower.groupBy("before").agg(F.min(F.struct("h", "head", "next_id")).alias("f")).select("before", "f.*") \
-        .withColumnRenamed("h", "next_h")
-    out = base.withColumn("h", F.xxhash64("text")).join(follower, base["doc_id"].eqNullSafe(F.col("before")))
+    order = stage(following(base), "order")
+    edges = order.where(F.col("wraps") | (_block(F.col("i")) != _block(F.col("next")))).select(F.col("next").alias("_next"), _block(F.col("i")).alias("block"))
+    guests = base.join(edges, F.col("doc_id").eqNullSafe(F.col("_next"))).select("doc_id", "text", "block", F.lit(True).alias("guest"))
+    rows = base.select("doc_id", "text", _block(F.col("doc_id")).alias("block"), F.lit(False).alias("guest")).unionByName(guests).repartition("block")
+    rows = with_fingerprint(rows, "text", "fingerprint")
+    near = Window.partitionBy("block").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.withColumn("next_text", F.lead("text").over(near)).withColumn("next_fingerprint", F.lead("fingerprint").over(near)).where("NOT guest")
     half = F.floor(F.length("text") / 2).cast("int")
-    out = out.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(
-        F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half)))
-    out = with_fingerprint(out, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)) \
-        .select("doc_id", "h", "n_chars", "edited_sha256", "edited_fingerprint", "next_id", "next_h")
-    own = marks.select(F.col("doc_id").alias("oi"), F.col("h").alias("oh"), "fingerprint")
-    following_ = marks.select(F.col("doc_id").alias("ni"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
-    out = out.join(own, F.col("doc_id").eqNullSafe(F.col("oi")) & (F.col("h") == F.col("oh")))
-    out = out.join(following_, F.col("next_id").eqNullSafe(F.col("ni")) & (F.col("next_h") == F.col("nh")))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                      likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                      likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
+    rows = with_fingerprint(rows, "edited", "edited_fingerprint")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
