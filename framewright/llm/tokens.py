@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from array import array
 
-CACHE_WORDS = 900_000  # entries, about 200 bytes each; when it is full it starts anew
+CACHE_WORDS = 1_300_000  # entries, about 200 bytes each; when it is full it starts anew
 LONG_WORD = 64  # characters; a text with a longer new word is encoded as a whole
 _MARKS = frozenset(".,;:!?")
 _ODD = frozenset("\0<᠎﻿​")
@@ -41,6 +41,11 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters after a space."""
+        shown = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _learn(self, word: str) -> bytes | None:
         """Ids of a word of the cache, None where a text with it must be encoded as a whole.
 
@@ -57,10 +62,10 @@ class Encoder:
         if lead == 1:
             found = self.signs["\n"] + self._learn("\0\0" + body)
         elif len(body) > 1 and body[-1] in _MARKS and body[-2].isalpha():
-            found = self._learn(word[:-1]) + self.signs[body[-1]]
-        elif body.isalpha():
-            shown = (body if lead else " " + body).encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            base = word[:-1]
+            found = (self.words.get(base) or self._learn(base)) + self.signs[body[-1]]
+        elif body.isalpha() and not lead:
+            found = self._letters(body)
         else:
             found = self._whole(body if lead else " " + body)
         self.words[word] = found
@@ -75,7 +80,12 @@ class Encoder:
             self.words = {}
         words = self.words
         cut = [("\0\0" + t.replace("\n", " \0")).split(" ") if t else [] for t in texts]
-        bad = {w for w in set().union(*cut).difference(words) if self._learn(w) is None}
+        bad = set()
+        for w in set().union(*cut).difference(words):
+            if w.isalpha() and len(w) <= LONG_WORD:
+                words[w] = self._letters(w)
+            elif self._learn(w) is None:
+                bad.add(w)
         out = []
         for text, pieces in zip(texts, cut):
             if bad and not bad.isdisjoint(pieces):
