@@ -108,6 +108,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     q = tops.join(totals, "_lang").join(char_rows, "_lang")
     whole_chars = sum((F.col(f"_c{k}") for k in range(n)), F.lit(0.0))
     return q.select(F.col("_lang").alias("_key"), F.transform("_top", lambda x: x["_w"]).alias("_common"),
+                    F.array_max(F.transform("_top", lambda x: F.octet_length(x["_w"]))).alias("_longest"),
                     F.concat(F.transform("_top", lambda x: x["_n"] / F.col("_all")),
                              F.transform(F.sequence(F.size("_top"), F.lit(common)), lambda _: F.lit(0.0)),
                              ).alias("_wq0"),
@@ -136,7 +137,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", commo
     m = m.join(F.broadcast(refs), "_key", "left")
     letters = F.array(*(F.lit(c) for c in ("", *_LETTERS[:common])))
     m = m.withColumn("_letters", letters).withColumn("_marks", F.array_join(
-        F.transform("_words", lambda w: F.get(F.col("_letters"), F.array_position("_common", w).cast("int"))), ""))
+        F.transform(F.filter("_words", lambda w: F.octet_length(w) <= F.col("_longest")),
+                    lambda w: F.get(F.col("_letters"), F.array_position("_common", w).cast("int"))), ""))
     some = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     p = [(F.length("_marks") - F.length(F.replace("_marks", F.lit(c)))) / some for c in _LETTERS[:common]] + [(F.col("n_words") - F.length("_marks")) / some]
     q = [F.col("_wq0")[k] for k in range(common)] + [F.col("_wrest")]
