@@ -31,7 +31,9 @@ from framewright.llm.storage import stage
 
 WIDTH = 4
 PERCENT = 85
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22  # cells of the n-gram counts; 16 MB as a table
+BLOCK = 1 << 14  # cells of a row
+FAN_IN = 64  # tasks whose counts one task adds
 RANGES = 16  # hash ranges of the suffix filter
 
 
@@ -47,17 +49,18 @@ def _sets(column, width: int):
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
     """A row per document: doc_id, n, c (class, null for an empty set), ranges; and per task a row for
-    each cell with its n-grams: cell, cnt."""
-    def run(batches):
-        cells = np.zeros(BUCKETS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.int32())),
-                            ("cell", pa.int32()), ("cnt", pa.int64())])
+    each block of cells: block, part, counts (a byte a cell, 255 for more: it only blurs the order of
+    n-grams that are frequent anyway)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.int32())),
+                        ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+
+    def rows(size, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
 
-        def rows(ids, n, c, ranges, cell, cnt):
-            size = max(len(n), len(cell))
-            none = [None] * size
-            return pa.RecordBatch.from_arrays([pa.array(x if len(x) else none, t) for x, t in zip((ids, n, c, ranges, cell, cnt), schema.types)], schema=schema)
+    def run(batches):
+        from pyspark import TaskContext
 
+        cells = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             n, c, ranges = [], [], []
             for _, grams in _sets(batch.column(1), width):
@@ -66,13 +69,35 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
                 ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
                 np.add.at(cells, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             if n:
-                yield rows(batch.column(0), n, c, ranges, [], [])
-        used = np.flatnonzero(cells)
-        for at in range(0, len(used), 10_000):
-            some = used[at:at + 10_000]
-            yield rows([], [], [], [], some.astype(np.int32), cells[some])
-
-    return stage(docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, cell INT, cnt BIGINT"), "sets")
+                yield rows(len(n), doc_id=batch.column(0), n=n, c=c, ranges=ranges)
+        part = TaskContext.get().partitionId()
+        small = np.minimum(cells, 255).astype(np.uint8).reshape(-1, BLOCK)
+        for at in range(0, len(small), 64):
+            some = [(k, small[k].tobytes()) for k in range(at, at + 64) if small[k].any()]
+            if some:
+                yield rows(len(some), block=[k for k, _ in some], part=[part] * len(some), counts=[x for _, x in some])
+
+    return stage(docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, block INT, part INT, counts BINARY"), "sets")
+
+
+def _counts(measured: DataFrame) -> np.ndarray:
+    """Sum of the tasks' cells: added up by blocks, ``FAN_IN`` tasks at a time, then read as one table of
+    ``BUCKETS`` numbers."""
+    def added(kind):
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(BLOCK, np.uint32)
+            for x in table.column("counts").to_pylist():
+                total += np.frombuffer(x, kind)
+            return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return add
+
+    blocks = measured.where("block IS NOT NULL").select("block", F.floor(F.col("part") / FAN_IN).alias("some"), "counts")
+    first = blocks.groupBy("block", "some").applyInArrow(added(np.uint8), "block INT, counts BINARY")
+    found = first.groupBy("block").applyInArrow(added(np.uint32), "block INT, counts BINARY").collect()
+    counts = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
+    for r in found:
+        counts[r["block"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
+    return counts.ravel()
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -151,10 +176,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     measured = _measure(docs, width)
-    counts = np.zeros(BUCKETS, np.int64)
-    sums = measured.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toPandas()  # at most BUCKETS rows
-    counts[sums["cell"].to_numpy(np.int64)] = sums["cnt"].to_numpy(np.int64)
-    nodes = measured.where("n IS NOT NULL").drop("cell", "cnt")
+    counts = _counts(measured)
+    nodes = measured.where("n IS NOT NULL").drop("block", "part", "counts")
     classes = stage(nodes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("ranges").alias("ranges")), "classes")
 
     prefixes = _prefixes(docs, counts, width, percent)
