@@ -8,9 +8,11 @@ Python 3 ``re`` on ``str``; ``(?i)`` is case-insensitive matching.
 
 # --- fixed values: listing structure -------------------------------------
 
-# One procedure of a listing: ``_<name> proc near`` ... ``_<name> endp``.
-# Group 1 = name, group 2 = body.  Back-reference keeps name pairs together.
-PROC_SCAN = r"(?isU)_(\w+)\s+proc\s+near(.*?)_\1\s+endp"
+# Pieces of a listing: a new one begins at each identifier that heads or ends a procedure
+# (``<name> proc near``, ``<name> endp``); only those with an ``_`` can answer to a name.
+PROC_SPLIT = r"(?iU)(?<!\w)(?=\w*_\w+\s+(?:proc\s+near|endp))"
+PROC_MARKER = r"(?iU)^(\w*_\w+)\s+(?:proc\s+near|endp)"
+PROC_HEADER = r"(?iU)^\w*_\w+\s+proc\s+near"
 
 # Comment line of a listing (after stripping): ';' or a ?liveN@M: marker.
 LIVE_MARKER = r"(?U)^\?live\d+@\d+:"
@@ -51,6 +53,9 @@ SANITIZE_DROP_PREFIXES = [";", "?live", "?debug"]
 
 # ``<name> ( ... ) {``, name inserted escaped; dot matches newline.
 C_SIGNATURE_TEMPLATE = r"(?sU)\b{name}\s*\([^)]*\)\s*\{{"
+# Pieces of a C file: one ends after each brace, one begins at each signature of a plain word.
+C_SPLIT = r"(?U)(?<=[{}])|(?<!\w)(?=\w+\s*\([^)]*\)\s*\{)"
+C_SIGNED = r"(?U)^(\w+)\s*\([^{}]*"
 
 # --- fixed values: chat formatting ----------------------------------------
 
@@ -107,15 +112,13 @@ CHATML_END = "<|im_end|>"
 
 # Sequence budget of the trainer (tokens).
 MAX_SEQ_LENGTH = 4096
-# Examples used for the length profile.
-LENGTH_PROFILE_ROWS = 500
 
 # --- fixed values: splitting -----------------------------------------------
 
 SPLIT_SEED = 42
 VAL_FRACTION = 0.20
 
-# --- fixed values: strict JSON test ----------------------------------------
+# --- strict JSON test (a value of our own) -----------------------------------
 
 # Sentinel appended after a candidate so trailing text is detected.
 JSON_SENTINEL = "fw#sentinel#7f3a"

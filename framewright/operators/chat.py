@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from framewright.functions.patterns import (
     CHATML_END,
     CHATML_START,
-    LENGTH_PROFILE_ROWS,
     MAX_SEQ_LENGTH,
     PROMPT_TEMPLATE,
 )
@@ -152,12 +151,14 @@ def render_chatml(messages: Column, add_generation_prompt: bool = True, default_
 
 
 def length_profile(examples: DataFrame, length: Column, order_by: list[str],
-                   n: int = LENGTH_PROFILE_ROWS) -> DataFrame:
-    """Mean and max length over the first ``n`` examples (dataset order).
+                   n: int | None = None) -> DataFrame:
+    """Mean and max length over all examples, or the first ``n`` of them (dataset order).
 
     ``length`` is any column expression (characters, whitespace tokens, or
     a caller's pandas UDF over a tokenizer)."""
-    first = examples.select(*order_by, length.alias("_len")).orderBy(*order_by).limit(n)
+    first = examples.select(*order_by, length.alias("_len"))
+    if n is not None:
+        first = first.orderBy(*order_by).limit(n)
     return first.agg(F.avg("_len").alias("mean_length"), F.max("_len").cast("bigint").alias("max_length"),
                      F.count(F.lit(1)).cast("bigint").alias("n_examples"))
 

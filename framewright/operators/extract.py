@@ -1,15 +1,13 @@
 """Function and line extraction (flatten labels, cut procedures, cut C
 functions, number listing lines).
 
-Procedures are cut with one literal-pattern scan per file
-(``regexp_extract_all`` with a back-reference) instead of one regex per
-function, so a file is scanned once however many functions it holds.  The
-per-name rule has no left boundary, so a header ``_my_f proc near`` also
-answers to ``f``: every header is indexed under its name and each tail after
-an ``_``, and a name takes the earliest header that answers to it.  A label
-function that no scanned header answers to (e.g. a header hidden inside
-another procedure) takes the per-name pattern of the original rule, inside
-the same row.
+A listing is split once at its procedure headers and ends, whatever number of
+functions it holds.  The rule of a name has no left boundary, so ``_my_f proc near``
+also answers to ``f``, and ``_my_f endp`` also ends it: headers and ends are
+written out under the name after each ``_``, in text order.  A name's body runs from
+its first header to the first end after it, also across other procedures.  C
+files are split once at signatures and braces in the same way.  Only names that
+are no plain word (which no such split can find) take a pattern of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.patterns import C_SIGNATURE_TEMPLATE, PROC_SCAN
+from framewright.functions.patterns import C_SIGNATURE_TEMPLATE, C_SIGNED, C_SPLIT, PROC_HEADER, PROC_MARKER, PROC_SPLIT
 from framewright.functions.text import py_strip, quote_regex
 
 
@@ -44,39 +42,45 @@ def explode_variables(functions: DataFrame, key: str = "file_key") -> DataFrame:
                       F.col("v.allocation_space_offset").alias("old_allocation_space_offset"))
 
 
-def _tails(lname: Column) -> Column:
-    """Every name a header answers to: the whole name and each tail after an
-    ``_`` (``a_b_c`` -> ``a_b_c``, ``b_c``, ``c``), as the per-name rule has no
-    left boundary."""
-    parts = F.split(lname, "_")
-    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)),
+def _tails(ident: Column) -> Column:
+    """Every name that a header or end of this identifier answers to: what
+    follows each ``_`` (``_a_b`` -> ``a_b``, ``b``)."""
+    parts = F.split(ident, "_")
+    return F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
                                 lambda j: F.array_join(F.slice(parts, j, F.size(parts)), "_")),
                     lambda t: t != "")
 
 
-def _scan_sorted(asm: Column) -> Column:
-    """Procedure headers of one listing as ``(lname, pos)`` for every name
-    they answer to, sorted by name then position (``pos`` indexes the bodies
-    of ``_scan_bodies``)."""
-    names = F.regexp_extract_all(asm, F.lit(PROC_SCAN), 1)
-    keyed = F.flatten(F.transform(names, lambda n, i: F.transform(
-        _tails(F.lower(n)), lambda t: F.struct(t.alias("lname"), i.alias("pos")))))
-    return F.array_sort(keyed)
+def _marker(piece: Column) -> Column:
+    """Identifier that a piece begins with; "" for text before the first marker."""
+    return F.regexp_extract(piece, PROC_MARKER, 1)
 
 
-def _scan_bodies(asm: Column) -> Column:
-    return F.regexp_extract_all(asm, F.lit(PROC_SCAN), 2)
+def _marked(files: DataFrame, keep: list[str], asm: str) -> DataFrame:
+    """``_pieces`` of each listing, and in text order ``_names`` (``h`` or ``e`` before the name that
+    a header or end answers to) with ``_places``, the pieces they begin."""
+    out = files.select(*keep, F.split(F.col(asm), PROC_SPLIT).alias("_pieces"))
+    kind = lambda p: F.when(p.rlike(PROC_HEADER), F.lit("h")).otherwise(F.lit("e"))
+    out = out.withColumn("_marks", F.flatten(F.transform("_pieces", lambda p, i: F.transform(
+        _tails(F.lower(_marker(p))), lambda t: F.struct(F.concat(kind(p), t).alias("name"), i.alias("place"))))))
+    return out.withColumn("_names", F.transform("_marks", lambda m: m["name"])) \
+        .withColumn("_places", F.transform("_marks", lambda m: m["place"])).drop("_marks")
 
 
-def _with_bodies(first: Column, bodies: Column) -> Column:
-    return F.transform(first, lambda p: F.struct(p["lname"].alias("lname"), p["pos"].alias("pos"),
-                                                 F.element_at(bodies, p["pos"] + 1).alias("body")))
+def _body(name: Column) -> Column:
+    """Body of one (lower-case) name from the columns of ``_marked``; null when it has none."""
+    first = F.array_position("_names", F.concat(F.lit("h"), name)).cast("int")
+    # array(...) binds a value once where an expression uses it several times
+    return F.get(F.flatten(F.transform(F.array(first), lambda h: F.transform(
+        F.array(F.when(h > 0, F.array_position(F.slice(F.col("_names"), h + 1, F.size("_names")), F.concat(F.lit("e"), name)).cast("int"))),
+        lambda n: F.when(n > 0, _between(F.get("_places", h - 1), F.get("_places", h + n - 1), name))))), F.lit(0))
 
 
-def _first_per_name(sorted_col: Column) -> Column:
-    """Keep the first occurrence of each name.  ``sorted_col`` must be a
-    materialised column (it is referenced inside the lambda)."""
-    return F.filter(sorted_col, lambda x, i: (i == 0) | (F.element_at(sorted_col, i)["lname"] != x["lname"]))
+def _between(a: Column, b: Column, name: Column) -> Column:
+    end = _marker(F.get("_pieces", b))
+    return F.concat(F.regexp_replace(F.get("_pieces", a), PROC_HEADER, ""),
+                    F.array_join(F.slice(F.col("_pieces"), a + 2, b - a - 1), ""),
+                    F.substring(end, F.lit(1), F.length(end) - F.length(name) - 1))
 
 
 def proc_pattern(name: Column) -> Column:
@@ -85,13 +89,17 @@ def proc_pattern(name: Column) -> Column:
     return F.concat(F.lit("(?isU)_"), q, F.lit(r"\s+proc\s+near(.*?)_"), q, F.lit(r"\s+endp"))
 
 
+def _odd(name: Column) -> Column:
+    return name.rlike(r"(?U)\W")
+
+
 def split_procs(files: DataFrame, key: str = "file_key", asm: str = "assembly_code") -> DataFrame:
-    """C2 (scan): every procedure of every listing: ``key, lname, proc_pos, body``."""
+    """C2 (scan): every procedure of every listing under each name it answers to: ``key, lname, body``."""
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
-    out = src.select(key, _scan_sorted(F.col(asm)).alias("_sorted"), _scan_bodies(F.col(asm)).alias("_bodies")) \
-        .select(key, F.explode(_with_bodies(_first_per_name(F.col("_sorted")), F.col("_bodies"))).alias("p"))
-    return out.select(key, F.col("p.lname").alias("lname"), F.col("p.pos").cast("bigint").alias("proc_pos"),
-                      F.col("p.body").alias("body"))
+    names = F.array_distinct(F.transform(F.filter("_names", lambda n: n.startswith("h")), lambda n: F.substr(n, F.lit(2))))
+    out = _marked(src, [key], asm).withColumn("_wanted", names)
+    out = out.select(key, F.explode(F.transform("_wanted", lambda n: F.struct(n.alias("lname"), _body(n).alias("body")))).alias("p"))
+    return out.select(key, "p.lname", "p.body").filter(F.col("body").isNotNull())
 
 
 def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembly_code"):
@@ -109,28 +117,14 @@ def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembl
     line).  Empty bodies count as not found.
     """
     src = files.filter(F.col(asm).isNotNull() & (F.col(asm) != ""))
-    procs = F.col("_procs")
-    with_scan = src.select(key, asm, "label", _scan_sorted(F.col(asm)).alias("_sorted"),
-                           _scan_bodies(F.col(asm)).alias("_bodies")) \
-        .select(key, asm, "label", _with_bodies(_first_per_name(F.col("_sorted")), F.col("_bodies")).alias("_procs"))
-    lnames = F.transform(procs, lambda p: p["lname"])
-
-    def slow(f):
-        return F.when(~F.array_contains(lnames, F.lower(f["function_name"])),
-                      F.call_function("regexp_extract", F.col(asm), proc_pattern(f["function_name"]), F.lit(1)))
-
-    slow_bodies = F.array_distinct(F.filter(
-        F.transform(F.col("label.functions"),
-                    lambda f: F.struct(F.lower(f["function_name"]).alias("lname"), F.lit(-1).alias("pos"),
-                                       slow(f).alias("body"))),
-        lambda s: s["body"].isNotNull() & (s["body"] != "")))
-    all_procs = with_scan.select(key, "label", F.explode(F.concat(procs, slow_bodies)).alias("p"))
-    proc_rows = all_procs.select(key, F.col("p.lname").alias("lname"), F.col("p.body").alias("body")) \
-        .filter(F.col("body") != "")
+    names = F.array_distinct(F.filter(F.transform("label.functions", lambda f: f["function_name"]), lambda n: n.isNotNull() & (n != "")))
+    wanted = src.withColumn("_wanted", names)
+    wanted = _marked(wanted, [key, asm, "_wanted"], asm)
+    body = lambda n: F.when(_odd(n), F.nullif(F.call_function("regexp_extract", F.col(asm), proc_pattern(n), F.lit(1)), F.lit(""))).otherwise(_body(F.lower(n)))
+    found = wanted.select(key, F.explode(F.transform("_wanted", lambda n: F.struct(F.lower(n).alias("lname"), body(n).alias("body")))).alias("p"))
+    bodies = found.select(key, "p.lname", "p.body").filter(F.col("body") != "").dropDuplicates([key, "lname"])
 
     functions = explode_functions(src, key).withColumn("lname", F.lower("function_name"))
-    wanted = functions.select(key, "lname")
-    bodies = proc_rows.join(wanted, [key, "lname"], "left_semi")
     return functions, bodies
 
 
@@ -154,41 +148,58 @@ def c_signature_pattern(name: Column) -> Column:
     return F.concat(F.lit(head), quote_regex(name), F.lit(tail.replace("{{", "{")))
 
 
-def _brace_end(rest: Column) -> Column:
-    """1-based position in ``rest`` (which starts with ``{``) of the ``}``
-    closing it; -1 when unmatched.  One pass over the ``}``-separated pieces
-    with a scalar accumulator (depth, offset, end)."""
-    pieces = F.split(rest, r"\}")
-    closed = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+def _close(tokens: Column) -> Column:
+    """How many ``tokens`` (the first begins with a signature) reach the brace that closes the
+    signature's; -1 when none does.  Braces before the signature's ``)`` do not count."""
+    def step(acc, t):
+        inside = acc["o"] | t.contains(")")
+        d = acc["d"] + F.when(~inside, 0).when(t.endswith("{"), 1).when(t.endswith("}"), -1).otherwise(0)
+        return F.when(acc["e"] >= 0, acc).otherwise(F.struct(
+            inside.alias("o"), d.alias("d"), (acc["n"] + 1).alias("n"),
+            F.when(inside & (d == 0) & t.endswith("}"), acc["n"] + 1).otherwise(F.lit(-1)).alias("e")))
+
+    init = F.struct(F.lit(False).alias("o"), F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(-1).alias("e"))
+    return F.aggregate(tokens, init, step)["e"]
+
 
-    def step(acc, p):
-        opens = F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
-        depth = acc["d"] + opens - 1
-        pos = acc["n"] + F.length(p) + 1
-        return F.when(acc["e"] >= 0, acc).otherwise(
-            F.struct(depth.alias("d"), pos.alias("n"), F.when(depth == 0, pos).otherwise(F.lit(-1)).alias("e")))
+def _c_cut(place: Column) -> Column:
+    """C function whose signature begins the ``place``-th (1-based) of ``_tokens``; null when unmatched.
+    A short stretch is tried first, then a long one, then the whole rest of the file."""
+    def within(n) -> Column:
+        some = F.slice(F.col("_tokens"), place, n)
+        return F.get(F.transform(F.array(_close(some)), lambda e: F.when(e > 0, F.array_join(F.slice(F.col("_tokens"), place, e), ""))), F.lit(0))
 
-    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(-1).alias("e"))
-    return F.aggregate(closed, init, step)["e"]
+    return F.coalesce(within(F.lit(64)), within(F.lit(2048)), within(F.size("_tokens")))
 
 
 def c_functions(files: DataFrame, key: str = "file_key", c: str = "source_code_c") -> DataFrame:
     """C3 for every label function: ``key, fn_ord, function_name, c_function``.
 
     From the name of the first ``name(...) {`` to the ``}`` matching its
-    brace (every brace counts), stripped; "" when absent or unmatched.  The
-    signature's brace is the first ``{`` after the first ``)`` after the
-    name (the pattern admits no ``)`` inside the parentheses)."""
-    src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias("_c"),
-                       F.posexplode("label.functions").alias("fn_ord", "fn"))
-    src = src.filter(F.col("fn.function_name").isNotNull() & (F.col("fn.function_name") != ""))
-    src = src.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"),
-                     F.col("fn.function_name").alias("function_name"), "_c",
-                     F.call_function("regexp_instr", F.col("_c"), c_signature_pattern(F.col("fn.function_name")))
-                     .alias("_start"))
-    src = src.withColumn("_brace", F.when(F.col("_start") > 0, F.call_function(
-        "locate", F.lit("{"), F.col("_c"), F.call_function("locate", F.lit(")"), F.col("_c"), F.col("_start")))))
-    src = src.withColumn("_end", F.when(F.col("_start") > 0, _brace_end(F.substring(F.col("_c"), F.col("_brace"), 1 << 30))))
-    cut = F.substring(F.col("_c"), F.col("_start"), F.col("_brace") - F.col("_start") + F.col("_end"))
-    return src.select(key, "fn_ord", "function_name",
-                      F.when(F.col("_end") > 0, py_strip(cut)).otherwise(F.lit("")).alias("c_function"))
+    brace (every brace counts), stripped; "" when absent or unmatched.  A file
+    is split once; its text does not travel with its functions."""
+    src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias("_c"), F.col("label.functions").alias("_fns"))
+    src = src.withColumn("_tokens", F.split("_c", C_SPLIT))
+    src = src.withColumn("_signed", F.transform("_tokens", lambda t: F.regexp_extract(t, C_SIGNED, 1)))
+    odd = lambda n: F.substr(F.col("_c"), _match_start(n))
+
+    def cut(n: Column) -> Column:
+        # a name that is no plain word: the text from its own match on, split the same way
+        rest = F.transform(F.array(F.split(odd(n), r"(?<=[{}])")), lambda t: F.transform(
+            F.array(_close(t)), lambda e: F.when(e > 0, F.array_join(F.slice(t, F.lit(1), e), ""))))
+        slow = F.when(_match_start(n) > 0, F.get(F.flatten(rest), F.lit(0)))
+        fast = F.get(F.transform(F.array(F.array_position("_signed", n).cast("int")), lambda p: F.when(p > 0, _c_cut(p))), F.lit(0))
+        return F.when(_odd(n), slow).otherwise(fast)
+
+    out = src.select(key, F.posexplode(F.transform("_fns", lambda f: F.struct(f.alias("fn"), F.when(
+        F.coalesce(f["function_name"], F.lit("")) != "", cut(f["function_name"])).alias("cut")))).alias("fn_ord", "p"))
+    return out.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"), F.col("p.fn.function_name").alias("function_name"),
+                      F.coalesce(py_strip(F.col("p.cut")), F.lit("")).alias("c_function")) \
+        .filter(F.col("function_name").isNotNull() & (F.col("function_name") != ""))
+
+
+def _match_start(name: Column) -> Column:
+    """1-based code point at which a name's signature begins; 0 when absent."""
+    before = F.call_function("regexp_extract", F.col("_c"), F.concat(F.lit("(?s)^(.*?)(?:"), c_signature_pattern(name), F.lit(")")), F.lit(1))
+    hit = F.call_function("regexp_like", F.col("_c"), c_signature_pattern(name))
+    return F.when(hit, F.length(before) + 1).otherwise(0)

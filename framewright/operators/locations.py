@@ -22,7 +22,6 @@ hash-partitioned on that key, so the windows below add no exchange):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +156,15 @@ class LabelRun:
     def __init__(self, files: DataFrame, key: str = "file_key", match: str = "substring",
                  materialize: str | None = "checkpoint"):
         """``materialize``: how the per-line table, read by three branches
-        (frames, mentions, registers), is kept: ``"persist"`` (executor
-        local disk, off the heap; lost blocks are recomputed from lineage),
-        ``"checkpoint"`` (written to ``spark.checkpoint.dir``, cuts lineage)
-        or ``None`` (recompute in every branch)."""
+        (frames, mentions, registers), is kept: ``"checkpoint"`` (written to
+        the shared folder in ``spark.checkpoint.dir`` where that is set, cuts
+        lineage) or ``None`` (recompute in every branch)."""
         self.key = key
         self.match = match
         self.materialize = materialize
         self._updated = None
         self._locations = None
+        self._found = None
         self.functions, self.bodies = function_bodies(files, key)
         self.variables = explode_variables(self.functions, key)
         self.lines = line_offsets(classified_lines(self.bodies, key))
@@ -204,10 +203,14 @@ class LabelRun:
     def _keep(self, df: DataFrame) -> DataFrame:
         if self.materialize == "checkpoint":
             return cut_lineage(df)
-        if self.materialize == "persist":
-            return df.persist(StorageLevel.DISK_ONLY)
         return df
 
+    def found(self) -> DataFrame:
+        """Procedures that were found, also those whose body has no line of text."""
+        if self._found is None:
+            self._found = self._keep(self.bodies.select(self.key, "lname"))
+        return self._found
+
     # One row per label variable of a function whose procedure was found
     def locations(self) -> DataFrame:
         """Materialised once per run: the report, the update, region offsets
@@ -218,7 +221,7 @@ class LabelRun:
 
     def _compute_locations(self) -> DataFrame:
         k = self.key
-        found_procs = self.bodies.select(k, "lname")
+        found_procs = self.found()
         v = self.variables.join(found_procs, [k, "lname"], "left_semi")
         off = self.resolved_offsets().select(k, "lname", "variable_name", "offset")
         reg = self.registers().select(k, "lname", F.col("var").alias("variable_name"), "reg")
@@ -284,8 +287,8 @@ class LabelRun:
     def _updated_functions(self) -> DataFrame:
         k = self.key
         app = self.applied()
-        fr = self.function_frames().select(k, "fn_ord", F.lit(True).alias("_hit"),
-                                           "stack_allocation_instruction", "stack_allocation_size_bytes")
+        fr = self.functions.select(k, "fn_ord", "lname").join(self.found().withColumn("_hit", F.lit(True)), [k, "lname"]) \
+            .join(self.frames.drop("alloc_index"), [k, "lname"], "left").drop("lname")
         vs = app.groupBy(k, "fn_ord").agg(F.array_sort(F.collect_list(F.struct(
             "var_ord", "variable_name", "assembly_reference", "allocation_space_offset", "size_bytes"))).alias("vs"))
         merged = self.functions.select(k, "fn_ord", "fn").join(fr, [k, "fn_ord"], "left").join(vs, [k, "fn_ord"], "left")

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.text import parse_offset
 from framewright.operators.locations import LabelRun
 from framewright.plans.fixture_corpus import corpus_files
-from framewright.session import apply_semantic_conf, cut_lineage
+from framewright.session import apply_semantic_conf, cut_lineage, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,6 +45,37 @@ def q_stack_allocation(spark, sf_dir):
     return fr.select("file_key", "function_name", "stack_allocation_instruction", "stack_allocation_size_bytes")
 
 
+@query("explode_functions")
+def q_explode_functions(spark, sf_dir):
+    """Label functions with the number of their variables."""
+    return _run(spark, sf_dir).functions.select(
+        "file_key", "fn_ord", "function_name", F.size("fn.variable_mapping").cast("bigint").alias("n_variables"))
+
+
+@query("alloc_explicit")
+def q_alloc_explicit(spark, sf_dir):
+    """Frames allocated by an explicit instruction."""
+    return q_stack_allocation(spark, sf_dir).filter(~F.col("stack_allocation_instruction").startswith("push reg"))
+
+
+@query("alloc_push_fallback")
+def q_alloc_push_fallback(spark, sf_dir):
+    """Frames counted from pushes."""
+    return q_stack_allocation(spark, sf_dir).filter(F.col("stack_allocation_instruction").startswith("push reg"))
+
+
+@query("parse_offset")
+def q_parse_offset(spark, sf_dir):
+    """Offsets written in decimal, in hexadecimal and with blanks, one kind a line of an order."""
+    n = F.col("l_linenumber").cast("bigint") * F.col("l_partkey")
+    sign = F.when(F.col("l_partkey") % 2 == 0, "-").otherwise("+")
+    kind = F.col("l_orderkey") % 4
+    raw = F.when(kind == 0, F.concat(sign, n.cast("string"))).when(kind == 1, F.concat(sign, F.lit(" "), n.cast("string"))) \
+        .when(kind == 2, F.concat(sign, F.lit("0"), F.lower(F.hex(n)), F.lit("h"))).otherwise(F.concat(sign, F.lower(F.hex(n)), F.lit("g")))
+    li = spark.read.parquet(table_path(sf_dir, "lineitem"))
+    return li.select("l_orderkey", "l_linenumber", raw.alias("raw"), parse_offset(raw).alias("parsed"))
+
+
 @query("alloc_index")
 def q_alloc_index(spark, sf_dir):
     return _run(spark, sf_dir).function_frames().select("file_key", "function_name", "alloc_index")
@@ -584,9 +616,10 @@ from framewright.sources import dataset as DS  # noqa: E402
 @query("dataset_roundtrip")
 def q_dataset_roundtrip(spark, sf_dir):
     """Write the corpus records as JSON lines (A4) into the session's shared
-    checkpoint folder, read them back with the explicit schema (A1)."""
+    checkpoint folder (the warehouse folder where none is set), read them back
+    with the explicit schema (A1)."""
     files = corpus_files(spark, sf_dir).withColumn("file_id", F.col("file_key"))
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/roundtrip-{uuid.uuid4().hex}"
+    path = (ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/roundtrip-{uuid.uuid4().hex}"
     DS.write_dataset(files, path)
     back = DS.read_dataset(spark, path, multiline=False)
     return back.select(

@@ -53,6 +53,29 @@ def corpus(sql: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["explode_functions"] = corpus("""
+SELECT file_key, fn_ord, function_name, CAST(nv + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_variables FROM ff
+""")
+
+ORACLES["alloc_explicit"] = corpus("""
+SELECT file_key, function_name, alloc_text AS stack_allocation_instruction, alloc_size AS stack_allocation_size_bytes
+FROM ff WHERE mx >= 3
+""")
+
+ORACLES["alloc_push_fallback"] = corpus("""
+SELECT file_key, function_name, alloc_text AS stack_allocation_instruction, alloc_size AS stack_allocation_size_bytes
+FROM ff WHERE mx < 3
+""")
+
+ORACLES["parse_offset"] = """
+WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) * l_partkey AS n,
+             CASE WHEN l_partkey % 2 = 0 THEN '-' ELSE '+' END AS sign, l_orderkey % 4 AS kind FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  CASE kind WHEN 0 THEN sign || n WHEN 1 THEN sign || ' ' || n WHEN 2 THEN sign || '0' || printf('%x', n) || 'h' ELSE sign || printf('%x', n) || 'g' END AS raw,
+  CAST(CASE WHEN kind = 3 THEN NULL WHEN sign = '-' THEN -n ELSE n END AS BIGINT) AS parsed
+FROM t
+"""
+
 ORACLES["stack_allocation"] = corpus("""
 SELECT file_key, function_name, alloc_text AS stack_allocation_instruction,
        alloc_size AS stack_allocation_size_bytes
@@ -400,7 +423,7 @@ SELECT idx, md5(chatml) AS prompt_md5, CAST(length(chatml) AS BIGINT) AS prompt_
 """
 ORACLES["length_profile"] = f"""
 SELECT avg(l) AS mean_length, CAST(max(l) AS BIGINT) AS max_length, CAST(count(*) AS BIGINT) AS n_examples
-FROM (SELECT length(chatml) AS l FROM ({_CONV}) ORDER BY idx LIMIT 500)
+FROM (SELECT length(chatml) AS l FROM ({_CONV}))
 """
 ORACLES["over_budget"] = f"""
 SELECT CAST(count(*) FILTER (WHERE length(chatml) > 4096) AS BIGINT) AS over_budget,

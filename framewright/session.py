@@ -8,7 +8,6 @@ for scripts, tests and the bench; on a cluster pass your own session and set
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,28 +53,23 @@ def apply_semantic_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (tests, local runs) a private folder is made.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder: the shared folder that ``spark.checkpoint.dir``
+    names, None where it is unset.  No folder is made here."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="framewright-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
+    if configured:
+        sc.setCheckpointDir(configured)
     return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint into the session's checkpoint folder; without one the
+    frame stays lazy and is computed where it is used."""
+    return df.checkpoint(eager=True) if ensure_checkpoint_dir(df.sparkSession) else df
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -20,13 +20,21 @@ def with_file_keys(df: DataFrame, file_id: str = "file_id") -> DataFrame:
         .withColumn("file_no", F.col(file_id).try_cast("bigint"))
 
 
-def read_dataset(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, multiline: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """A1: a labelled dataset (JSON array files, or JSON lines with
-    ``multiline=False``) with the explicit record schema."""
-    df = spark.read.schema(FILE_RECORD).option("multiLine", multiline).json(path)
+    ``multiline=False``) with the explicit record schema.  A malformed file or
+    line raises; ``mode="PERMISSIVE"`` keeps what can be read instead."""
+    df = spark.read.schema(FILE_RECORD).option("multiLine", multiline).option("mode", mode).json(path)
     return with_file_keys(df)
 
 
+def ingest(spark: SparkSession, path: str, out: str, partitions: int, multiline: bool = True) -> DataFrame:
+    """A1: read the interchange form once, deal its records over ``partitions`` and keep them as Parquet:
+    a JSON array is one task's work however large it is, so later stages should not start from it."""
+    read_dataset(spark, path, multiline).repartition(partitions).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
                   partition_by: list[str] | None = None) -> None:
     """A4: write records (one compact JSON object per line, or Parquet)."""

@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 REPLACEMENT_CHAR = "�"
 
 
+# One character stands in for a genuine U+FFFD while bad bytes are looked for: a code point that no text may
+# use for interchange, so it cannot be in a source file.
+STAND_IN = "\U0010FFFF"
+
+
 def decode_text(content: Column, errors: str = "replace") -> Column:
-    text = F.make_valid_utf8(content.cast("string"))
+    text = content.cast("string")
     if errors == "ignore":
-        text = F.replace(text, F.lit(REPLACEMENT_CHAR), F.lit(""))
+        kept = F.make_valid_utf8(F.replace(text, F.lit(REPLACEMENT_CHAR), F.lit(STAND_IN)))
+        text = F.replace(F.replace(kept, F.lit(REPLACEMENT_CHAR), F.lit("")), F.lit(STAND_IN), F.lit(REPLACEMENT_CHAR))
+    else:
+        text = F.make_valid_utf8(text)
     return F.regexp_replace(text, "\r\n?", "\n")
 
 

@@ -11,19 +11,10 @@ from framewright.operators.sanitize import sanitize_dataset, strip_debug
 from tests.helpers import files_df
 
 
-def rule_strip(raw: str) -> str:
-    """The sanitize rule, stated directly for comparison."""
-    kept = []
-    for line in raw.split("\n"):
-        s = line.strip()
-        if s.startswith(";") or s.startswith("?live") or s.startswith("?debug"):
-            continue
-        kept.append(line.split(";")[0].rstrip() if ";" in line else line.rstrip())
-    return "\n".join(x for x in kept if x.strip() != "")
-
-
-ATOMS = ["mov eax,1", " ;c", "?live1@0: ; EBX = x", "?debug L 1", "", "  ", "\t", "a ; b", "\r", "x\r",
-         " ?livex", "push ebp  ", " ", "b;", ";", "q r", " y ", "\x1cz"]
+#: Lines and what the sanitizer leaves of them; None for a line that goes.
+LINES = [("mov eax,1", "mov eax,1"), (" ;c", None), ("?live1@0: ; EBX = x", None), ("?debug L 1", None), ("", None), ("  ", None), ("\t", None),
+         ("a ; b", "a"), ("\r", None), ("x\r", "x"), (" ?livex", None), ("push ebp  ", "push ebp"), ("b;", "b"), (";", None), ("q r", "q r"),
+         (" y ", " y"), ("  z;;w", "  z"), ("x ?live", "x ?live")]
 
 
 def test_sanitize_documented_case(spark):
@@ -32,21 +23,26 @@ def test_sanitize_documented_case(spark):
     assert got == "\tmov eax,1"
 
 
-def test_sanitize_matches_rule_on_random_listings(spark):
+def listing(lines):
+    """A listing of lines of known classes, and what is left of it."""
+    return "\n".join(x for x, _ in lines), "\n".join(x for _, x in lines if x is not None)
+
+
+def test_sanitize_random_listings_of_known_lines(spark):
     rnd = random.Random(7)
-    cases = ["\n".join(rnd.choice(ATOMS) for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
-    df = spark.createDataFrame([(c,) for c in cases], "s string")
-    got = [r[0] for r in df.select(strip_debug(F.col("s"))).collect()]
-    assert got == [rule_strip(c) for c in cases]
+    cases = [listing([rnd.choice(LINES) for _ in range(rnd.randint(0, 9))]) for _ in range(2000)]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, s string")
+    got = [r[0] for r in df.orderBy("k").select(strip_debug(F.col("s"))).collect()]
+    assert got == [want for _, want in cases]
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.sampled_from(ATOMS), max_size=8))
-def test_sanitize_idempotent(spark, atoms):
-    raw = "\n".join(atoms)
+@given(st.lists(st.sampled_from(LINES), max_size=8))
+def test_sanitize_idempotent(spark, lines):
+    raw, want = listing(lines)
     once = spark.createDataFrame([(raw,)], "s string").select(strip_debug(F.col("s")).alias("s"))
     twice = once.select(strip_debug(F.col("s")).alias("t"), "s").first()
-    assert twice["t"] == twice["s"] == rule_strip(raw)
+    assert twice["t"] == twice["s"] == want
 
 
 def test_sanitize_dataset_leaves_empty_listing(spark):
@@ -67,3 +63,35 @@ def test_c_cut_unmatched_and_braces_in_strings(spark):
     df = files_df(spark, [(1, c, "", [("f", []), ("u", [])])])
     got = {r["function_name"]: r["c_function"] for r in c_functions(df).collect()}
     assert got == {"f": 'f() { puts("}', "u": ""}  # braces inside strings count
+
+
+def test_c_cut_counts_characters_beyond_the_basic_plane(spark):
+    c = "/* \U0001F600\U0001F600 */ int f(int a) { return a; }"
+    df = files_df(spark, [(1, c, "", [("f", [])])])
+    assert c_functions(df).first()["c_function"] == "f(int a) { return a; }"
+
+
+def bodies(spark, asm, names):
+    from framewright.operators.extract import function_bodies
+    df = files_df(spark, [(1, "", asm, [(n, []) for n in names])])
+    return {r["lname"]: r["body"] for r in function_bodies(df)[1].collect()}
+
+
+def test_proc_cut_nested_suffix_and_case(spark):
+    nested = "_outer proc near\na\n_f proc near\ninner\n_f endp\nb\n_outer endp\n_f proc near\nlater\n_f endp\n"
+    got = bodies(spark, nested, ["f", "outer"])
+    assert got == {"f": "\ninner\n", "outer": "\na\n_f proc near\ninner\n_f endp\nb\n"}
+    assert bodies(spark, "_my_f proc near\nret\n_my_f endp", ["f", "my_f", "g"]) == {"f": "\nret\n_my", "my_f": "\nret\n"}
+    assert bodies(spark, "x_F\tPROC  NEAR\nret\n_f\nEndP", ["F", "x"]) == {"f": "\nret\n"}
+
+
+def test_cuts_of_files_with_thousands_of_functions(spark):
+    import time
+    n = 3000
+    c = "\n".join(f"int f{k}(int a) {{ if (a) {{ return {k}; }} }}" for k in range(n))
+    asm = "\n".join(f"_f{k} proc near\n\tret\n_f{k} endp" for k in range(n))
+    df = files_df(spark, [(1, c, asm, [(f"f{k}", []) for k in range(n)])])
+    began = time.time()
+    assert c_functions(df).where("c_function LIKE 'f%(int a) { if (a) { return %; } }'").count() == n
+    assert len(bodies(spark, asm, [f"f{k}" for k in range(n)])) == n
+    assert time.time() - began < 60

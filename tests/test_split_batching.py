@@ -40,14 +40,20 @@ def test_sample_limit_and_report(spark):
     assert rep == {"train": 8, "val": 2}
 
 
-def test_positions_match_sort_with_hot_value_split(spark):
-    rows = [(i, 5 if i % 3 else (i % 7)) for i in range(300)]
-    df = spark.createDataFrame(rows, "idx long, length long")
-    got = {r["idx"]: r["sort_pos"] for r in H.length_positions(df, split_rows=20).collect()}
-    want = {idx: pos + 1 for pos, (idx, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+def test_positions_match_sort_with_hot_values_and_nulls(spark):
+    rows = [(i, 5 if i % 3 else (i % 7)) for i in range(300)] + [(300, None), (301, None)]
+    df = spark.createDataFrame(rows, "idx long, length long").repartition(5)
+    got = {r["idx"]: r["sort_pos"] for r in H.length_positions(df).collect()}
+    want = {idx: pos + 1 for pos, (idx, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1], r[0])))}
     assert got == want
 
 
+def test_positions_of_repeated_rows_are_distinct(spark):
+    df = spark.createDataFrame([(1, 4)] * 5 + [(0, 4), (2, 3)], "idx long, length long")
+    got = sorted((r["sort_pos"], r["idx"]) for r in H.length_positions(df).collect())
+    assert got == [(1, 2), (2, 0)] + [(k, 1) for k in range(3, 8)]
+
+
 def test_batches_and_padding(spark):
     rows = [(i, L) for i, L in enumerate([3, 1, 2, 9, 4, 4, 1])]
     df = spark.createDataFrame(rows, "idx long, length long")
