@@ -185,8 +185,13 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     texts = _texts(docs, rows.select("c").distinct().join(classes, "c").select("doc_id", "c"), width)
 
     def rest(x: DataFrame, y: DataFrame) -> DataFrame:
+        # Of a pair that needs this overlap, the first shared n-gram stands in the first n - need + 1 of both sets, and
+        # no shared one stands where what precedes and follows it in both is too little.
+        need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))
+        most = F.least("xpos", "ypos") + 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
         pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
-                       & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
+                       & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+                       & (F.col("xpos") <= F.col("xn") - need) & (F.col("ypos") <= F.col("yn") - need) & (most >= need))
         pairs = pairs.groupBy(F.col("xc").alias("a"), F.col("yc").alias("b"), "xn", "yn").agg(
             F.count("*").alias("m"), F.max("xpos").alias("xp"), F.max("ypos").alias("yp"))
         # Shared n-grams stand in the same order in both sets, so what follows the last shared one bounds the rest.
