@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from framewright.llm import wordhash
 from framewright.llm.components import connected_components
 from framewright.llm.rounds import link, shared_keys
-from framewright.llm.storage import stage
+from framewright.llm.storage import bucketed, passing, stage
 
 WIDTH = 4
 PERCENT = 85
@@ -77,7 +77,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             if some:
                 yield rows(len(some), block=[k for k, _ in some], part=[part] * len(some), counts=[x for _, x in some])
 
-    return stage(docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, block INT, part INT, counts BINARY"), "sets")
+    return docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, block INT, part INT, counts BINARY")
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
@@ -123,7 +123,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
             if token:
                 yield _rows(token, c, n, pos)
 
-    return stage(docs.mapInArrow(run, "token BIGINT, c BIGINT, n INT, pos INT"), "prefixes")
+    return docs.mapInArrow(run, "token BIGINT, c BIGINT, n INT, pos INT")
 
 
 def _rows(token, c, n, pos):
@@ -131,16 +131,19 @@ def _rows(token, c, n, pos):
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(c, text)`` for the classes in ``wanted(doc_id, c)``, from the document that stands for each."""
+    """``(c, d, text)``, one text of each class in ``wanted(c, d)``. The id d keeps a class of many copies
+    from meeting in one task; the rows of a pair (c, d) are equal sets, so any of them will do."""
     def run(batches):
         for batch in batches:
             c = [_class_of(g) if len(g) else None for _, g in _sets(batch.column("text"), width)]
-            table = pa.Table.from_arrays([pa.array(c, pa.int64()), batch.column("text"), batch.column("c")], ["c", "text", "want"])
-            mask = pa.array([x == y for x, y in zip(c, batch.column("c").to_pylist())])
-            yield from table.filter(mask).select(["c", "text"]).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), batch.column("d"), batch.column("text")], ["c", "d", "text"])
 
-    found = docs.join(wanted.withColumnRenamed("doc_id", "_rep"), docs["doc_id"].eqNullSafe(F.col("_rep"))).select("text", "c")
-    return stage(found.mapInArrow(run, "c BIGINT, text STRING").dropDuplicates(["c"]), "texts")
+    found = docs.select(_known("doc_id").alias("d"), "text").mapInArrow(run, "c BIGINT, d BIGINT, text STRING")
+    return found.join(wanted, ["c", "d"]).dropDuplicates(["c", "d"])
+
+
+def _known(doc_id: str):
+    return F.coalesce(doc_id, F.lit(0).cast("long"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,13 +158,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
             yield from table.to_batches()
 
     def side(x: str) -> DataFrame:
-        return classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
+        return classes.select(F.col("c").alias(x), _known("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
+
+    def text_of(x: str) -> DataFrame:
+        return texts.select(F.col("c").alias(x), F.col("d").alias(f"d{x}"), F.col("text").alias(f"t{x}"))
+
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     fit = pairs.join(side("a"), "a").join(side("b"), "b") \
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) \
-        .where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
-    fit = fit.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+        .where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "da", "b", "db")
+    fit = fit.join(text_of("a"), ["a", "da"]).join(text_of("b"), ["b", "db"])
     return stage(fit.select("a", "b", "ta", "tb").mapInArrow(run, "src BIGINT, dst BIGINT"), "links")
 
 
@@ -175,14 +182,14 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     other is there. Other columns are left out; an empty table gives no row.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    measured = _measure(docs, width)
-    counts = _counts(measured)
-    nodes = measured.where("n IS NOT NULL").drop("block", "part", "counts")
+    with passing(_measure(docs, width), "sets") as measured:
+        counts = _counts(measured)
+        nodes = stage(measured.where("n IS NOT NULL").drop("block", "part", "counts"), "nodes")
     classes = stage(nodes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("ranges").alias("ranges")), "classes")
 
-    prefixes = _prefixes(docs, counts, width, percent)
-    rows = shared_keys(prefixes)
-    texts = _texts(docs, rows.select("c").distinct().join(classes, "c").select("doc_id", "c"), width)
+    with passing(_prefixes(docs, counts, width, percent), "prefixes") as prefixes:
+        rows = shared_keys(prefixes)
+    wanted = rows.select("c").distinct().join(classes, "c").select("c", _known("doc_id").alias("d"))
 
     def rest(x: DataFrame, y: DataFrame) -> DataFrame:
         # Of a pair that needs this overlap, the first shared n-gram stands in the first n - need + 1 of both sets, and
@@ -198,7 +205,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         return pairs.where(F.col("m") + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1)
                            >= F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))).select("a", "b")
 
-    links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest)
+    with bucketed(_texts(docs, wanted, width), "texts", "c", "d") as texts:
+        links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest)
 
     component = connected_components(links).withColumnRenamed("node", "c")
     reached = classes.select("c", "doc_id").join(component, "c")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,5 +36,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A step that only the block reads; its files go at the end of the block."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _remove(spark, path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, name: str, *keys: str) -> Iterator[DataFrame]:
+    """Like ``passing``, bucketed by ``keys``: joins on them in the block read it without a shuffle.
+
+    As many buckets as shuffle partitions, so a table that is partitioned by the keys is written as it is.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table_name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).saveAsTable(table_name)
+    try:
+        yield spark.table(table_name)
+    finally:
+        spark.sql(f"DROP TABLE {table_name}")
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
