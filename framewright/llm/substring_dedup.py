@@ -5,9 +5,12 @@ MinHash signature of its five-word shingles; ``tune`` chooses bands and rows for
 recall, paragraphs that collide in a band are joined, and the exact Jaccard similarity of their
 shingle sets decides. And since passages are also copied into the middle of a line, texts are
 cut where the hash of two words is the least of its neighbourhood: a passage is cut alike
-wherever it stands. Pieces with the same words in several documents are equal, neighbouring
-ones make a passage, and passages of ``MIN_PASSAGE`` words are paragraphs too. Components
-over both kinds tell what is a copy of what; all but the first of a component can be removed.
+wherever it stands. Neighbouring pieces make windows, each no longer than it takes to have
+``MIN_PASSAGE`` words, and windows of the same words in several documents are copies. Windows
+that always follow one another, wherever they stand, make one passage. So all of a class of
+passages have the same words, and a word goes only where a window of it stands elsewhere too.
+Components of near lines and classes of passages tell what is a copy of what; all but the
+first of a class can be removed.
 """
 
 from __future__ import annotations
@@ -61,6 +64,19 @@ def _cuts(hashes: np.ndarray) -> np.ndarray:
     return at if len(at) and at[0] == 0 else np.concatenate([[0], at])
 
 
+def _windows(cuts: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the windows of a text: the shortest runs of pieces from each cut on, and up
+    to each cut, that have ``least`` words. Starts and ends both ascend, and none is left out between two,
+    so texts with a run of pieces in common have its windows in common, in the same order."""
+    edges = np.append(cuts, n)
+    m = len(edges)
+    end = np.searchsorted(edges, cuts + least)
+    start = np.searchsorted(edges, edges - least, "right") - 1
+    ahead, back = np.flatnonzero(end < m), np.flatnonzero(start >= 0)
+    both = np.unique(np.concatenate([ahead * m + end[ahead], start[back] * m + back]))
+    return edges[both // m], edges[both % m]
+
+
 def _run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the words of each run, the same wherever it stands."""
     power, inverse = wordhash._tables(len(hashes))
@@ -100,7 +116,7 @@ def _lines(text: bytes, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return first[long], end[long]
 
 
-def _units(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFrame:
+def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -111,8 +127,7 @@ def _units(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFrame:
                     continue
                 text = texts[row].encode()
                 t = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                cut = _cuts(hashes)
-                end = np.append(cut[1:], len(hashes))
+                cut, end = _windows(_cuts(hashes), len(hashes), max(min_passage, 1))
                 first, last = _lines(text, starts, max(min_words, SHINGLE))
                 keys = _signatures(hashes, first, last, bands, rows) if len(first) else np.empty((0, bands), np.uint64)
                 a, b = len(cut), len(first)
@@ -213,21 +228,21 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     return lines.join(several, "h").select("doc_id", "t", "start", "n", "class_id")
 
 
-def _passages(pieces: DataFrame, min_passage: int) -> DataFrame:
-    """Runs of pieces that other documents have too: doc_id, t, start, n, class_id."""
-    shared = pieces.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    hits = pieces.join(shared, "h").select("doc_id", "t", "ord", "start", "n", "h").distinct()
+def _passages(windows: DataFrame) -> DataFrame:
+    """Longest runs of windows that stand together wherever one of them stands: doc_id, t, start, n, class_id.
+
+    A window goes on with the one before it if that comes as often and stands before it each time.
+    """
+    shared = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    hits = windows.join(shared, "h").select("doc_id", "t", "ord", "start", "n", "h").distinct()
     order = Window.partitionBy("doc_id", "t").orderBy("ord")
-    hits = hits.withColumn("new", F.when(F.lag("ord").over(order) == F.col("ord") - 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    hits = stage(hits.drop("new", "ord"), "hits")
-    runs = hits.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n")).where(F.col("n") >= min_passage)
-    runs = stage(runs.withColumn("node", F.monotonically_increasing_id()), "runs")
-    members = stage(hits.select("doc_id", "t", "run", "h").join(runs.select("doc_id", "t", "run", "node"), ["doc_id", "t", "run"]).select("h", "node"), "members")
-    leaders = members.groupBy("h").agg(F.min("node").alias("dst"))
-    found = connected_components(members.join(leaders, "h").select(F.col("node").alias("src"), "dst"))
-    classed = runs.join(found, "node").select("doc_id", "t", "start", "n", F.col("component").alias("class_id"))
-    across = classed.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("class_id")
-    return classed.join(across, "class_id")
+    before = F.when(F.lag("ord").over(order) == F.col("ord") - 1, F.lag("h").over(order))
+    hits = stage(hits.withColumn("before", before), "hits")
+    places = hits.groupBy("h").agg(F.count("*").alias("places"), ((F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))).alias("follows"))
+    hits = hits.join(places, "h").withColumn("new", F.when(F.col("follows") & (F.lag("places").over(order) == F.col("places")), 0).otherwise(1))
+    runs = hits.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "t", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min_by("h", "ord").alias("class_id"))
+    return runs.select("doc_id", "t", "start", (F.col("end") - F.col("start")).alias("n"), "class_id")
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -237,13 +252,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` is true for the first of a class by doc_id and place, all others can be removed; t tells
     texts that share a doc_id apart. Classes have paragraphs of two documents at least. Documents with a null
     doc_id or without words give no row, nor do those that share nothing; rows that share a doc_id are one
-    document. A passage may lie inside a copied line. Other columns are left out.
+    document. A passage may lie inside a copied line, and passages of different classes may overlap. All
+    passages of a class have the same words, ``min_passage`` at least. Other columns are left out.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     bands, rows = tune(similarity, recall)
-    units = _units(docs, bands, rows, min_words)
+    units = _units(docs, bands, rows, min_words, min_passage)
     lines = _paragraphs(docs, units.where("line"), similarity).select(F.lit("line").alias("kind"), "*")
-    passages = _passages(units.where("NOT line").drop("bands"), min_passage).select(F.lit("passage").alias("kind"), "*")
+    passages = _passages(units.where("NOT line").drop("bands")).select(F.lit("passage").alias("kind"), "*")
     both = stage(lines.unionByName(passages).distinct(), "copies")
     first = both.groupBy("kind", "class_id").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"))
     return both.join(first, ["kind", "class_id"]).select(

@@ -172,6 +172,24 @@ def test_substring_dedup_edges(spark):
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.98
 
 
+def test_substring_dedup_keeps_a_copy_of_every_word(spark):
+    rng = random.Random(12)
+    quote = [f"quoted{k}" for k in range(60)]
+    long = [f"own{k}" for k in range(230)] + quote + [f"other{k}" for k in range(230)]
+    some = [[f"z{k}x{rng.randint(0, 9 ** 9)}" for k in range(30)] for _ in range(3)]
+    rows = [(1, " ".join(some[0] + quote + some[1])), (2, " ".join(long)), (5, " ".join(long)), (7, " ".join(some[2]))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    copies = substring_dedup.substring_dedup(docs).where("kind = 'passage'")
+    texts = {i: t.split() for i, t in rows}
+    words = defaultdict(set)
+    for r in copies.collect():
+        words[r.class_id].add(" ".join(texts[r.doc_id][r.start_word:r.start_word + r.n_words]))
+    assert words and all(len(w) == 1 for w in words.values())
+    left = {r.doc_id: (r.text or "").split() for r in substring_dedup.remove_copies(docs, copies).collect()}
+    assert set().union(*left.values()) == set().union(*texts.values())
+    assert left[1] == texts[1] and left[5] == [] and len(left[2]) >= 460
+
+
 @pytest.mark.parametrize("fan_in", [2, 64])
 def test_packing_covers_every_id_once(docs, texts, ids, fan_in):
     rows = packing.pack(docs.withColumn("offset", F.lit("clash")), tokenizer_path(), window=64, most_open=3, fan_in=fan_in).collect()
