@@ -21,7 +21,8 @@ COMMON_WORDS = 32  # bins of the word histogram, besides that of all other words
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.45
 MIN_WORDS_FOR_WORD_RULE = 50
-MIN_LANGUAGE_SHARE = 1 / 256  # of all words; smaller languages are compared with all texts together
+MIN_REFERENCE_WORDS = 2_000  # words of a language, at least, for its texts to be judged by their words
+MIN_REFERENCE_CHARS = 10_000  # characters besides blanks, at least, for them to be judged by their characters
 LOOKED_UP = 24  # repeated windows that are looked up one by one
 POOLED = "\0all"  # key of the reference of all texts
 #: Character classes in the order in which they are taken out of a text; the rest is the last class.
@@ -75,8 +76,9 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """A row per language: key, its common words, their histogram and that of the character classes.
 
-    Counts cover all documents. A language gets a row if it has ``MIN_LANGUAGE_SHARE`` of all words,
-    which bounds the table to 257 rows; the row of ``POOLED`` stands for the others.
+    Counts cover all documents of the language, whatever its share; the row of ``POOLED`` covers all
+    texts and is for those without a language. A histogram with too little behind it is null, a language
+    without either has no row.
     """
     n = len(CLASSES) + 1
     base = docs.select(F.coalesce(F.col(lang), F.lit(POOLED)).alias("_lang"), whole(text).alias("_t"))
@@ -90,9 +92,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     counts, chars = stage(counts, "lang-words"), stage(chars, "lang-chars")
 
     words_of = stage(counts.groupBy("_lang").agg(F.sum("_n").alias("_total")), "lang-totals")
-    large = words_of.join(F.broadcast(words_of.agg(F.sum("_total").alias("_every"))), F.lit(True)) \
-        .where((F.col("_lang") != POOLED) & (F.col("_total") >= F.col("_every") * MIN_LANGUAGE_SHARE)).select("_lang")
-    own = counts.join(large, "_lang")
+    own = counts.where(F.col("_lang") != POOLED)
     pooled = counts.groupBy("_w").agg(F.sum("_n").alias("_n")).select(F.lit(POOLED).alias("_lang"), "_w", "_n")
     both = own.select("_lang", "_w", "_n").unionByName(pooled)
     # The most common words by two steps, so that no language is sorted in one task.
@@ -105,15 +105,17 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
         .unionByName(words_of.agg(F.sum("_total").alias("_all")).withColumn("_lang", F.lit(POOLED)))
     char_rows = chars.unionByName(chars.agg(*(F.sum(f"_c{k}").alias(f"_c{k}") for k in range(n))).withColumn("_lang", F.lit("\0sum"))) \
         .where(F.col("_lang") != POOLED).withColumn("_lang", F.when(F.col("_lang") == "\0sum", POOLED).otherwise(F.col("_lang")))
-    q = tops.join(totals, "_lang").join(char_rows, "_lang")
     whole_chars = sum((F.col(f"_c{k}") for k in range(n)), F.lit(0.0))
+    q = totals.join(char_rows, "_lang").withColumn("_by_words", F.col("_all") >= MIN_REFERENCE_WORDS) \
+        .withColumn("_by_chars", whole_chars - F.col("_c1") >= MIN_REFERENCE_CHARS).where("_by_words OR _by_chars").join(tops, "_lang", "left") \
+        .withColumn("_top", F.coalesce("_top", F.array().cast(tops.schema["_top"].dataType))).withColumn("_inside", F.coalesce("_inside", F.lit(0)))
     return q.select(F.col("_lang").alias("_key"), F.transform("_top", lambda x: x["_w"]).alias("_common"),
-                    F.array_max(F.transform("_top", lambda x: F.octet_length(x["_w"]))).alias("_longest"),
-                    F.concat(F.transform("_top", lambda x: x["_n"] / F.col("_all")),
-                             F.transform(F.sequence(F.size("_top"), F.lit(common)), lambda _: F.lit(0.0)),
-                             ).alias("_wq0"),
+                    F.coalesce(F.array_max(F.transform("_top", lambda x: F.octet_length(x["_w"]))), F.lit(0)).alias("_longest"),
+                    F.when(F.col("_by_words"), F.concat(F.transform("_top", lambda x: x["_n"] / F.col("_all")),
+                                                        F.transform(F.sequence(F.size("_top"), F.lit(common)), lambda _: F.lit(0.0)),
+                                                        )).alias("_wq0"),
                     ((F.col("_all") - F.col("_inside")) / F.col("_all")).alias("_wrest"),
-                    F.array(*(F.col(f"_c{k}") / F.nullif(whole_chars, F.lit(0.0)) for k in range(n))).alias("_cq"))
+                    F.when(F.col("_by_chars"), F.array(*(F.col(f"_c{k}") / whole_chars for k in range(n)))).alias("_cq"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON_WORDS,
@@ -121,8 +123,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", commo
     """All rows of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance and kept.
 
-    Null and empty texts have no words and fail the base rules. A null or rare language is compared
-    with all texts. Repeated rows are judged alike and all returned; other columns are left as they
+    Null and empty texts have no words and fail the base rules. Texts without a language are compared
+    with all texts. A language with fewer than ``MIN_REFERENCE_WORDS`` words or ``MIN_REFERENCE_CHARS``
+    characters is not judged by its words or characters; the distance is then 0. Repeated rows are judged alike and all returned; other columns are left as they
     are, except that a column with the name of a new one is replaced. Texts of fewer than
     ``MIN_WORDS_FOR_WORD_RULE`` words are not judged by their words.
     """
@@ -132,9 +135,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", commo
     keep = [c for c in docs.columns if c.lower() not in new]
     m = _measured(docs.select(*(F.col(f"`{c}`") for c in keep)), text).withColumn("_lang", F.coalesce(F.col(lang), F.lit(POOLED)))
     refs = stage(refs, "references")
-    known = refs.select(F.col("_key").alias("_lang"), F.lit(True).alias("_known"))
-    m = m.join(F.broadcast(known), "_lang", "left").withColumn("_key", F.when(F.col("_known"), F.col("_lang")).otherwise(POOLED))
-    m = m.join(F.broadcast(refs), "_key", "left")
+    # Small tables are broadcast by their size; that of very many languages is not.
+    m = m.join(refs.withColumnRenamed("_key", "_lang"), "_lang", "left")
     letters = F.array(*(F.lit(c) for c in ("", *_LETTERS[:common])))
     m = m.withColumn("_letters", letters).withColumn("_marks", F.array_join(
         F.transform(F.filter("_words", lambda w: F.octet_length(w) <= F.col("_longest")),

@@ -65,6 +65,24 @@ def test_rules_on_empty_table_and_clashing_columns(spark, corpus):
     assert out.count() == corpus.count()
 
 
+def test_rules_judge_each_language_by_itself(spark):
+    """Clean texts of rare languages and scripts stay, junk in them goes, whatever else the corpus has."""
+    rng = random.Random(15)
+
+    def other(letters, n):
+        common = ["".join(rng.choice(letters) for _ in range(2)) for _ in range(8)]
+        return [" ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(150)) for _ in range(n)]
+
+    hangul = "".join(map(chr, range(0xAC00, 0xAC40)))
+    rows = [(k, t, "ko") for k, t in enumerate(other(hangul, 30))] + [(50, t, "th") for t in other("กขคงจฉช", 1)] + [(51, t, "xx") for t in other("qwxyzkvj", 1)]
+    rows += [(60, " ".join(f"{rng.randint(0, 10 ** 6)}%" for _ in range(150)), "ko")]
+    small = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    large = spark.createDataFrame([(100, prose(rng, 60 * 20_000), "en")], small.schema)
+    for docs in (small, small.unionByName(large)):
+        kept = {r.doc_id for r in quality_rules.accepted(docs).collect()}
+        assert kept - {100} == set(range(30)) | {50, 51}
+
+
 def test_line_dedup_by_site(spark):
     rows = [(k, f"menu\nown line {k}\nfooter", "a") for k in range(20)] + [(100 + k, f"rare {k}\nmenu", "small") for k in range(5)]
     rows += [(200 + k, "x\n" * (k % 2) + f"body {k}", "b") for k in range(12)] + [(300, None, "a"), (301, "", "a"), (302, "menu", None), (0, "menu\nsecond row", "a")]
