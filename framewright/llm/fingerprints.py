@@ -2,16 +2,17 @@
 
 A text is cut into tokens of up to ``TOKEN`` characters that are not white space.
 Its k-mers (k tokens in a row) are numbered by occurrence, so a repeated k-mer is
-several elements. An element is ranked by the hash of its k-mer, then by its
-number. The first bits of the hash give the bin; the smallest ``TUPLE`` elements of
-each bin are put back in text order and hashed together. So each bin is a MinHash
+several elements. An element is ranked by the hash of its k-mer and its number
+together, so each occurrence has a rank of its own. The first bits of that hash give
+the bin; the smallest ``TUPLE`` elements of each bin are put back in text order and
+hashed together. So each bin is a MinHash
 that also sees the order of its k-mers: moving a passage changes it though the set
 of k-mers stays. The likeness of two fingerprints is the share of equal bins among
 those that either fills.
 
-An element is one number: 40 bits of the k-mer's hash, the bin's first, over 24 bits
-of its place. One sort of numbers gives bins, ranks and occurrences at once: equal
-k-mers stand together in text order, and only the first ``TUPLE`` of them can be taken.
+One sort of the k-mers' hashes with their places brings equal k-mers together in text
+order and so numbers them; a second sort, of the elements' hashes with their places,
+gives bins and ranks. Hash and place are two fields, so texts of any length are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ TOKEN = 40
 K = 2
 BIN_BITS = 6
 TUPLE = 2
-PLACE_BITS = 24
 BLOCK_IDS = 512  # neighbouring ids that one task sorts: bounds what a window holds
 _LONG = rf"[^\x20\x09-\x0D]{{{TOKEN + 1}}}"
 _TOKENS = rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}"
@@ -36,28 +36,30 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bin_bits:
     """``df`` with column ``name``: the filled bins in order, ``bin:hash`` in hex, joined by commas.
 
     A text of fewer than k tokens has one k-mer of them all; null, empty and blank texts have an empty
-    fingerprint. Equal texts have equal fingerprints. Places beyond 2**24 tokens count as the last.
+    fingerprint. Equal texts have equal fingerprints.
     """
     t = [f"_fp{j}" for j in range(4)]
 
     def element(h: Column, i: Column) -> Column:
-        high = F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS), PLACE_BITS)
-        return high.bitwiseOR(F.least(i, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+        return F.struct(h.alias("h"), i.alias("i"))
 
     def bin_of(e: Column) -> Column:
-        return F.shiftrightunsigned(e, 64 - bin_bits)
-
-    def mer(e: Column) -> Column:
-        return F.shiftrightunsigned(e, PLACE_BITS)
+        return F.shiftrightunsigned(e["h"], 64 - bin_bits)
 
     # Words are the tokens; only a text with a longer one needs the slower pattern.
     df = df.withColumn(t[0], F.when(whole(text).rlike(_LONG), F.regexp_extract_all(whole(text), F.lit(_TOKENS), F.lit(0)))
                        .otherwise(words(whole(text))))
-    short = F.when(F.size(t[0]) == 0, F.expr("array()").cast("array<bigint>")).otherwise(
+    short = F.when(F.size(t[0]) == 0, F.expr("array()").cast("array<struct<h:bigint,i:int>>")).otherwise(
         F.array(element(F.xxhash64(F.array_join(t[0], " ")), F.lit(0))))
     df = df.withColumn(t[1], F.sort_array(F.when(F.size(t[0]) < k, short).otherwise(F.transform(
         F.expr(f"slice({t[0]}, 1, greatest(size({t[0]}) - {k - 1}, 0))"),
         lambda w, i: element(F.xxhash64(w, *(F.get(F.col(t[0]), i + d) for d in range(1, k))), i)))))
+    # Where the occurrences of a k-mer begin, carried along: the number is the distance from there.
+    df = df.withColumn(t[2], F.filter(F.transform(t[1], lambda e, j: F.when(
+        F.get(F.col(t[1]), j - 1)["h"] == e["h"], F.lit(None)).otherwise(j)), lambda j: j.isNotNull()))
+    df = df.withColumn(t[1], F.sort_array(F.flatten(F.transform(t[2], lambda a, r: F.transform(
+        F.slice(F.col(t[1]), a + 1, F.coalesce(F.get(F.col(t[2]), r + 1), F.size(t[1])) - a),
+        lambda e, n: element(F.xxhash64(e["h"], n), e["i"]))))))
     # The first elements of a bin: those whose neighbour ``size`` places before is of another bin.
     df = df.withColumn(t[2], F.filter(t[1], lambda e, j: F.coalesce(bin_of(F.get(F.col(t[1]), j - size)) != bin_of(e), F.lit(True))))
     first = F.filter(F.transform(t[2], lambda e, j: F.when(
@@ -66,11 +68,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bin_bits:
 
     def one(j: Column, r: Column) -> Column:
         members = F.slice(F.col(t[2]), j + 1, F.coalesce(F.get(F.col(t[3]), r + 1), F.size(t[2])) - j)
-        ordered = F.sort_array(F.transform(members, lambda e, q: F.struct(
-            F.shiftrightunsigned(F.shiftleft(e, 64 - PLACE_BITS), 64 - PLACE_BITS).alias("i"), mer(e).alias("x"),
-            F.when(mer(F.get(F.col(t[2]), j + q - 1)) == mer(e), q).otherwise(0).alias("n"))))
+        ordered = F.sort_array(F.transform(members, lambda e: F.struct(e["i"].alias("i"), e["h"].alias("x"))))
         return F.concat(F.hex(bin_of(F.get(F.col(t[2]), j))), F.lit(":"),
-                        F.hex(F.xxhash64(F.transform(ordered, lambda e: F.struct(e["x"], e["n"])))))
+                        F.hex(F.xxhash64(F.transform(ordered, lambda e: e["x"]))))
 
     return df.withColumn(name, F.array_join(F.transform(t[3], one), ",")).drop(*t)
 

@@ -193,3 +193,44 @@ def test_fingerprint_sees_order_and_occurrence(spark):
         df = fingerprints.with_fingerprint(df, c, "f" + c)
     r = df.select(fingerprints.likeness(F.col("fa"), F.col("fb")).alias("moved"), F.col("fc") != F.col("fd"), F.col("fe")).first()
     assert 0.2 < r.moved < 1 and r[1] and r[2]
+
+
+def test_fingerprint_counts_every_occurrence(spark):
+    rng = random.Random(21)
+    few, many = " ".join(["a b c"] * 3), " ".join(["a b c"] * 500)
+    passages = [" ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(20)) for _ in range(40)]
+    other = passages[:]
+    rng.shuffle(other)
+    df = spark.createDataFrame([(few, many, " ".join(passages * 2), " ".join(other * 2), " ".join(p + " " + p for p in passages), " ".join(p + " " + p for p in other))],
+                               "a STRING, b STRING, c STRING, d STRING, e STRING, f STRING")
+    for c in "abcdef":
+        df = fingerprints.with_fingerprint(df, c, "f" + c)
+    r = df.select(fingerprints.likeness(F.col("fa"), F.col("fb")).alias("n"), fingerprints.likeness(F.col("fc"), F.col("fd")).alias("m"),
+                  fingerprints.likeness(F.col("fe"), F.col("ff")).alias("d"), "fb").first()
+    assert r.n < 0.5 and len(r.fb.split(",")) == 64
+    assert r.m < 0.75 and r.d < 0.75
+
+
+def test_fingerprint_equals_a_plain_model(spark):
+    """Bins of the smallest hashes of (k-mer, number), in text order, with the places of long texts."""
+    rng = random.Random(22)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 5, 60, 400])))) for k in range(12)]
+    df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "i INT, t STRING"), "t", "f")
+    texts, got = dict(rows), {r.i: r.f for r in df.collect()}
+    mers = [(i, tuple(w[j:j + 2])) for i, t in texts.items() for w in [t.split()] for j in range(len(w) - 1)]
+    seen, keyed = Counter(), []
+    for i, m in mers:
+        keyed.append((i, *m, seen[i, m]))
+        seen[i, m] += 1
+    ranks = spark.createDataFrame([(p, *x) for p, x in enumerate(keyed)], "p INT, i INT, a STRING, b STRING, n INT") \
+        .select("p", "i", F.xxhash64(F.xxhash64("a", "b"), "n").alias("h")).collect()
+    bins: dict = {}
+    for r in sorted(ranks):
+        bins.setdefault(r.i, {}).setdefault((r.h % 2 ** 64) >> 58, []).append((r.h, r.p))
+    flat = [(i, b, [h for _, h in sorted((p, h) for h, p in sorted(e)[:2])]) for i, of in bins.items() for b, e in of.items()]
+    hashed = spark.createDataFrame(flat, "i INT, b INT, e ARRAY<BIGINT>").select("i", "b", F.concat(F.hex("b"), F.lit(":"), F.hex(F.xxhash64("e"))).alias("s"), F.col("e")[0].alias("h")).collect()
+    for i, t in texts.items():
+        if len(t.split()) >= 2:
+            assert set(got[i].split(",")) == {r.s for r in hashed if r.i == i}
+        else:
+            assert (got[i] == "") == (t == "")
