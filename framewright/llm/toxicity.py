@@ -38,6 +38,7 @@ _SPLIT = bytes(32 if (x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128) els
 _MARKS = b".,;:!?'\"()-"
 _SYMBOLS = b"#*$%&|<>@^~=_+/\\"
 _HIDDEN = re.compile(rb"[A-Za-z]+(?:[*@$0-9][A-Za-z]*)+|[A-Za-z](?:[.\-_][A-Za-z]){2,}")
+_DOTTED = re.compile(rb"\.[A-Za-z]\.")  # in any word that only dots hide
 _SHOWN = bytes.maketrans(b"01345@$", b"oieasas")
 _SHOUT = re.compile(rb"\b[A-Z]{2,}\b")
 
@@ -64,7 +65,7 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
         near = int((gap <= NEAR).sum())
     upper = len(data) - len(data.translate(None, _UPPER))
     letters = upper + sum(map(len, words))
-    odd = len(data) - len(data.translate(None, b"0123456789*@$")) or data.count(b"-")
+    odd = len(data) - len(data.translate(None, b"0123456789*@$-_")) or _DOTTED.search(data)
     hidden = _HIDDEN.findall(data) if odd else []
     return [len(strong) / n, (len(hits) - len(strong)) / n, sum(v for _, v in hits) / n, float(min(len(strong), 50)),
             float(len({words[k] for k in strong})), near / n, sum(w in ADDRESS for w in words) / n if not hits else len(address) / n,

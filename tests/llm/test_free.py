@@ -302,6 +302,15 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in held) >= 0.95 * len(held)
 
 
+@pytest.mark.parametrize("word", ["i.d.i.o.t", "i_d_i_o_t", "i-d-i-o-t", "i.d_i-o.t", "id1ot", "idi0t"])
+def test_toxicity_sees_every_hidden_spelling(word):
+    at = {f: k for k, f in enumerate(toxicity.FEATURES)}
+    found = toxicity.features(f"what an {word} you are.", {b"idiot": 4.0})
+    assert (found[at["hidden"]], found[at["hidden_hits"]]) == (1 / len(f"what an {word} you are.".encode().translate(toxicity._SPLIT).split()), 1.0)
+    plain = toxicity.features("what a day. so it is.", {b"idiot": 4.0})
+    assert plain[at["hidden"]] == plain[at["hidden_hits"]] == 0
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id BIGINT, text STRING")
     none = spark.createDataFrame([], "doc_id BIGINT, toxic INT")
