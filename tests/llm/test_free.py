@@ -318,6 +318,19 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), none).collect() == []
 
 
+def test_pipeline_links_at_five_words_and_four_fifths(spark):
+    words = [f"w{k}" for k in range(200)]
+    near, far = list(words), list(words)
+    for k in range(20, 200, 50):
+        near[k] = f"near{k}"
+    for k in range(10, 200, 35):
+        far[k] = f"far{k}"
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(near), "en", "s", 0), (3, " ".join(far), "en", "s", 0)]
+    assert [c for _, c in brute_components([r[:2] for r in rows]).values()] == [1, 2, 3]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_pipeline_equals_brute_force(spark, docs, texts, ids):
     """Each stage on its own input: what it keeps, in the columns of documents."""
     now = docs
