@@ -1,6 +1,7 @@
 """Substring dedup: paragraph MinHash banding, exact verification, components of removals.
 
-Two kinds of paragraphs are compared. A line of ``MIN_WORDS`` words or more is one, with a
+Two kinds of paragraphs are compared. A line of ``MIN_WORDS`` words or more is one, and so are the
+lines up to a blank line if they have as many words together, however they are wrapped, with a
 MinHash signature of its five-word shingles; ``tune`` chooses bands and rows for the wanted
 recall, paragraphs that collide in a band are joined, and the exact Jaccard similarity of their
 shingle sets decides. And since passages are also copied into the middle of a line, texts are
@@ -103,17 +104,23 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands:
     return keys
 
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("line", pa.bool_()), ("ord", pa.int32()), ("start", pa.int32()),
+_UNITS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("line", pa.bool_()), ("par", pa.int32()), ("whole", pa.bool_()), ("ord", pa.int32()), ("start", pa.int32()),
                     ("n", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _lines(text: bytes, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of the lines of ``least`` words or more."""
+def _lines(text: bytes, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word of the lines, and of the several lines up to a blank line, of ``least`` words
+    or more; the first word of the paragraph that each is in, and whether it is all of several lines."""
     line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else np.empty(0, np.int64)
-    end = np.append(first[1:], len(line)) if len(first) else first
+    step = np.diff(line, prepend=-2)
+    first, begin = np.flatnonzero(step), np.flatnonzero(step > 1)
+    end, stop = np.append(first[1:], len(line)), np.append(begin[1:], len(line))
+    several = np.searchsorted(first, stop) - np.searchsorted(first, begin) > 1
+    par = begin[np.searchsorted(begin, first, "right") - 1]
+    first, end = np.concatenate([first, begin[several]]), np.concatenate([end, stop[several]])
+    par, whole = np.concatenate([par, begin[several]]), np.arange(len(first)) >= len(par)
     long = end - first >= least
-    return first[long], end[long]
+    return first[long], end[long], par[long], whole[long]
 
 
 def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage: int) -> DataFrame:
@@ -128,12 +135,14 @@ def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage:
                 text = texts[row].encode()
                 t = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
                 cut, end = _windows(_cuts(hashes), len(hashes), max(min_passage, 1))
-                first, last = _lines(text, starts, max(min_words, SHINGLE))
+                first, last, par, several = _lines(text, starts, max(min_words, SHINGLE))
                 keys = _signatures(hashes, first, last, bands, rows) if len(first) else np.empty((0, bands), np.uint64)
                 a, b = len(cut), len(first)
                 parts["doc_id"].append(np.full(a + b, ids[row]))
                 parts["t"].append(np.full(a + b, t))
                 parts["line"].append(np.arange(a + b) >= a)
+                parts["par"].append(np.concatenate([np.zeros(a, np.int64), par]))
+                parts["whole"].append(np.concatenate([np.zeros(a, bool), several]))
                 parts["ord"].append(np.concatenate([np.arange(a), np.arange(b)]))
                 parts["start"].append(np.concatenate([cut, first]))
                 parts["n"].append(np.concatenate([end - cut, last - first]))
@@ -146,7 +155,7 @@ def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage:
             if held:
                 yield _batch(parts, bands)
 
-    return stage(docs.mapInArrow(run, "doc_id BIGINT, t BIGINT, line BOOLEAN, ord INT, start INT, n INT, h BIGINT, bands ARRAY<BIGINT>"), "units")
+    return stage(docs.mapInArrow(run, "doc_id BIGINT, t BIGINT, line BOOLEAN, par INT, whole BOOLEAN, ord INT, start INT, n INT, h BIGINT, bands ARRAY<BIGINT>"), "units")
 
 
 def _batch(parts: dict, bands: int) -> pa.RecordBatch:
@@ -210,7 +219,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Lines that have a near copy in another document: doc_id, t, start, n, class_id."""
+    """Lines and paragraphs that have a near copy in another document: doc_id, t, start, n, class_id.
+
+    A line of a paragraph that is itself in the class is no copy of it, and left out."""
     first = F.min(F.struct("doc_id", "t", "start", "n")).alias("first")
     classes = stage(lines.groupBy("h").agg(first, F.max("doc_id").alias("high"), F.any_value("bands").alias("bands")), "classes")
     rows = shared_keys(classes.select(F.explode("bands").alias("token"), F.col("h").alias("c")))
@@ -225,7 +236,8 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     of = classes.join(found.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("class_id"), F.col("first.doc_id").alias("low"), "high")
     across = of.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("class_id")
     several = stage(of.select("h", "class_id").join(across, "class_id"), "near-lines")
-    return lines.join(several, "h").select("doc_id", "t", "start", "n", "class_id")
+    inside = Window.partitionBy("doc_id", "t", "class_id", "par")
+    return lines.join(several, "h").withColumn("all", F.max("whole").over(inside)).where("whole OR NOT all").select("doc_id", "t", "start", "n", "class_id")
 
 
 def _passages(windows: DataFrame) -> DataFrame:
@@ -247,7 +259,7 @@ def _passages(windows: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE, recall: float = RECALL) -> DataFrame:
-    """A row per copied paragraph: doc_id, kind (line or passage), start_word, n_words, class_id, kept, t.
+    """A row per copied paragraph: doc_id, kind (line, of one line or of all up to a blank line, or passage), start_word, n_words, class_id, kept, t.
 
     ``kept`` is true for the first of a class by doc_id and place, all others can be removed; t tells
     texts that share a doc_id apart. Classes have paragraphs of two documents at least. Documents with a null
@@ -259,7 +271,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands, rows = tune(similarity, recall)
     units = _units(docs, bands, rows, min_words, min_passage)
     lines = _paragraphs(docs, units.where("line"), similarity).select(F.lit("line").alias("kind"), "*")
-    passages = _passages(units.where("NOT line").drop("bands")).select(F.lit("passage").alias("kind"), "*")
+    passages = _passages(units.where("NOT line").drop("bands", "par", "whole")).select(F.lit("passage").alias("kind"), "*")
     both = stage(lines.unionByName(passages).distinct(), "copies")
     first = both.groupBy("kind", "class_id").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"))
     return both.join(first, ["kind", "class_id"]).select(

@@ -172,6 +172,28 @@ def test_substring_dedup_edges(spark):
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.98
 
 
+def test_substring_dedup_finds_wrapped_paragraphs(spark):
+    def new(name, n):
+        return [f"{name}{k}" for k in range(n)]
+
+    def wrapped(words, width):
+        return "\n".join(" ".join(words[k:k + width]) for k in range(0, len(words), width))
+
+    par = new("par", 180)
+    other = [f"{w}x" if k in (14, 74, 120) else w for k, w in enumerate(par)]
+    long = new("long", 100)
+    rows = [(1, f"{wrapped(new('a', 30), 10)}\n\n{wrapped(par, 9)}\n \n{wrapped(new('b', 30), 10)}"),
+            (2, f"{wrapped(new('c', 30), 10)}\n\n{wrapped(other, 11)}\n\n{wrapped(new('d', 30), 10)}"),
+            (3, f"{wrapped(new('head', 3), 3)}\n{wrapped(long, 100)}\nlast line"), (4, wrapped(long, 100))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    copies = substring_dedup.substring_dedup(docs).where("kind = 'line'")
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.kept) for r in copies.collect())
+    assert [g for g in got if g[0] < 3] == [(1, 30, 180, True), (2, 30, 180, False)]
+    left = {r.doc_id: (r.text or "").split() for r in substring_dedup.remove_copies(docs, copies).collect()}
+    assert left[1] == rows[0][1].split() and left[2] == new("c", 30) + new("d", 30)
+    assert left[3] == rows[2][1].split() and left[4] == []
+
+
 def test_substring_dedup_keeps_a_copy_of_every_word(spark):
     rng = random.Random(12)
     quote = [f"quoted{k}" for k in range(60)]
