@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.llm import (fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, token_store,
-                            toxicity, warc)
+from framewright.llm import (fingerprints, importance, line_dedup, mixing, ngram_join, packing, pii, quality_rules, substring_dedup,
+                            token_store, toxicity, vector_codes, warc)
 from framewright.llm.storage import table
 
 
@@ -28,9 +28,14 @@ QUERIES = {
     "op8_mixing": _documents(mixing.op8_mixing),
     "op9_quality_rules": _documents(quality_rules.op9_quality_rules),
     "op10_fingerprints": _documents(fingerprints.op10_fingerprints),
+    "op11_pii": _documents(pii.op11_pii),
+    "op12_importance": lambda spark, sf_dir: importance.op12_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_vector_codes": lambda spark, sf_dir: vector_codes.op13_vector_codes(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op12_importance": importance.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
