@@ -272,7 +272,7 @@ def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
     kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches):
-        tree = entry_tree(books)
+        tree = entry_tree(books) if k else None  # no entry: no row either
         names = np.array([f"{x:0{digits}x}" for x in range(k)])
         for batch in batches:
             codes, errors = [], []
