@@ -47,7 +47,7 @@ def line_dedup(docs: DataFrame, site: str, text: str = "text", doc_id: str = "do
 
     A line counts once a page; blank lines are kept and never count. A null site is a site of its own;
     a null text stays null. Rows that share a doc_id count as pages each. A page may lose all its
-    lines: its text is then empty, the row stays. Columns n_lines and n_dropped of ``docs`` are replaced.
+    lines: its text is then empty, the row stays; an empty table gives no row. Columns n_lines and n_dropped of ``docs`` are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in keep))
@@ -75,8 +75,11 @@ def line_dedup(docs: DataFrame, site: str, text: str = "text", doc_id: str = "do
 
 
 def op5_line_dedup(pages: DataFrame) -> DataFrame:
-    """Boilerplate lines of the visible text of ``pages``, by host of the URL."""
-    text = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text"))
+    """Boilerplate lines of the visible text of ``pages``, by host of the URL. Edge cases as in ``line_dedup``.
+
+    The text is taken out of the markup once: counts, hits and output read it from a stage table.
+    """
+    text = stage(pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text")), "page-lines")
     return line_dedup(text, "host", "text", "page_id")
 
 
