@@ -53,9 +53,9 @@ SANITIZE_DROP_PREFIXES = [";", "?live", "?debug"]
 
 # ``<name> ( ... ) {``, name inserted escaped; dot matches newline.
 C_SIGNATURE_TEMPLATE = r"(?sU)\b{name}\s*\([^)]*\)\s*\{{"
-# Pieces of a C file: one ends after each brace, one begins at each signature of a plain word.
-C_SPLIT = r"(?U)(?<=[{}])|(?<!\w)(?=\w+\s*\([^)]*\)\s*\{)"
-C_SIGNED = r"(?U)^(\w+)\s*\([^{}]*"
+# Where a signature of a plain word begins, and where a piece ends after each brace.
+C_SIGNATURE_START = r"(?U)(?<!\w)(?=\w+\s*\([^)]*\)\s*\{)"
+C_BRACE_END = r"(?<=[{}])"
 
 # --- fixed values: chat formatting ----------------------------------------
 

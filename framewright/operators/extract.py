@@ -6,8 +6,9 @@ functions it holds.  The rule of a name has no left boundary, so ``_my_f proc ne
 also answers to ``f``, and ``_my_f endp`` also ends it: headers and ends are
 written out under the name after each ``_``, in text order.  A name's body runs from
 its first header to the first end after it, also across other procedures.  C
-files are split once at signatures and braces in the same way.  Only names that
-are no plain word (which no such split can find) take a pattern of their own.
+files are split once at signatures and braces, and all braces of a file are
+matched in one pass (``_brace_table``).  Only names that are no plain word (which
+no such split can find) take a pattern of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.patterns import C_SIGNATURE_TEMPLATE, C_SIGNED, C_SPLIT, PROC_HEADER, PROC_MARKER, PROC_SPLIT
+from framewright.functions.arrays import bind, running_sum
+from framewright.functions.patterns import C_BRACE_END, C_SIGNATURE_START, C_SIGNATURE_TEMPLATE, PROC_HEADER, PROC_MARKER, PROC_SPLIT
 from framewright.functions.text import py_strip, quote_regex
 
 
@@ -148,6 +150,64 @@ def c_signature_pattern(name: Column) -> Column:
     return F.concat(F.lit(head), quote_regex(name), F.lit(tail.replace("{{", "{")))
 
 
+def _brace_table(text: Column) -> Column:
+    """``tokens, groups`` of a C text: its pieces, and for each signature its name, its first piece
+    and the piece that ends with the partner of its brace (null when there is none).  Signatures are
+    grouped by a hash of their names, in text order, so that a look-up reads few of them.
+
+    The text is split where signatures begin, so only true signatures head a piece, then after each
+    brace. One running sum gives the depth after each piece. A brace that raises the depth to d and
+    the one that lowers it from d alternate at every d, so braces sorted by (d, place) stand beside
+    their partners. No function is scanned on its own.
+    """
+    # A character before the text: then a signature heads every piece but the first.
+    pieces = F.split(F.concat(F.lit("\n"), text), C_SIGNATURE_START)
+    tokens = F.flatten(F.transform(pieces, lambda p, i: F.transform(F.split(p, C_BRACE_END), lambda t, j: F.struct(
+        t.alias("t"), ((i > 0) & (j == 0)).alias("sig"),
+        F.when(t.endswith("{"), 1).when(t.endswith("}"), -1).otherwise(0).alias("step")))))
+
+    def events(toks: Column, depth: Column) -> Column:
+        return F.sort_array(F.filter(F.transform(toks, lambda t, i: F.when(t["step"] != 0, F.struct(
+            (F.get(depth, i) + F.when(t["step"] < 0, 1).otherwise(0)).alias("d"), i.alias("at"), (t["step"] > 0).alias("up")))), lambda e: e.isNotNull()))
+
+    def partners(sorted_events: Column) -> Column:
+        """Of each opening brace in text order, the closing one."""
+        pairs = F.transform(sorted_events, lambda e, i: F.when(e["up"], F.struct(
+            e["at"].alias("at"), bind(F.get(sorted_events, i + 1), lambda n: F.when(n["d"] == e["d"], n["at"])).alias("to"))))
+        return F.transform(F.sort_array(F.filter(pairs, lambda p: p.isNotNull())), lambda p: p["to"])
+
+    def signatures(toks: Column, to: Column, opened: Column, parens: Column, closed: Column) -> Column:
+        # A signature's brace ends the first piece from its own on that has a ")".
+        brace = lambda t, i: F.get(parens, F.get(closed, i) - t["t"].contains(")").cast("int"))
+        found = F.transform(toks, lambda t, i: F.when(t["sig"], F.struct(
+            F.regexp_extract(t["t"], r"(?U)^\w+", 0).alias("name"), i.alias("from"), F.get(to, F.get(opened, brace(t, i)) - 1).alias("to"))))
+        return F.filter(found, lambda s: s.isNotNull())
+
+    def table(toks: Column) -> Column:
+        depth = running_sum(F.transform(toks, lambda t: t["step"]))
+        opened = running_sum(F.transform(toks, lambda t: (t["step"] > 0).cast("int")))
+        closed = running_sum(F.transform(toks, lambda t: t["t"].contains(")").cast("int")))
+        parens = F.filter(F.transform(toks, lambda t, i: F.when(t["t"].contains(")"), i)), lambda i: i.isNotNull())
+        to = bind(depth, lambda d: bind(events(toks, d), partners))
+        sigs = bind(to, lambda to_: bind(opened, lambda o: bind(parens, lambda p: bind(closed, lambda c: signatures(toks, to_, o, p, c)))))
+        n = lambda s: F.least(F.lit(256), F.floor(F.size(s) / 16).cast("int") + 1)
+        groups = lambda s: F.transform(F.sequence(F.lit(0), n(s) - 1), lambda k: F.filter(s, lambda x: _group(x["name"], n(s)) == k))
+        return F.struct(F.transform(toks, lambda t: t["t"]).alias("tokens"), bind(sigs, groups).alias("groups"))
+
+    return bind(tokens, table)
+
+
+def _group(name: Column, groups: Column) -> Column:
+    return F.pmod(F.hash(name), groups)
+
+
+def _c_cut(name: Column) -> Column:
+    """Text from the first signature of a plain word to its partner brace; null when there is none."""
+    tokens, groups = F.col("_table")["tokens"], F.col("_table")["groups"]
+    return bind(F.get(F.filter(F.get(groups, _group(name, F.size(groups))), lambda s: s["name"] == name), F.lit(0)),
+                lambda x: F.when(x["to"].isNotNull(), F.array_join(F.slice(tokens, x["from"] + 1, x["to"] - x["from"] + 1), "")))
+
+
 def _close(tokens: Column) -> Column:
     """How many ``tokens`` (the first begins with a signature) reach the brace that closes the
     signature's; -1 when none does.  Braces before the signature's ``)`` do not count."""
@@ -162,35 +222,23 @@ def _close(tokens: Column) -> Column:
     return F.aggregate(tokens, init, step)["e"]
 
 
-def _c_cut(place: Column) -> Column:
-    """C function whose signature begins the ``place``-th (1-based) of ``_tokens``; null when unmatched.
-    A short stretch is tried first, then a long one, then the whole rest of the file."""
-    def within(n) -> Column:
-        some = F.slice(F.col("_tokens"), place, n)
-        return F.get(F.transform(F.array(_close(some)), lambda e: F.when(e > 0, F.array_join(F.slice(F.col("_tokens"), place, e), ""))), F.lit(0))
-
-    return F.coalesce(within(F.lit(64)), within(F.lit(2048)), within(F.size("_tokens")))
+def _c_cut_odd(name: Column) -> Column:
+    """The same for a name that is no plain word: the text from its own match on."""
+    rest = F.split(F.substr(F.col("_c"), _match_start(name)), C_BRACE_END)
+    return F.when(_match_start(name) > 0, bind(rest, lambda t: bind(_close(t), lambda e: F.when(e > 0, F.array_join(F.slice(t, F.lit(1), e), "")))))
 
 
 def c_functions(files: DataFrame, key: str = "file_key", c: str = "source_code_c") -> DataFrame:
     """C3 for every label function: ``key, fn_ord, function_name, c_function``.
 
     From the name of the first ``name(...) {`` to the ``}`` matching its
-    brace (every brace counts), stripped; "" when absent or unmatched.  A file
-    is split once; its text does not travel with its functions."""
+    brace (every brace counts), stripped; "" when absent or unmatched.  A file's
+    braces are matched once, its text does not travel with its functions."""
     src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias("_c"), F.col("label.functions").alias("_fns"))
-    src = src.withColumn("_tokens", F.split("_c", C_SPLIT))
-    src = src.withColumn("_signed", F.transform("_tokens", lambda t: F.regexp_extract(t, C_SIGNED, 1)))
-    odd = lambda n: F.substr(F.col("_c"), _match_start(n))
-
-    def cut(n: Column) -> Column:
-        # a name that is no plain word: the text from its own match on, split the same way
-        rest = F.transform(F.array(F.split(odd(n), r"(?<=[{}])")), lambda t: F.transform(
-            F.array(_close(t)), lambda e: F.when(e > 0, F.array_join(F.slice(t, F.lit(1), e), ""))))
-        slow = F.when(_match_start(n) > 0, F.get(F.flatten(rest), F.lit(0)))
-        fast = F.get(F.transform(F.array(F.array_position("_signed", n).cast("int")), lambda p: F.when(p > 0, _c_cut(p))), F.lit(0))
-        return F.when(_odd(n), slow).otherwise(fast)
-
+    src = src.withColumn("_table", _brace_table(F.col("_c")))
+    # The table is used by a lambda: an array keeps it from being written into it.
+    src = src.withColumn("_table", F.explode(F.array("_table")))
+    cut = lambda n: F.when(_odd(n), _c_cut_odd(n)).otherwise(_c_cut(n))
     out = src.select(key, F.posexplode(F.transform("_fns", lambda f: F.struct(f.alias("fn"), F.when(
         F.coalesce(f["function_name"], F.lit("")) != "", cut(f["function_name"])).alias("cut")))).alias("fn_ord", "p"))
     return out.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"), F.col("p.fn.function_name").alias("function_name"),

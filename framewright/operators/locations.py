@@ -1,7 +1,7 @@
 """Variable locations (D4-D16): where each label variable lives.
 
 Plan per procedure (all keyed by ``(file_key, lname)``; the bodies arrive
-hash-partitioned on that key, so the windows below add no exchange):
+hash-partitioned on that key, so the windows and aggregations below add no exchange):
 
 1. lines      ``posexplode(split(body))``, strip, drop blanks, comment flag
 2. blocks     a comment line after a code line opens a block: running sum
@@ -10,14 +10,15 @@ hash-partitioned on that key, so the windows below add no exchange):
 4. registers  ``REG = &?var`` pairs in the joined comment text of each block;
               last pair (block order, then position) wins
 5. mentions   a variable is mentioned by a block when its name is a substring
-              of an active (non-declaration) comment line.  Instead of testing
-              every variable against every block, each comment line emits its
-              substrings of the lengths the procedure's names have, starting
-              at characters that begin some name; an equi-join on the text
-              finds the mentions.  Work grows with the comment text, not with
-              variables x blocks, and the join key spreads a hot procedure.
+              of an active (non-declaration) comment line
 6. resolve    first mentioning block that has an offset decides; else the
               register; ``ptr_`` names are pointers (null/null, found)
+
+A procedure is one row with its blocks (``procedures``).  The label functions are
+joined to it once, by ``(file_key, lname)``, with their variables as an array: names
+are looked for in the blocks' comment text inside that row, so neither text nor
+variables are shuffled again, and only real mentions leave a task.  The work of a
+procedure is its variables times its comment text.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from framewright.functions.patterns import (
     REGISTERS,
     WRITE_EBP,
 )
-from framewright.functions.text import parse_offset, py_strip
+from framewright.functions.arrays import bind
+from framewright.functions.text import parse_offset, py_strip, quote_regex
 from framewright.operators.extract import function_bodies, explode_variables
 from framewright.session import cut_lineage
 from framewright.operators.frames import frame_line_columns, frames_from_blocks
@@ -46,21 +48,24 @@ def format_reference(offset: Column) -> Column:
         .when(offset.isNotNull(), F.concat(F.lit("ebp+"), offset.cast("string")))
 
 
-def classified_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
+def classified_lines(bodies: DataFrame, key: str = "file_key", marked: bool = False) -> DataFrame:
     """Non-blank lines with ``is_comment``, ``block_id``, ``code_rank``
-    (1-based position among code lines) and the per-line frame facts."""
-    lines = bodies.select(key, "lname", F.posexplode(F.split("body", "\n")).alias("line_no", "raw"))
-    lines = lines.select(key, "lname", F.col("line_no").cast("bigint").alias("line_no"), "raw",
+    (1-based position among code lines) and the per-line frame facts.  With ``marked``
+    each body also gets a line -1 that is neither comment nor code (null)."""
+    parts = F.split("body", "\n")
+    parts = F.concat(F.array(F.lit(None).cast("string")), parts) if marked else parts
+    lines = bodies.select(key, "lname", F.posexplode(parts).alias("line_no", "raw"))
+    lines = lines.select(key, "lname", (F.col("line_no") - int(marked)).cast("bigint").alias("line_no"), "raw",
                          py_strip(F.col("raw")).alias("text"))
-    lines = lines.filter(F.col("text") != "")
     text = F.col("text")
+    lines = lines.filter((text != "") | text.isNull())
     lines = lines.withColumn("is_comment", text.startswith(";") | (text.startswith("?live") & text.rlike(LIVE_MARKER)))
     lines = lines.select("*", *[c.alias(n) for n, c in
                                 frame_line_columns(F.col("raw"), F.col("line_no")).items()]).drop("raw")
     w = Window.partitionBy(key, "lname").orderBy("line_no")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens = F.col("is_comment") & ~F.coalesce(F.lag("is_comment").over(w), F.lit(True))
-    return lines.withColumn("block_id", F.sum(opens.cast("bigint")).over(run)) \
+    return lines.withColumn("block_id", F.coalesce(F.sum(opens.cast("bigint")).over(run), F.lit(0))) \
         .withColumn("code_rank", F.sum((~F.col("is_comment")).cast("bigint")).over(run))
 
 
@@ -117,34 +122,38 @@ def register_facts(blocks: DataFrame, key: str = "file_key") -> DataFrame:
         F.max_by("reg", F.struct("block_id", "pos")).alias("reg"))
 
 
-def mention_candidates(blocks: DataFrame, names: DataFrame, key: str = "file_key",
-                       only_with_offset: bool = True, match: str = "substring") -> DataFrame:
-    """``key, lname, cand, block_id, off`` — text pieces of active
-    comment lines that can equal a variable name of the procedure.
+def _mentioned(text: Column, name: Column, match: str) -> Column:
+    """Whether lines joined by line feeds hold ``name``; ``match="word"`` asks for a whole word."""
+    if match == "word":
+        whole_word = F.concat(F.lit(r"(?U)(?<!\w)"), quote_regex(name), F.lit(r"(?!\w)"))
+        return text.contains(name) & name.rlike(r"(?U)^\w+$") & F.call_function("regexp_like", text, whole_word)
+    return text.contains(name) & ~name.contains("\n")
+
+
+def procedures(blocks: DataFrame, key: str = "file_key") -> DataFrame:
+    """One row per procedure: ``key, lname, blocks, regs``.
 
-    ``names``: ``key, lname, variable_name`` (distinct).
-    ``match="word"`` uses whole ``\\w+`` tokens instead of substrings.
+    ``blocks``: ``(block_id, off, text)`` of the blocks with active comment lines, in order, ``text`` being
+    these lines; ``regs``: register facts ``(var, reg)`` in text order (D6).  Keeps the procedure partitioning.
     """
-    src = blocks.filter(F.size("active") > 0)
-    if only_with_offset:
-        src = src.withColumn("off", F.coalesce("write_off", "any_off")).filter(F.col("off").isNotNull())
-    else:
-        src = src.withColumn("off", F.lit(None).cast("bigint"))
-    src = src.select(key, "lname", "block_id", "off", F.explode("active").alias("text"))
-    if match == "word":
-        return src.select(key, "lname", "block_id", "off",
-                          F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0))).alias("cand"))
-    shape = names.groupBy(key, "lname").agg(
-        F.collect_set(F.length("variable_name")).alias("lens"),
-        F.collect_set(F.substring("variable_name", 1, 1)).alias("firsts"))
-    j = src.join(shape, [key, "lname"])
-    n = F.length("text")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: F.array_contains(F.col("firsts"), F.substring(F.col("text"), i, 1)))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(F.col("lens"), lambda ln: i + ln - 1 <= n),
-        lambda ln: F.substring(F.col("text"), i, ln))))
-    return j.select(key, "lname", "block_id", "off", F.explode(F.array_distinct(pieces)).alias("cand"))
+    off = F.coalesce("write_off", "any_off").alias("off")
+    g = blocks.groupBy(key, "lname").agg(
+        F.array_sort(F.collect_list(F.when(F.size("active") > 0, F.struct("block_id", off, F.array_join("active", "\n").alias("text"))))).alias("blocks"),
+        F.array_sort(F.collect_list(F.when(F.col("n_comment") > 0, F.struct("block_id", "comment_text")))).alias("_comments"))
+
+    def facts(b: Column) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(b["comment_text"], F.lit(REG_FACT), 1).alias("reg"),
+                            F.regexp_extract_all(b["comment_text"], F.lit(REG_FACT), 2).alias("var"))
+        return F.filter(F.transform(both, lambda p: F.struct(p["var"].alias("var"), F.lower(p["reg"]).alias("reg"))), lambda p: p["reg"].isin(REGISTERS))
+
+    return g.select(key, "lname", "blocks", F.flatten(F.transform("_comments", facts)).alias("regs"))
+
+
+def located(name: Column, blocks: Column, regs: Column, match: str = "substring") -> Column:
+    """D11/D6 of one name: ``(offset, block_id, reg)`` from the columns of ``procedures``."""
+    hit = F.get(F.filter(blocks, lambda b: b["off"].isNotNull() & _mentioned(b["text"], name, match)), F.lit(0))
+    reg = bind(F.filter(regs, lambda r: r["var"] == name), lambda rs: F.get(rs, F.size(rs) - 1)["reg"])
+    return bind(hit, lambda h: F.struct(h["off"].alias("offset"), h["block_id"].alias("block_id"), reg.alias("reg")))
 
 
 class LabelRun:
@@ -162,81 +171,79 @@ class LabelRun:
         self.key = key
         self.match = match
         self.materialize = materialize
-        self._updated = None
-        self._locations = None
-        self._found = None
+        self._located = None
         self.functions, self.bodies = function_bodies(files, key)
         self.variables = explode_variables(self.functions, key)
-        self.lines = line_offsets(classified_lines(self.bodies, key))
-        self.blocks = self._keep(block_facts(self.lines, key))
+        # A marker line keeps procedures without a line of text: they are found, too.
+        every = self._keep(block_facts(line_offsets(classified_lines(self.bodies, key, marked=True)), key))
+        self.blocks = every.filter(F.col("n_comment") + F.col("n_code") > 0)
+        self.found = every.select(key, "lname").distinct()
+        self.procedures = procedures(every, key)
         self.frames = frames_from_blocks(self.blocks, key)
+        self._every = every
 
     def close(self) -> None:
-        for df in (self.blocks, self._locations, self._updated):
+        for df in (self._every, self._located):
             if df is not None:
                 df.unpersist()
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if self.materialize == "checkpoint":
+            return cut_lineage(df)
+        return df
+
     # D6
     def registers(self) -> DataFrame:
         return register_facts(self.blocks, self.key)
 
-    def names(self) -> DataFrame:
-        return self.variables.select(self.key, "lname", "variable_name").filter(
-            F.col("variable_name").isNotNull()).distinct()
-
     # D10 (all mention pairs)
     def mentions(self) -> DataFrame:
         k = self.key
-        cands = mention_candidates(self.blocks, self.names(), k, only_with_offset=False, match=self.match)
-        return cands.join(self.names().withColumnRenamed("variable_name", "cand"), [k, "lname", "cand"]) \
-            .select(k, "lname", F.col("cand").alias("variable_name"), "block_id").distinct()
+        names = F.filter(F.transform("fn.variable_mapping", lambda v: v["variable_name"]), lambda n: n.isNotNull())
+        both = self.functions.select(k, "lname", F.array_distinct(names).alias("_names")).join(self.procedures, [k, "lname"])
+        pairs = F.flatten(F.transform("_names", lambda n: F.transform(
+            F.filter("blocks", lambda b: _mentioned(b["text"], n, self.match)), lambda b: F.struct(n.alias("variable_name"), b["block_id"].alias("block_id")))))
+        return both.select(k, "lname", F.explode(pairs).alias("m")).select(k, "lname", "m.variable_name", "m.block_id").distinct()
 
     # D11
     def resolved_offsets(self) -> DataFrame:
         k = self.key
-        cands = mention_candidates(self.blocks, self.names(), k, only_with_offset=True, match=self.match)
-        first = cands.groupBy(k, "lname", "cand").agg(F.min_by("off", "block_id").alias("offset"),
-                                                      F.min("block_id").alias("block_id"))
-        return first.join(self.names().withColumnRenamed("variable_name", "cand"), [k, "lname", "cand"]) \
-            .select(k, "lname", F.col("cand").alias("variable_name"), "offset", "block_id")
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if self.materialize == "checkpoint":
-            return cut_lineage(df)
-        return df
-
-    def found(self) -> DataFrame:
-        """Procedures that were found, also those whose body has no line of text."""
-        if self._found is None:
-            self._found = self._keep(self.bodies.select(self.key, "lname"))
-        return self._found
+        v = self.located().select(k, "lname", F.explode("locs").alias("l")).select(k, "lname", "l.variable_name", "l.offset", "l.block_id")
+        return v.filter(F.col("offset").isNotNull()).dropDuplicates([k, "lname", "variable_name"])
+
+    def located(self) -> DataFrame:
+        """One row per label function: ``key, fn_ord, function_name, lname, fn, hit``, its frame, and ``locs``,
+        the variables with what the procedure says of them (null when it was not found).  The one join of
+        functions and procedures, materialised once per run."""
+        if self._located is None:
+            k = self.key
+            facts = self.procedures.withColumn("hit", F.lit(True)).join(self.frames, [k, "lname"], "left")
+            both = self.functions.join(facts, [k, "lname"], "left")
+            locs = F.transform("fn.variable_mapping", lambda v: bind(located(v["variable_name"], F.col("blocks"), F.col("regs"), self.match), lambda x: F.struct(
+                v["variable_name"].alias("variable_name"), v["size_bytes"].alias("size_bytes"), v["assembly_reference"].alias("old_assembly_reference"),
+                v["allocation_space_offset"].alias("old_allocation_space_offset"), x["offset"].alias("offset"), x["block_id"].alias("block_id"), x["reg"].alias("reg"))))
+            self._located = self._keep(both.select(
+                k, "fn_ord", "function_name", "lname", "fn", F.coalesce("hit", F.lit(False)).alias("hit"), "stack_allocation_instruction",
+                "stack_allocation_size_bytes", "alloc_index", F.when(F.col("hit"), F.transform(locs, self._decided)).alias("locs")))
+        return self._located
+
+    @staticmethod
+    def _decided(x: Column) -> Column:
+        """A variable's facts with its new location and the kind of it."""
+        is_ptr = x["variable_name"].startswith(POINTER_PREFIX)
+        kind = F.when(is_ptr, "pointer").when(x["offset"].isNotNull(), "stack").when(x["reg"].isNotNull(), "register").otherwise("missing")
+        ref = F.when(is_ptr, F.lit(None).cast("string")).when(x["offset"].isNotNull(), format_reference(x["offset"])) \
+            .when(x["reg"].isNotNull(), F.concat(F.lit("register "), x["reg"]))
+        return F.struct(*(x[c].alias(c) for c in ("variable_name", "size_bytes", "old_assembly_reference", "old_allocation_space_offset", "offset", "block_id")),
+                        ref.alias("assembly_reference"), F.when(is_ptr, F.lit(None).cast("bigint")).otherwise(x["offset"]).alias("allocation_space_offset"),
+                        kind.alias("location_kind"))
 
     # One row per label variable of a function whose procedure was found
     def locations(self) -> DataFrame:
-        """Materialised once per run: the report, the update, region offsets
-        and everything downstream read it."""
-        if self._locations is None:
-            self._locations = self._keep(self._compute_locations())
-        return self._locations
-
-    def _compute_locations(self) -> DataFrame:
-        k = self.key
-        found_procs = self.found()
-        v = self.variables.join(found_procs, [k, "lname"], "left_semi")
-        off = self.resolved_offsets().select(k, "lname", "variable_name", "offset")
-        reg = self.registers().select(k, "lname", F.col("var").alias("variable_name"), "reg")
-        j = v.join(off, [k, "lname", "variable_name"], "left").join(reg, [k, "lname", "variable_name"], "left")
-        is_ptr = F.col("variable_name").startswith(POINTER_PREFIX)
-        kind = F.when(is_ptr, "pointer").when(F.col("offset").isNotNull(), "stack") \
-            .when(F.col("reg").isNotNull(), "register").otherwise("missing")
-        ref = F.when(is_ptr, F.lit(None).cast("string")) \
-            .when(F.col("offset").isNotNull(), format_reference(F.col("offset"))) \
-            .when(F.col("reg").isNotNull(), F.concat(F.lit("register "), F.col("reg")))
-        offv = F.when(is_ptr, F.lit(None).cast("bigint")).otherwise(F.col("offset"))
-        return j.select(k, "fn_ord", "function_name", "lname", "var_ord", "variable_name", "size_bytes",
-                        "old_assembly_reference", "old_allocation_space_offset",
-                        ref.alias("assembly_reference"), offv.alias("allocation_space_offset"),
-                        kind.alias("location_kind"))
+        v = self.located().select(self.key, "fn_ord", "function_name", "lname", F.posexplode("locs").alias("var_ord", "l"))
+        return v.select(self.key, "fn_ord", "function_name", "lname", F.col("var_ord").cast("bigint").alias("var_ord"),
+                        *(F.col(f"l.{c}").alias(c) for c in ("variable_name", "size_bytes", "old_assembly_reference", "old_allocation_space_offset",
+                                                              "assembly_reference", "allocation_space_offset", "location_kind")))
 
     # Label values after the update (not found -> old values kept)
     def applied(self) -> DataFrame:
@@ -257,53 +264,32 @@ class LabelRun:
             F.count_if(F.col("location_kind").isin("register", "pointer")).cast("bigint").alias("register_only"),
             F.count_if(F.col("location_kind") == "missing").cast("bigint").alias("missing"))
 
-    # function level: frames joined to the label functions whose procedure was found
+    # function level: frames of the label functions whose procedure was found
     def function_frames(self) -> DataFrame:
-        k = self.key
-        return self.functions.join(self.frames, [k, "lname"]).select(
-            k, "fn_ord", "function_name", "lname", "stack_allocation_instruction",
-            "stack_allocation_size_bytes", "alloc_index")
+        return self.located().filter("hit").select(self.key, "fn_ord", "function_name", "lname", "stack_allocation_instruction",
+                                                   "stack_allocation_size_bytes", "alloc_index")
 
     # D16
     def region_offsets(self) -> DataFrame:
         k = self.key
-        fr = self.frames.select(k, "lname", "stack_allocation_size_bytes")
-        loc = self.locations().filter(F.col("location_kind") == "stack")
-        return loc.join(fr, [k, "lname"]).select(
-            k, "function_name", "variable_name", "allocation_space_offset",
-            F.when(F.col("allocation_space_offset") < 0,
-                   F.col("stack_allocation_size_bytes") + F.col("allocation_space_offset")).alias("region_offset"))
+        v = self.located().select(k, "function_name", "stack_allocation_size_bytes", F.explode("locs").alias("l"))
+        return v.filter(F.col("l.location_kind") == "stack").select(
+            k, "function_name", "l.variable_name", "l.allocation_space_offset",
+            F.when(F.col("l.allocation_space_offset") < 0,
+                   F.col("stack_allocation_size_bytes") + F.col("l.allocation_space_offset")).alias("region_offset"))
 
     def updated_functions(self) -> DataFrame:
         """D14 per function: ``key, fn_ord, fn`` with the label struct after
         the update.  Functions whose procedure was not found keep every old
         value; found ones get the new frame and, per variable, the new
-        location when found, else the old one.  Materialised once per run
-        (formatting and evaluation both read it)."""
-        if self._updated is None:
-            self._updated = self._keep(self._updated_functions())
-        return self._updated
-
-    def _updated_functions(self) -> DataFrame:
-        k = self.key
-        app = self.applied()
-        fr = self.functions.select(k, "fn_ord", "lname").join(self.found().withColumn("_hit", F.lit(True)), [k, "lname"]) \
-            .join(self.frames.drop("alloc_index"), [k, "lname"], "left").drop("lname")
-        vs = app.groupBy(k, "fn_ord").agg(F.array_sort(F.collect_list(F.struct(
-            "var_ord", "variable_name", "assembly_reference", "allocation_space_offset", "size_bytes"))).alias("vs"))
-        merged = self.functions.select(k, "fn_ord", "fn").join(fr, [k, "fn_ord"], "left").join(vs, [k, "fn_ord"], "left")
-        hit = F.coalesce(F.col("_hit"), F.lit(False))
-        fn = F.struct(
-            F.col("fn.function_name").alias("function_name"),
-            F.when(hit, F.col("stack_allocation_instruction")).otherwise(F.col("fn.stack_allocation_instruction"))
-            .alias("stack_allocation_instruction"),
-            F.when(hit, F.col("stack_allocation_size_bytes")).otherwise(F.col("fn.stack_allocation_size_bytes"))
-            .alias("stack_allocation_size_bytes"),
-            F.when(hit & F.col("vs").isNotNull(), F.transform("vs", lambda x: F.struct(
-                x["variable_name"].alias("variable_name"), x["assembly_reference"].alias("assembly_reference"),
-                x["allocation_space_offset"].alias("allocation_space_offset"), x["size_bytes"].alias("size_bytes"))))
-            .otherwise(F.col("fn.variable_mapping")).alias("variable_mapping"))
-        return merged.select(k, "fn_ord", fn.alias("fn"))
+        location when found, else the old one."""
+        new = lambda name: F.when(F.col("hit"), F.col(name)).otherwise(F.col(f"fn.{name}")).alias(name)
+        of = lambda x, name: F.when(x["location_kind"] != "missing", x[name]).otherwise(x[f"old_{name}"]).alias(name)
+        variables = F.transform("locs", lambda x: F.struct(x["variable_name"].alias("variable_name"), of(x, "assembly_reference"),
+                                                           of(x, "allocation_space_offset"), x["size_bytes"].alias("size_bytes")))
+        fn = F.struct(F.col("fn.function_name").alias("function_name"), new("stack_allocation_instruction"), new("stack_allocation_size_bytes"),
+                      F.coalesce(variables, F.col("fn.variable_mapping")).alias("variable_mapping"))
+        return self.located().select(self.key, "fn_ord", fn.alias("fn"))
 
     def updated_files(self, files: DataFrame) -> DataFrame:
         """D14 nested: ``files`` with label values replaced where found."""

@@ -76,7 +76,7 @@ def _fixed_lines_sql() -> str:
         f"named_struct('ord', -98, 'line', '{_op('push')}ebp')",
         f"named_struct('ord', -97, 'line', '{_op('mov')}ebp,esp')",
         f"named_struct('ord', -96, 'line', CASE WHEN mx >= 3 AND pmod(k, 7) = 0 THEN '{_op('add')}esp,-0ffch' "
-        f"WHEN mx < 3 THEN '{_op('push')}ecx' END)",
+        f"WHEN mx < 3 THEN '{_op('push')}ecx' WHEN pmod(k, 4) = 1 THEN '{TAB}nop' END)",
         f"named_struct('ord', -95, 'line', CASE WHEN mx >= 3 THEN concat("
         f"CASE WHEN pmod(k, 5) = 1 THEN concat('{_op('sub')}esp,', 4 * mx) ELSE concat('{_op('add')}esp,-', 4 * mx) END, "
         f"CASE WHEN pmod(k, 3) = 0 THEN ' ; locals' ELSE '' END) "
@@ -107,6 +107,8 @@ def fixture_functions(spark: SparkSession, sf_dir: str, stale_labels: bool = Fal
         f"flatten(transform(vs, v -> {_function_lines_sql()}))), x -> x.line IS NOT NULL)), x -> x.line), '\\n')")
     c_text = F.expr(
         f"concat('void fn_', k, '() {{\\n', array_join(transform(vs, v -> {_c_lines_sql()}), '\\n'), '\\n}}')")
+    # every third function is written without line breaks and indents
+    c_text = F.when(F.pmod("k", F.lit(3)) == 1, F.replace(F.replace(c_text, F.lit("\n"), F.lit("")), F.lit("    "), F.lit(""))).otherwise(c_text)
     if stale_labels:
         ref = f"concat('ebp-', {STALE_BASE} + v.ln)"
         off = f"-({STALE_BASE} + v.ln)"
@@ -135,7 +137,9 @@ def fixture_files(spark: SparkSession, sf_dir: str, stale_labels: bool = False)
     return files.select(
         F.col("file_no").cast("string").alias("file_key"),
         F.col("file_no"),
-        F.array_join(F.transform("fs", lambda x: x["fn_c"]), "\n").alias("source_code_c"),
+        # a first function calls all others, right after braces, too
+        F.concat(F.lit("int main() {"), F.array_join(F.transform("fs", lambda x: F.concat(F.lit("fn_"), x["k"], F.lit("(); if (1) {fn_"), x["k"], F.lit("();}"))), ""),
+                 F.lit("}\n"), F.array_join(F.transform("fs", lambda x: x["fn_c"]), "\n")).alias("source_code_c"),
         F.array_join(F.transform("fs", lambda x: x["fn_asm"]), "\n").alias("assembly_code"),
         F.struct(F.transform("fs", lambda x: x["fn_label"]).alias("functions")).alias("label"),
     )

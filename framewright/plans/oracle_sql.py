@@ -83,7 +83,7 @@ FROM ff
 """)
 
 ORACLES["alloc_index"] = corpus("""
-SELECT file_key, function_name, CAST(3 AS BIGINT) AS alloc_index FROM ff
+SELECT file_key, function_name, CAST(CASE WHEN mx >= 3 AND k % 7 <> 0 AND k % 4 = 1 THEN 4 ELSE 3 END AS BIGINT) AS alloc_index FROM ff
 """)
 
 ORACLES["variable_locations"] = corpus("""
@@ -147,7 +147,7 @@ fl AS (
   UNION ALL SELECT k, -98, {_op('push')} || 'ebp', 'code' FROM f
   UNION ALL SELECT k, -97, {_op('mov')} || 'ebp,esp', 'code' FROM f
   UNION ALL SELECT k, -96, CASE WHEN mx >= 3 AND k % 7 = 0 THEN {_op('add')} || 'esp,-0ffch'
-                                WHEN mx < 3 THEN {_op('push')} || 'ecx' END, 'code' FROM f
+                                WHEN mx < 3 THEN {_op('push')} || 'ecx' WHEN k % 4 = 1 THEN chr(9) || 'nop' END, 'code' FROM f
   UNION ALL SELECT k, -95, CASE WHEN mx >= 3 THEN
         (CASE WHEN k % 5 = 1 THEN {_op('sub')} || 'esp,' || (4 * mx) ELSE {_op('add')} || 'esp,-' || (4 * mx) END)
         || CASE WHEN k % 3 = 0 THEN ' ; locals' ELSE '' END
@@ -188,12 +188,15 @@ regs AS (
   FROM (SELECT k, var_ord, variable_name FROM vf UNION ALL SELECT k, nv, 'ptr_' || k FROM f WHERE k % 4 = 0)
   GROUP BY k
 ),
-cfn AS (
+cfn0 AS (
   SELECT k, 'fn_' || k || '() {{' || chr(10) || string_agg('    int ' || variable_name || ';' || chr(10)
          || '    if (' || variable_name || ' > -1) {{' || chr(10) || '        sink((void*)&' || variable_name || ');'
          || chr(10) || '    }}', chr(10) ORDER BY ln) || chr(10) || '}}' AS c_function
   FROM vf GROUP BY k
 ),
+cfn AS (
+  SELECT k, CASE WHEN k % 3 = 1 THEN replace(replace(c_function, chr(10), ''), '    ', '') ELSE c_function END AS c_function FROM cfn0
+),
 afn AS (
   SELECT k, substr(string_agg(line, chr(10) ORDER BY ord), 2) AS asm_function
   FROM clean WHERE ord BETWEEN -99 AND 9002 GROUP BY k
@@ -586,6 +589,7 @@ SELECT a.file_key, n_functions, n_variables, asm_md5, c_md5
 FROM (SELECT file_key, md5(string_agg(line, chr(10) ORDER BY k, ord)) AS asm_md5 FROM lines GROUP BY file_key) a
 JOIN (SELECT f.file_key, CAST(count(*) AS BIGINT) AS n_functions,
              CAST(sum(f.nv + CASE WHEN f.k % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_variables,
-             md5(string_agg('void ' || cfn.c_function, chr(10) ORDER BY f.k)) AS c_md5
+             md5('int main() {' || string_agg('fn_' || f.k || '(); if (1) {fn_' || f.k || '();}', '' ORDER BY f.k) || '}' || chr(10)
+                 || string_agg('void ' || cfn.c_function, chr(10) ORDER BY f.k)) AS c_md5
       FROM f JOIN cfn USING (k) GROUP BY f.file_key) c USING (file_key)
 """)
