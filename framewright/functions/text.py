@@ -6,7 +6,8 @@
   null when the text is not a number.
 * ``json_strict_valid``: whole-string JSON validity (Variant parsing alone
   ignores trailing text).
-* ``canonical_json``: key-sorted compact JSON, for deep equality.
+* ``canonical_json``: key-sorted compact JSON, for deep equality as in Python.
+* ``json_string_literal``: a string as Python's ``json.dumps`` writes it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framewright.functions.arrays import bind
 from framewright.functions.patterns import JSON_SENTINEL
 
 # --- fixed values: Python's str.isspace() characters (what str.strip() removes)
@@ -66,6 +68,46 @@ def parse_offset(raw) -> Column:
     return (sign * value).cast("bigint")
 
 
+# Tokens that Python reads otherwise than a JSON parser: numbers with a fraction, an exponent or
+# a minus before zero, booleans (1 and 0 in comparisons) and the three constants beyond JSON.
+_JSON_TOKEN = (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+               r"|(?<![\w.+-])(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|NaN|-?Infinity)(?![\w.+-])"
+               r"|[^\"\w.+-]++|.")
+_JSON_ODD = r"[0-9][.eE]|-0|true|false|NaN|Infinity|[0-9]{19}"
+NOT_A_NUMBER = "fw#nan"
+INFINITY = "fw#infinity"
+
+
+def _python_token(t: Column) -> Column:
+    def number(x: Column) -> Column:
+        # 1, 1.0 and 1e0 are one number; beyond 64 bits numbers are compared as doubles
+        d = x.try_cast("double")
+        whole = F.when((F.abs(d) < 9.0e18) & (d == F.floor(d)), F.coalesce(x.try_cast("bigint"), d.try_cast("bigint")).cast("string"))
+        return F.when(F.abs(d) == float("inf"), F.concat(F.lit('"'), F.when(d < 0, "-").otherwise(""), F.lit(INFINITY + '"'))) \
+            .otherwise(F.coalesce(whole, d.cast("string")))
+
+    return F.when(t == "true", "1").when(t == "false", "0").when(t == "NaN", f'"{NOT_A_NUMBER}"') \
+        .when(t == "Infinity", f'"{INFINITY}"').when(t == "-Infinity", f'"-{INFINITY}"') \
+        .when(t.rlike(r"^-?[0-9]"), number(t)).otherwise(t)
+
+
+def python_json(c) -> Column:
+    """JSON text in which equal Python values are written alike: ``1``, ``1.0``, ``1e0`` and ``true``
+    become ``1``, ``NaN`` and the infinities become marked strings.  Malformed text stays malformed;
+    text without such tokens is returned as it is."""
+    c = _c(c)
+    tokens = F.regexp_extract_all(c, F.lit("(?s)" + _JSON_TOKEN), F.lit(0))
+    return F.when(c.rlike(_JSON_ODD), F.array_join(F.transform(tokens, _python_token), "")).otherwise(c)
+
+
+def _wrapped(c: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{JSON_SENTINEL}"]')))
+
+
+def _is_single(wrapped: Column) -> Column:
+    return (F.try_variant_get(wrapped, "$[1]", "string") == F.lit(JSON_SENTINEL)) & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
+
+
 def json_strict_valid(c) -> Column:
     """True when the whole string is one JSON value (Python ``json.loads``).
 
@@ -73,19 +115,28 @@ def json_strict_valid(c) -> Column:
     ``[candidate, "<sentinel>"]``: it is valid exactly when that parses to a
     two-element array ending with the sentinel.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), _c(c), F.lit(f',"{JSON_SENTINEL}"]')))
-    second = F.try_variant_get(wrapped, "$[1]", "string")
-    third = F.try_variant_get(wrapped, "$[2]", "variant")
-    return F.coalesce((second == F.lit(JSON_SENTINEL)) & third.isNull(), F.lit(False))
+    return F.coalesce(bind(_wrapped(python_json(c)), _is_single), F.lit(False))
 
 
 def canonical_json(c) -> Column:
-    """Key-sorted compact JSON text of a strictly valid value, else null."""
-    c = _c(c)
-    return F.when(json_strict_valid(c), F.to_json(F.try_parse_json(c)))
+    """Key-sorted compact JSON text of a strictly valid value, equal for equal Python values; else null.
+    (A parsed NaN is one object in Python: it equals itself inside a list or object, though not alone.)"""
+    return bind(_wrapped(python_json(c)), lambda w: F.when(_is_single(w), F.to_json(F.variant_get(w, "$[0]", "variant"))))
 
 
 def json_string_literal(c) -> Column:
-    """JSON string literal (with quotes) for a string column; ``null`` for null."""
+    """JSON string literal (with quotes) as Python writes it: everything outside the printable ASCII
+    range as ``\\uXXXX``, surrogate pairs included; ``null`` for null."""
     c = _c(c)
-    return F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1), F.lit("null"))
+    pieces = F.regexp_extract_all(c, F.lit(r'(?s)[ !#-\[\]-~]++|.'), F.lit(0))
+    hex4 = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def written(p: Column) -> Column:
+        short = F.when(p == '"', '\\"').when(p == "\\", "\\\\").when(p == "\n", "\\n").when(p == "\r", "\\r") \
+            .when(p == "\t", "\\t").when(p == "\b", "\\b").when(p == "\f", "\\f")
+        n = F.ascii(p)
+        pair = F.concat(hex4(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), hex4(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return F.coalesce(short, F.when(p.rlike(r"^[ -~]"), p), F.when(n < 0x10000, hex4(n)), pair)
+
+    text = F.when(c.rlike(r'[^ !#-\[\]-~]'), F.array_join(F.transform(pieces, written), "")).otherwise(c)
+    return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))

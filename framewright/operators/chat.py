@@ -18,7 +18,7 @@ from framewright.functions.patterns import (
     PROMPT_TEMPLATE,
 )
 from framewright.functions.text import json_string_literal
-from framewright.operators.extract import asm_functions, c_functions
+from framewright.operators.extract import function_texts
 
 
 def variable_registry(variable_mapping: Column) -> Column:
@@ -49,15 +49,15 @@ def render_prompt(registry_text: Column, c_source: Column, asm_source: Column) -
 
 
 def build_target(fn: Column) -> Column:
-    """Compact answer JSON of one label function (nulls kept)."""
-    target = F.struct(
-        fn["stack_allocation_instruction"].alias("stack_allocation_instruction"),
-        fn["stack_allocation_size_bytes"].alias("stack_allocation_size_bytes"),
-        F.transform(fn["variable_mapping"], lambda v: F.struct(
-            v["variable_name"].alias("variable_name"),
-            v["assembly_reference"].alias("assembly_reference"),
-            v["allocation_space_offset"].alias("allocation_space_offset"))).alias("variable_mappings"))
-    return F.to_json(target, {"ignoreNullFields": "false"})
+    """Compact answer JSON of one label function as Python writes it (nulls kept)."""
+    number = lambda n: F.coalesce(n.cast("string"), F.lit("null"))
+    variables = F.transform(F.coalesce(fn["variable_mapping"], F.expr("array()").cast("array<struct<variable_name:string,assembly_reference:string,allocation_space_offset:bigint,size_bytes:bigint>>")),
+                            lambda v: F.concat(F.lit('{"variable_name":'), json_string_literal(v["variable_name"]),
+                                               F.lit(',"assembly_reference":'), json_string_literal(v["assembly_reference"]),
+                                               F.lit(',"allocation_space_offset":'), number(v["allocation_space_offset"]), F.lit("}")))
+    return F.concat(F.lit('{"stack_allocation_instruction":'), json_string_literal(fn["stack_allocation_instruction"]),
+                    F.lit(',"stack_allocation_size_bytes":'), number(fn["stack_allocation_size_bytes"]),
+                    F.lit(',"variable_mappings":['), F.array_join(variables, ","), F.lit("]}"))
 
 
 def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame | None = None) -> DataFrame:
@@ -66,13 +66,10 @@ def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame
 
     ``labels``: optional ``key, fn_ord, fn`` with label structs that replace
     the nested ones of ``files`` (e.g. ``LabelRun.updated_functions()``), so
-    a fresh labelling need not be nested back into file records first."""
-    asm = asm_functions(files, key).select(key, "fn_ord", "asm_function")
-    fns = files.select(key, F.posexplode("label.functions").alias("fn_ord", "fn")) \
-        .withColumn("fn_ord", F.col("fn_ord").cast("bigint"))
-    cf = c_functions(files, key).join(fns, [key, "fn_ord"])
-    # functions of files without a listing stay, with an empty listing part
-    j = cf.join(asm, [key, "fn_ord"], "left").withColumn("asm_function", F.coalesce("asm_function", F.lit("")))
+    a fresh labelling need not be nested back into file records first.  Both
+    texts of a function are cut inside its file's row, so the labels are the only
+    join; functions of files without a listing stay, with an empty listing part."""
+    j = function_texts(files, key)
     if labels is not None:
         j = j.drop("fn").join(labels.select(key, "fn_ord", "fn"), [key, "fn_ord"])
     reg = registry_json(variable_registry(F.col("fn.variable_mapping")))
@@ -82,9 +79,7 @@ def format_functions(files: DataFrame, key: str = "file_key", labels: DataFrame
 
 
 def _both_parts_found() -> Column:
-    """Skip rule as ONE predicate over both join sides: split into
-    conjuncts it would be pushed below the join into the C-cut projection
-    and evaluate that regex work twice."""
+    """Skip rule as one predicate over both parts."""
     return F.least(F.length("c_function"), F.length("asm_function")) > 0
 
 

@@ -122,7 +122,7 @@ def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembl
     names = F.array_distinct(F.filter(F.transform("label.functions", lambda f: f["function_name"]), lambda n: n.isNotNull() & (n != "")))
     wanted = src.withColumn("_wanted", names)
     wanted = _marked(wanted, [key, asm, "_wanted"], asm)
-    body = lambda n: F.when(_odd(n), F.nullif(F.call_function("regexp_extract", F.col(asm), proc_pattern(n), F.lit(1)), F.lit(""))).otherwise(_body(F.lower(n)))
+    body = lambda n: F.when(_odd(n), _odd_body(F.col(asm), n)).otherwise(_body(F.lower(n)))
     found = wanted.select(key, F.explode(F.transform("_wanted", lambda n: F.struct(F.lower(n).alias("lname"), body(n).alias("body")))).alias("p"))
     bodies = found.select(key, "p.lname", "p.body").filter(F.col("body") != "").dropDuplicates([key, "lname"])
 
@@ -130,13 +130,9 @@ def function_bodies(files: DataFrame, key: str = "file_key", asm: str = "assembl
     return functions, bodies
 
 
-def asm_functions(files: DataFrame, key: str = "file_key", asm: str = "assembly_code") -> DataFrame:
-    """C2 for formatting: ``key, fn_ord, function_name, asm_function`` (stripped body,
-    empty string when not found)."""
-    functions, bodies = function_bodies(files, key, asm)
-    joined = functions.join(bodies, [key, "lname"], "left")
-    return joined.select(key, "fn_ord", "function_name", "fn",
-                         F.coalesce(py_strip(F.col("body")), F.lit("")).alias("asm_function"))
+def _odd_body(asm: Column, name: Column) -> Column:
+    """Body of a name that is no plain word, by its own pattern."""
+    return F.nullif(F.call_function("regexp_extract", asm, proc_pattern(name), F.lit(1)), F.lit(""))
 
 
 def listing_lines(bodies: DataFrame, key: str = "file_key") -> DataFrame:
@@ -228,22 +224,31 @@ def _c_cut_odd(name: Column) -> Column:
     return F.when(_match_start(name) > 0, bind(rest, lambda t: bind(_close(t), lambda e: F.when(e > 0, F.array_join(F.slice(t, F.lit(1), e), "")))))
 
 
-def c_functions(files: DataFrame, key: str = "file_key", c: str = "source_code_c") -> DataFrame:
-    """C3 for every label function: ``key, fn_ord, function_name, c_function``.
-
-    From the name of the first ``name(...) {`` to the ``}`` matching its
-    brace (every brace counts), stripped; "" when absent or unmatched.  A file's
-    braces are matched once, its text does not travel with its functions."""
-    src = files.select(key, F.coalesce(F.col(c), F.lit("")).alias("_c"), F.col("label.functions").alias("_fns"))
-    src = src.withColumn("_table", _brace_table(F.col("_c")))
-    # The table is used by a lambda: an array keeps it from being written into it.
-    src = src.withColumn("_table", F.explode(F.array("_table")))
+def function_texts(files: DataFrame, key: str = "file_key", c: str = "source_code_c", asm: str = "assembly_code") -> DataFrame:
+    """C2 + C3 for every label function: ``key, fn_ord, function_name, fn, c_function, asm_function``.
+
+    ``c_function``: from the name of the first ``name(...) {`` to the ``}`` matching its brace (every
+    brace counts); ``asm_function``: the procedure body.  Both are stripped, "" when absent or
+    unmatched.  A file's texts are split once, and its functions look their parts up in its row: no
+    join, no shuffle, and the texts do not travel with the functions."""
+    names = {"_c": F.coalesce(F.col(c), F.lit("")), "_asm": F.coalesce(F.col(asm), F.lit("")), "_fns": F.col("label.functions")}
+    src = _marked(files.select(key, *(v.alias(k) for k, v in names.items())), [key, *names], "_asm")
+    # The tables are used by lambdas: an array keeps them from being written into these.
+    split = F.struct(_brace_table(F.col("_c")).alias("_table"), "_pieces", "_names", "_places")
+    src = src.select(key, *names, F.explode(F.array(split)).alias("_x")).select(key, *names, *(F.col(f"_x.{t}").alias(t) for t in ("_table", "_pieces", "_names", "_places")))
     cut = lambda n: F.when(_odd(n), _c_cut_odd(n)).otherwise(_c_cut(n))
+    body = lambda n: F.when(_odd(n), _odd_body(F.col("_asm"), n)).otherwise(_body(F.lower(n)))
+    text = lambda part: F.coalesce(py_strip(part), F.lit("")).alias
     out = src.select(key, F.posexplode(F.transform("_fns", lambda f: F.struct(f.alias("fn"), F.when(
-        F.coalesce(f["function_name"], F.lit("")) != "", cut(f["function_name"])).alias("cut")))).alias("fn_ord", "p"))
-    return out.select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"), F.col("p.fn.function_name").alias("function_name"),
-                      F.coalesce(py_strip(F.col("p.cut")), F.lit("")).alias("c_function")) \
-        .filter(F.col("function_name").isNotNull() & (F.col("function_name") != ""))
+        F.coalesce(f["function_name"], F.lit("")) != "", F.struct(text(cut(f["function_name"]))("c"), text(body(f["function_name"]))("asm"))).alias("x")))).alias("fn_ord", "p"))
+    return out.filter(F.col("p.x").isNotNull()).select(key, F.col("fn_ord").cast("bigint").alias("fn_ord"), F.col("p.fn.function_name").alias("function_name"),
+                                                       F.col("p.fn").alias("fn"), F.col("p.x.c").alias("c_function"), F.col("p.x.asm").alias("asm_function"))
+
+
+def c_functions(files: DataFrame, key: str = "file_key", c: str = "source_code_c") -> DataFrame:
+    """C3 for every label function: ``key, fn_ord, function_name, c_function`` (see ``function_texts``)."""
+    some = files.select(key, F.col(c).alias("_text"), F.lit("").alias("_none"), "label")
+    return function_texts(some, key, "_text", "_none").select(key, "fn_ord", "function_name", "c_function")
 
 
 def _match_start(name: Column) -> Column:

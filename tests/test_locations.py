@@ -126,3 +126,33 @@ def test_tail_name_header_before_exact_one(spark):
     got = {r["function_name"]: r["stack_allocation_size_bytes"] for r in LabelRun(df).function_frames().collect()}
     # '_y_f' does not occur in '_my_f' (no '_' before 'y'): not found
     assert got == {"f": 4, "my_f": 4}
+
+
+def test_mentions_of_a_hot_procedure_are_the_pairs_themselves(spark):
+    lines = [x for k in range(300) for x in (f" ; use_v{k}_ = 1;", f"\tmov dword ptr [ebp-{4 * k + 4}],1")]
+    run, rows = locate(spark, lines, [f"v{k}_" for k in range(300)])
+    assert run.mentions().count() == 300
+    assert all(rows[f"v{k}_"][1] == -4 * k - 4 for k in range(300))
+
+
+def test_functions_and_procedures_are_joined_once(spark):
+    df = files_df(spark, [(1, "", proc("f", [" ; v = 1;", "\tmov [ebp-4],1"]), [("f", ["v"])])])
+    run = LabelRun(df, materialize=None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = run.locations()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4
+
+
+def test_parameters_suffix_procedures_and_empty_bodies(spark):
+    asm = "\n".join([proc("my_f", [" ; p = 1;", "\tmov [ebp+8],1"]), "_e proc near\n_e endp"])
+    df = files_df(spark, [(1, "", asm, [("f", ["p"]), ("my_f", ["p", (None, None, None)]), ("e", ["q"]), ("gone", ["p"])])])
+    run = LabelRun(df)
+    got = {(r["function_name"], r["variable_name"]): (r["assembly_reference"], r["location_kind"]) for r in run.locations().collect()}
+    assert got == {("f", "p"): ("ebp+8", "stack"), ("my_f", "p"): ("ebp+8", "stack"), ("my_f", None): (None, "missing"), ("e", "q"): (None, "missing")}
+    assert {r["function_name"] for r in run.function_frames().collect()} == {"f", "my_f", "e"}
+    assert {r["fn_ord"]: r["fn"]["variable_mapping"][0]["assembly_reference"] for r in run.updated_functions().collect()} == {0: "ebp+8", 1: "ebp+8", 2: None, 3: None}

@@ -1,6 +1,7 @@
 """E1/E2 and C3."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +66,45 @@ def test_c_cut_unmatched_and_braces_in_strings(spark):
     assert got == {"f": 'f() { puts("}', "u": ""}  # braces inside strings count
 
 
+def plain_cut(c, name):
+    """The rule: from the first signature to the brace at which the depth is back."""
+    at = re.search(rf"\b{re.escape(name)}\s*\([^)]*\)\s*\{{", c)
+    depth = 0
+    for k in range(at.end() - 1, len(c)) if at else ():
+        depth += {"{": 1, "}": -1}.get(c[k], 0)
+        if not depth:
+            return c[at.start():k + 1].strip()
+    return ""
+
+
+def test_c_cut_on_compact_code(spark):
+    f = "f(int a) { return a; }"
+    for c in ("int g() {f(1); if (x) {y();}}\nint " + f, "int g() { if (x) {f(2);} }\nint " + f, "f(1);\nint " + f, "{f(1)}{f(2);}int " + f):
+        assert c_functions(files_df(spark, [(1, c, "", [("f", [])])])).first()["c_function"] == f
+
+
+def test_c_cut_equals_the_rule_on_random_text(spark):
+    rng = random.Random(3)
+    pieces = ["f", "g", "(", ")", "{", "}", " ", "\n", "int ", "(a)", "f(a) {", "g(){", "if (x) {", "}", ";", "f(1);", "é", "f(a, g(b) {", "{}"]
+    names = ["f", "g", "if", "f("]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    df = files_df(spark, [(i, c, "", [(n, []) for n in names]) for i, c in enumerate(texts)])
+    got = {(int(r["file_key"]), r["function_name"]): r["c_function"] for r in c_functions(df).collect()}
+    assert got == {(i, n): plain_cut(c, n) for i, c in enumerate(texts) for n in names}
+
+
+def test_c_cut_of_absent_names_and_open_braces(spark):
+    import time
+    n = 5000
+    closed = "\n".join(f"int f{k}(int a) {{ if (a) {{ return {k}; }} }}" for k in range(n))
+    opened = "\n".join(f"int f{k}(int a) {{ if (a) {{ return {k}; }} " for k in range(n))
+    for c, found in ((closed, n), (opened, 0)):
+        df = files_df(spark, [(1, c, "", [(f"f{k}", []) for k in range(n)] + [(f"z{k}", []) for k in range(n)])])
+        began = time.time()
+        assert c_functions(df).where("c_function <> ''").count() == found
+        assert time.time() - began < 30
+
+
 def test_c_cut_counts_characters_beyond_the_basic_plane(spark):
     c = "/* \U0001F600\U0001F600 */ int f(int a) { return a; }"
     df = files_df(spark, [(1, c, "", [("f", [])])])
