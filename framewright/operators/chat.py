@@ -149,8 +149,8 @@ def length_profile(examples: DataFrame, length: Column, order_by: list[str],
                    n: int | None = None) -> DataFrame:
     """Mean and max length over all examples, or the first ``n`` of them (dataset order).
 
-    ``length`` is any column expression (characters, whitespace tokens, or
-    a caller's pandas UDF over a tokenizer)."""
+    ``length`` is any column expression: ``functions.tokens.token_length`` for tokens, ``F.length``
+    for characters."""
     first = examples.select(*order_by, length.alias("_len"))
     if n is not None:
         first = first.orderBy(*order_by).limit(n)
@@ -159,7 +159,7 @@ def length_profile(examples: DataFrame, length: Column, order_by: list[str],
 
 
 def over_budget(examples: DataFrame, length: Column, budget: int = MAX_SEQ_LENGTH) -> DataFrame:
-    """How many examples exceed the sequence budget."""
+    """How many examples exceed the sequence budget, in the unit of ``length``."""
     return examples.agg(F.count_if(length > budget).cast("bigint").alias("over_budget"),
                         F.count(F.lit(1)).cast("bigint").alias("n_examples"),
                         F.max(length).cast("bigint").alias("max_length"))

@@ -1,7 +1,7 @@
 """Pairing and stitching.
 
 * ``pair_files``: source/listing files paired by file stem across a whole
-  tree in one ``groupBy`` (no self-join); incomplete pairs are dropped.
+  tree; incomplete pairs are dropped.
   When several files share a stem and extension, the one with the greatest
   path wins (the original walk order is file-system dependent).
 * ``stitch_listings``: attach a listing to each record by the zero-padded
@@ -27,17 +27,17 @@ def path_parts(path: str = "path") -> dict:
 
 
 def pair_files(listing: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """B1: ``listing(path, content)`` -> ``file_id, source_code_c, assembly_code``."""
+    """B1: ``listing(path, content)`` -> ``file_id, source_code_c, assembly_code``.
+
+    Winners are chosen on paths alone; their texts are fetched by path afterwards, so no text is in
+    an aggregate and a stem with many files costs paths only."""
     p = path_parts(path)
-    d = listing.select(p["stem"].alias("stem"), p["ext"].alias("ext"), F.col(path).alias("_p"),
-                       F.col(content).alias("_c"))
-    d = d.filter(F.col("ext").isin(SOURCE_EXT, LISTING_EXT))
-    g = d.groupBy("stem").agg(
-        F.max_by("_c", F.when(F.col("ext") == SOURCE_EXT, F.col("_p"))).alias("source_code_c"),
-        F.max_by("_c", F.when(F.col("ext") == LISTING_EXT, F.col("_p"))).alias("assembly_code"),
-        F.count_if(F.col("ext") == SOURCE_EXT).alias("_nc"),
-        F.count_if(F.col("ext") == LISTING_EXT).alias("_na"))
-    return g.filter((F.col("_nc") > 0) & (F.col("_na") > 0)).select(
+    paths = listing.select(p["stem"].alias("stem"), p["ext"].alias("ext"), F.col(path).alias("_p"))
+    won = lambda ext: F.max(F.when(F.col("ext") == ext, F.col("_p")))
+    pairs = paths.filter(F.col("ext").isin(SOURCE_EXT, LISTING_EXT)).groupBy("stem").agg(won(SOURCE_EXT).alias("_cp"), won(LISTING_EXT).alias("_ap"))
+    pairs = pairs.filter(F.col("_cp").isNotNull() & F.col("_ap").isNotNull())
+    text = lambda at, name: listing.select(F.col(path).alias(at), F.col(content).alias(name))
+    return pairs.join(text("_cp", "source_code_c"), "_cp").join(text("_ap", "assembly_code"), "_ap").select(
         F.col("stem").alias("file_id"), "source_code_c", "assembly_code")
 
 

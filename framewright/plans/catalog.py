@@ -109,6 +109,17 @@ def q_apply_labels(spark, sf_dir):
         "file_key", "function_name", "variable_name", "assembly_reference", "allocation_space_offset", "found")
 
 
+@query("updated_labels")
+def q_updated_labels(spark, sf_dir):
+    """The nested labels of all files after the update of stale ones, a row per function."""
+    files = _run(spark, sf_dir, stale=True).updated_files(corpus_files(spark, sf_dir, stale_labels=True))
+    f = files.select("file_key", F.posexplode("label.functions").alias("fn_ord", "fn"))
+    text = lambda v: F.concat_ws("|", v["variable_name"], F.coalesce(v["assembly_reference"], F.lit("null")),
+                                 F.coalesce(v["allocation_space_offset"].cast("string"), F.lit("null")), v["size_bytes"])
+    return f.select("file_key", F.col("fn_ord").cast("bigint").alias("fn_ord"), "fn.function_name", "fn.stack_allocation_instruction",
+                    "fn.stack_allocation_size_bytes", F.array_join(F.transform("fn.variable_mapping", text), ";").alias("variables"))
+
+
 @query("liveness_registers")
 def q_liveness_registers(spark, sf_dir):
     run = _run(spark, sf_dir)

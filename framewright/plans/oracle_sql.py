@@ -120,6 +120,14 @@ SELECT file_key, 'fn_' || k AS function_name, variable_name,
 FROM loc
 """)
 
+ORACLES["updated_labels"] = corpus("""
+SELECT ff.file_key, ff.fn_ord, ff.function_name, alloc_text AS stack_allocation_instruction, alloc_size AS stack_allocation_size_bytes,
+       string_agg(concat_ws('|', variable_name,
+         coalesce(CASE WHEN location_kind = 'missing' THEN 'ebp-' || (1000 + ln) ELSE assembly_reference END, 'null'),
+         coalesce(CAST(CASE WHEN location_kind = 'missing' THEN -(1000 + ln) ELSE allocation_space_offset END AS VARCHAR), 'null'), '4'), ';' ORDER BY var_ord) AS variables
+FROM ff JOIN loc ON loc.k = ff.k GROUP BY ALL
+""")
+
 ORACLES["liveness_registers"] = corpus("""
 SELECT file_key, 'fn_' || k AS function_name, variable_name,
        CASE ln % 3 WHEN 0 THEN 'ebx' WHEN 1 THEN 'esi' ELSE 'edi' END AS reg

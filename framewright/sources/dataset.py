@@ -8,6 +8,9 @@ a stage produces several outputs (splits).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,30 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
     getattr(w, fmt)(path)
 
 
+def write_keyed(df: DataFrame, path: str, partitions: int, key: str = "file_id") -> None:
+    """A4: Parquet records dealt over ``partitions`` folders by a hash of their key, the form that ``rewrite`` updates."""
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(partitions)).cast("int")
+    df.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def rewrite(spark: SparkSession, path: str, update: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """D14/A4 in place: replace the records of a keyed dataset by ``update(records)``.
+
+    The new records are first written whole to a staging folder beside the dataset; then the folders
+    they fall into are overwritten from it.  A failure while they are made leaves the dataset as it
+    was; one during the overwrite is mended by running the same call again.  ``update`` returns
+    records with the columns of the dataset; ``part`` stays a record's folder."""
+    old = spark.read.parquet(path)
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    update(old).select(*old.columns).write.partitionBy("part").parquet(staging)
+    new = spark.read.schema(old.schema).parquet(staging)
+    new.select(*old.columns).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
 def stage_path(base: str, stage: str) -> str:
     """A5: output folder of one stage beside its input (``stage=<name>``)."""
     return f"{base.rstrip('/')}/stage={stage}"

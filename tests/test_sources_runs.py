@@ -107,3 +107,24 @@ def test_throughput_and_epoch(spark):
     assert (r["avg_step_s"], r["avg_tokens_per_s"], r["measured_steps"], r["peak_gb"]) == (1.0, 100.0, 3, 7.0)
     e = J.epoch_estimate(J.throughput_report(steps)).first()
     assert e["steps_per_epoch"] == 826 and e["tokens_per_epoch"] == 13211 * 1828
+
+
+def test_rewrite_replaces_whole_folders_or_nothing(spark, tmp_dir):
+    import pytest
+    path = os.path.join(tmp_dir, "keyed")
+    dataset.write_keyed(spark.range(100).select(F.col("id").cast("string").alias("file_id"), F.lit("old").alias("assembly_code")), path, 5)
+    new = dataset.rewrite(spark, path, lambda d: d.withColumn("assembly_code", F.concat(F.lit("new"), "file_id")))
+    assert {r["file_id"]: r["assembly_code"] for r in new.collect()} == {str(k): f"new{k}" for k in range(100)}
+    with pytest.raises(Exception):
+        dataset.rewrite(spark, path, lambda d: d.withColumn("assembly_code", F.raise_error(F.lit("stopped"))))
+    assert spark.read.parquet(path).where("assembly_code LIKE 'new%'").count() == 100
+    part = dataset.rewrite(spark, path, lambda d: d.where("part = 2").withColumn("assembly_code", F.lit("again")))
+    assert part.count() == 100 and part.where("assembly_code = 'again'").count() == part.where("part = 2").count()
+
+
+def test_pairs_of_a_hot_stem(spark):
+    rows = [(f"t/{k}/x.c", f"c{k}") for k in range(1000)] + [("t/0/x.asm", "a0"), ("t/9/x.asm", "a9"), ("t/y.c", "y"), ("t/.c", "n"), ("t/z", "z")]
+    pairs = B.pair_files(spark.createDataFrame(rows, "path string, content string"))
+    assert [tuple(r) for r in pairs.collect()] == [("x", "c999", "a9")]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert all("content" not in line for line in plan.splitlines() if "Aggregate" in line)

@@ -26,10 +26,36 @@ def test_slice_floor(spark):
     assert SP.slice_sample(df, "k", 1.0).count() == 11
 
 
-def test_split_plan_has_no_global_window(spark):
+def test_split_decides_rows_in_one_scan(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
-    plan = SP.split_train_val(df, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    out = SP.split_train_val(df, "doc_id")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == began  # no job before the frame is used
+    plan = out._jdf.queryExecution().optimizedPlan()
+    # outside the scalar subquery: the scan and a projection
+    assert plan.nodeName() == "Project" and plan.children().head().nodeName() == "Range"
+
+
+def test_split_with_repeated_and_null_keys(spark):
+    keys = [1] * 300 + list(range(2, 400)) + [None] * 3
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    out = SP.split_train_val(df, "k").collect()
+    assert len(out) == len(keys)
+    side = {}
+    for r in out:
+        assert side.setdefault(r["k"], r["split"]) == r["split"]
+    digest = lambda k: hashlib.md5(f"42|{'null' if k is None else k}".encode()).hexdigest()
+    ranked = sorted(keys, key=digest)
+    last = ranked[math.ceil(0.2 * len(keys)) - 1]
+    assert {k for k, v in side.items() if v == "val"} == {k for k in keys if digest(k) <= digest(last)}
+
+
+def test_split_of_nothing_and_of_all(spark):
+    df = spark.range(7).withColumnRenamed("id", "k")
+    assert SP.split_train_val(df.limit(0), "k").count() == 0
+    assert SP.first_by_hash(df, "k", 0).where("is_first").count() == 0
+    assert SP.first_by_hash(df, "k", 7).where("is_first").count() == 7
+    assert SP.first_by_hash(df, "k", 99).where("is_first").count() == 7
 
 
 def test_sample_limit_and_report(spark):
