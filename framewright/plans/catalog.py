@@ -601,6 +601,20 @@ def q_gen_labels(spark, sf_dir):
                       .alias("names"), F.size("fn.variable_mapping").cast("bigint").alias("n_variables"))
 
 
+@query("gen_declarations")
+def q_gen_declarations(spark, sf_dir):
+    """K6: declaration lines of every generated function."""
+    d = K.gen_declarations(*_gen(spark, sf_dir))
+    return d.select("p", "f", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
+@query("gen_inits")
+def q_gen_inits(spark, sf_dir):
+    """K7: initialisations and parameter copies of every generated function."""
+    d = K.gen_inits(*_gen(spark, sf_dir))
+    return d.select("p", "f", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
 @query("gen_statements")
 def q_gen_statements(spark, sf_dir):
     fns, decl = _gen(spark, sf_dir)

@@ -592,6 +592,54 @@ FROM gnames WHERE kind = 0 OR NOT is_ghost GROUP BY p, f
 """
 
 
+def _declared_sql() -> str:
+    """Locals and parameters with their final names, types, access texts and scalar types."""
+    from framewright.operators import synth as K
+    case = lambda part: "CASE l.v_type " + " ".join(f"WHEN '{t}' THEN '{ff[part]}'" for t, ff in K.STRUCT_FIRST_FIELD.items()) + " END"
+    return f"""
+, gd AS (
+  SELECT p, f, ord, name, v_type, is_array, is_ghost, array_size, scalar_type, name || CASE WHEN is_array THEN '[0]' ELSE '' END || coalesce('.' || field, '') AS access
+  FROM (SELECT l.p, l.f, l.ord, n.name, l.v_type, l.is_array, l.is_ghost, {_randint(K.MIN_ARRAY, K.MAX_ARRAY, 'l.p', 'l.f', "'asz'", 'l.ord')} AS array_size,
+               {case(0)} AS field, coalesce({case(1)}, l.v_type) AS scalar_type
+        FROM gloc l JOIN gnames n ON n.p = l.p AND n.f = l.f AND n.kind = 1 AND n.ord = l.ord)
+),
+gp AS (SELECT a.p, a.f, a.ord, n.name, a.v_type FROM gpar a JOIN gnames n ON n.p = a.p AND n.f = a.f AND n.kind = 0 AND n.ord = a.ord)
+"""
+
+
+def _value_sql(t: str, x: str) -> str:
+    cents = f"CAST(floor((0.5::DOUBLE + {x} * 999.0::DOUBLE) * 100.0::DOUBLE) AS BIGINT)"
+    return (f"CASE WHEN {t} IN ('float', 'double') THEN ({cents} // 100) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0') "
+            f"WHEN {t} = 'char' THEN chr(39) || chr(CAST(65 + floor({x} * 26) AS INTEGER)) || chr(39) ELSE CAST(CAST(floor({x} * 1001) AS BIGINT) AS VARCHAR) END")
+
+
+def _lines_sql(rows: str) -> str:
+    """Lines ``(p, f, part, ord, line)`` of every function as their number and the digest of their text."""
+    return f"""
+SELECT g.p, g.f, count(line)::BIGINT AS n_lines, md5(coalesce(string_agg(line, chr(10) ORDER BY part, ord), '')) AS lines_md5
+FROM gfun g LEFT JOIN ({rows}) x ON x.p = g.p AND x.f = g.f GROUP BY g.p, g.f
+"""
+
+
+_INTS = "('int', 'short', 'long', 'char')"
+ORACLES["gen_declarations"] = GEN + _declared_sql() + _lines_sql(f"""
+SELECT p, f, 1 AS part, ord, '    ' || v_type || ' ' || name || '[' || array_size || '];' AS line FROM gd WHERE is_array
+UNION ALL SELECT p, f, 2, min(ord), '    ' || CASE WHEN any_value({_u('p', 'f', "'vol'", 'v_type')}) > 0.8 THEN 'volatile ' ELSE '' END || v_type || ' '
+  || string_agg(name, ', ' ORDER BY ord) || ';' FROM gd WHERE NOT is_array GROUP BY p, f, v_type
+UNION ALL SELECT gd.p, gd.f, 3, gd.ord, '    ' || gd.v_type || '* ' || n.name || ' = &' || gd.name || ';'
+  FROM gd JOIN gnames n ON n.p = gd.p AND n.f = gd.f AND n.kind = 2 AND n.ord = gd.ord
+""")
+ORACLES["gen_inits"] = GEN + _declared_sql() + _lines_sql(f"""
+SELECT p, f, 1 AS part, ord, '    ' || access || ' = ' || {_value_sql('scalar_type', _u('p', 'f', "'init'", 'ord'))} || ';' AS line FROM gd
+UNION ALL SELECT p, f, 2, ord, '    ' || name || CASE WHEN is_array THEN '[0]' ELSE '' END || ' = (' || v_type || ')'
+    || fits[CAST(floor({_u('p', 'f', "'cp'", 'ord')} * len(fits)) AS BIGINT) + 1] || ';'
+  FROM (SELECT d.p, d.f, d.ord, d.name, d.is_array, d.v_type, list(q.name ORDER BY q.ord) AS fits
+        FROM gd d JOIN gfun g ON g.p = d.p AND g.f = d.f AND NOT g.is_micro JOIN gp q ON q.p = d.p AND q.f = d.f
+          AND (q.v_type = d.v_type OR (q.v_type IN {_INTS} AND d.v_type IN {_INTS}))
+        WHERE NOT d.is_ghost AND d.v_type NOT LIKE 'struct %' AND {_u('d.p', 'd.f', "'copy'", 'd.ord')} < 0.3 GROUP BY ALL)
+""")
+
+
 ORACLES["dataset_roundtrip"] = text_corpus("""
 SELECT a.file_key, n_functions, n_variables, asm_md5, c_md5
 FROM (SELECT file_key, md5(string_agg(line, chr(10) ORDER BY k, ord)) AS asm_md5 FROM lines GROUP BY file_key) a
