@@ -10,7 +10,8 @@
    aggregate with map-side combine.
 4. Candidate pairs pass the length filter, the positional filter (shared prefix n-grams
    and what can follow the last of them) and a suffix filter (a lower bound of the
-   symmetric difference from hash-range counts), then are verified once, on whole sets.
+   symmetric difference from hash-range counts), both inside the candidate join, then are
+   verified once, on whole sets.
 
 Candidates are verified in rounds (``rounds``) that stop comparing what is connected.
 """
@@ -21,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ BUCKETS = 1 << 22  # cells of the n-gram counts; 16 MB as a table
 BLOCK = 1 << 14  # cells of a row
 FAN_IN = 64  # tasks whose counts one task adds
 RANGES = 16  # hash ranges of the suffix filter
+FINE = 128  # those of the candidate join, counts of 127 and more alike: that only lowers the bound
 
 
 def _class_of(grams: np.ndarray) -> int:
@@ -48,11 +51,11 @@ def _sets(column, width: int):
 
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document: doc_id, n, c (class, null for an empty set), ranges; and per task a row for
+    """A row per document: doc_id, n, c (class, null for an empty set), ranges, fine; and per task a row for
     each block of cells: block, part, counts (a byte a cell, 255 for more: it only blurs the order of
     n-grams that are frequent anyway)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.int32())),
-                        ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+                        ("fine", pa.list_(pa.int8())), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def rows(size, **columns):
         return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
@@ -62,14 +65,16 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
 
         cells = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            n, c, ranges = [], [], []
+            n, c, ranges, fine = [], [], [], []
             for _, grams in _sets(batch.column(1), width):
                 n.append(len(grams))
                 c.append(_class_of(grams) if len(grams) else None)
-                ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                parts = np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=FINE)
+                ranges.append(parts.reshape(RANGES, -1).sum(1).astype(np.int32))
+                fine.append(np.minimum(parts, 127).astype(np.int8))
                 np.add.at(cells, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             if n:
-                yield rows(len(n), doc_id=batch.column(0), n=n, c=c, ranges=ranges)
+                yield rows(len(n), doc_id=batch.column(0), n=n, c=c, ranges=ranges, fine=fine)
         part = TaskContext.get().partitionId()
         small = np.minimum(cells, 255).astype(np.uint8).reshape(-1, BLOCK)
         for at in range(0, len(small), 64):
@@ -77,7 +82,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             if some:
                 yield rows(len(some), block=[k for k, _ in some], part=[part] * len(some), counts=[x for _, x in some])
 
-    return docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, block INT, part INT, counts BINARY")
+    return docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, fine ARRAY<TINYINT>, block INT, part INT, counts BINARY")
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
@@ -100,9 +105,7 @@ def _counts(measured: DataFrame) -> np.ndarray:
     return counts.ravel()
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
-
+def _prefixes(docs: DataFrame, shared: Broadcast, width: int, percent: int) -> DataFrame:
     def run(batches):
         cells = shared.value
         for batch in batches:
@@ -185,9 +188,13 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     with passing(_measure(docs, width), "sets") as measured:
         counts = _counts(measured)
         nodes = stage(measured.where("n IS NOT NULL").drop("block", "part", "counts"), "nodes")
-    classes = stage(nodes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("ranges").alias("ranges")), "classes")
+    # Equal sets have equal counts by range.
+    classes = stage(nodes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("ranges").alias("ranges"), F.any_value("fine").alias("fine")), "classes")
 
-    with passing(_prefixes(docs, counts, width, percent), "prefixes") as prefixes:
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
+    del counts
+    with passing(_prefixes(docs, shared, width, percent), "prefixes") as prefixes:
+        shared.destroy()  # the prefixes are written
         rows = shared_keys(prefixes)
     wanted = rows.select("c").distinct().join(classes, "c").select("c", _known("doc_id").alias("d"))
 
@@ -196,9 +203,12 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         # no shared one stands where what precedes and follows it in both is too little.
         need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))
         most = F.least("xpos", "ypos") + 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
+        # What the counts by hash range differ by, the sets differ by at least.
+        apart = F.aggregate(F.zip_with("xfine", "yfine", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
         pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
                        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-                       & (F.col("xpos") <= F.col("xn") - need) & (F.col("ypos") <= F.col("yn") - need) & (most >= need))
+                       & (F.col("xpos") <= F.col("xn") - need) & (F.col("ypos") <= F.col("yn") - need) & (most >= need)
+                       & (apart <= F.col("xn") + F.col("yn") - 2 * need))
         pairs = pairs.groupBy(F.col("xc").alias("a"), F.col("yc").alias("b"), "xn", "yn").agg(
             F.count("*").alias("m"), F.max("xpos").alias("xp"), F.max("ypos").alias("yp"))
         # Shared n-grams stand in the same order in both sets, so what follows the last shared one bounds the rest.
@@ -206,7 +216,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                            >= F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))).select("a", "b")
 
     with bucketed(_texts(docs, wanted, width), "texts", "c", "d") as texts:
-        links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest)
+        links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest,
+                     lambda some: some.join(classes.select("c", "fine"), "c"))
 
     component = connected_components(links).withColumnRenamed("node", "c")
     reached = classes.select("c", "doc_id").join(component, "c")

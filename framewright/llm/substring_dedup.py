@@ -3,8 +3,8 @@
 Two kinds of paragraphs are compared. A line of ``MIN_WORDS`` words or more is one, and so are the
 lines up to a blank line if they have as many words together, however they are wrapped, with a
 MinHash signature of its five-word shingles; ``tune`` chooses bands and rows for the wanted
-recall, paragraphs that collide in a band are joined, and the exact Jaccard similarity of their
-shingle sets decides. And since passages are also copied into the middle of a line, texts are
+recall, paragraphs that collide in a band are joined unless the hash ranges of their shingles
+differ too much, and the exact Jaccard similarity of their shingle sets decides. And since passages are also copied into the middle of a line, texts are
 cut where the hash of two words is the least of its neighbourhood: a passage is cut alike
 wherever it stands. Neighbouring pieces make windows, each no longer than it takes to have
 ``MIN_PASSAGE`` words, and windows of the same words in several documents are copies. Windows
@@ -36,6 +36,7 @@ MIN_WORDS = 20
 MIN_PASSAGE = 16
 REACH = 5  # words on either side that a cut's hash is the least of
 FILTER_BITS = 1 << 20  # size of the document filter before texts are fetched
+MASKS = ("q0", "q1", "q2", "q3")  # 64 bits each: the hash ranges in which a paragraph has a shingle
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,8 +105,17 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands:
     return keys
 
 
+def _masks(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits (lines x 4) of the 256 hash ranges that hold a shingle of the line."""
+    grams = wordhash.shingles(hashes, SHINGLE)
+    edges = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
+    bit = np.uint64(1) << ((grams >> np.uint64(56)) & np.uint64(63))
+    word = grams >> np.uint64(62)
+    return np.stack([np.bitwise_or.reduceat(np.append(np.where(word == k, bit, np.uint64(0)), np.uint64(0)), edges)[::2] for k in range(len(MASKS))], 1)
+
+
 _UNITS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("line", pa.bool_()), ("par", pa.int32()), ("whole", pa.bool_()), ("ord", pa.int32()), ("start", pa.int32()),
-                    ("n", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
+                    ("n", pa.int32()), ("h", pa.int64()), *((q, pa.int64()) for q in MASKS), ("bands", pa.list_(pa.int64()))])
 
 
 def _lines(text: bytes, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,6 +157,9 @@ def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage:
                 parts["start"].append(np.concatenate([cut, first]))
                 parts["n"].append(np.concatenate([end - cut, last - first]))
                 parts["h"].append(np.concatenate([_run_hashes(hashes, cut, end), _run_hashes(hashes, first, last)]).view(np.int64))
+                bits = _masks(hashes, first, last).view(np.int64) if len(first) else np.empty((0, len(MASKS)), np.int64)
+                for k, q in enumerate(MASKS):
+                    parts[q].append(np.concatenate([np.zeros(a, np.int64), bits[:, k]]))
                 parts["bands"].append((a, keys.view(np.int64)))
                 held += a + b
                 if held > 100_000:
@@ -155,7 +168,8 @@ def _units(docs: DataFrame, bands: int, rows: int, min_words: int, min_passage:
             if held:
                 yield _batch(parts, bands)
 
-    return stage(docs.mapInArrow(run, "doc_id BIGINT, t BIGINT, line BOOLEAN, par INT, whole BOOLEAN, ord INT, start INT, n INT, h BIGINT, bands ARRAY<BIGINT>"), "units")
+    return stage(docs.mapInArrow(run, "doc_id BIGINT, t BIGINT, line BOOLEAN, par INT, whole BOOLEAN, ord INT, start INT, n INT, h BIGINT, "
+                                 + ", ".join(f"{q} BIGINT" for q in MASKS) + ", bands ARRAY<BIGINT>"), "units")
 
 
 def _batch(parts: dict, bands: int) -> pa.RecordBatch:
@@ -179,7 +193,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     used = wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)  # at most FILTER_BITS numbers
     bits = np.zeros(FILTER_BITS, bool)
     bits[used] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # FILTER_BITS bits
 
     def some(batches):
         member = np.unpackbits(shared.value).astype(bool)
@@ -200,7 +214,9 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     near = docs.withColumn("s", slot).mapInArrow(some, "doc_id BIGINT, text STRING")
     found = near.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).select("text", "t", "start", "n", "h")
-    return stage(found.mapInArrow(cut, "h BIGINT, words STRING").dropDuplicates(["h"]), "paragraphs")
+    out = stage(found.mapInArrow(cut, "h BIGINT, words STRING").dropDuplicates(["h"]), "paragraphs")
+    shared.destroy()
+    return out
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -223,12 +239,17 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
 
     A line of a paragraph that is itself in the class is no copy of it, and left out."""
     first = F.min(F.struct("doc_id", "t", "start", "n")).alias("first")
-    classes = stage(lines.groupBy("h").agg(first, F.max("doc_id").alias("high"), F.any_value("bands").alias("bands")), "classes")
-    rows = shared_keys(classes.select(F.explode("bands").alias("token"), F.col("h").alias("c")))
+    classes = stage(lines.groupBy("h").agg(first, F.max("doc_id").alias("high"), (F.min("n") - (SHINGLE - 1)).alias("u"),
+                                           *(F.min(q).alias(q) for q in MASKS), F.any_value("bands").alias("bands")), "classes")
+    rows = shared_keys(classes.select(F.explode("bands").alias("token"), F.col("h").alias("c"), "u", *MASKS))
     texts = _fetch(docs, classes.join(rows.select(F.col("c").alias("h")).distinct(), "h").select("first.*", "h"))
 
     def rest(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))) \
+        # Sets as similar as asked differ by at most this share of their sizes, of which u is an upper bound; each
+        # hash range that only one of them reaches holds a difference.
+        apart = sum((F.bit_count(F.col("x" + q).bitwiseXOR(F.col("y" + q))) for q in MASKS), F.lit(0))
+        return x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
+                      & (apart <= (1 - similarity) / (1 + similarity) * (F.col("xu") + F.col("yu")) + 1e-6)) \
             .select(F.col("xc").alias("a"), F.col("yc").alias("b")).distinct()
 
     links = link(rows, lambda pairs: _verify(pairs, texts, similarity), rest)
@@ -271,7 +292,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands, rows = tune(similarity, recall)
     units = _units(docs, bands, rows, min_words, min_passage)
     lines = _paragraphs(docs, units.where("line"), similarity).select(F.lit("line").alias("kind"), "*")
-    passages = _passages(units.where("NOT line").drop("bands", "par", "whole")).select(F.lit("passage").alias("kind"), "*")
+    passages = _passages(units.where("NOT line").drop("bands", "par", "whole", *MASKS)).select(F.lit("passage").alias("kind"), "*")
     both = stage(lines.unionByName(passages).distinct(), "copies")
     first = both.groupBy("kind", "class_id").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"))
     return both.join(first, ["kind", "class_id"]).select(
