@@ -11,10 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.schemas import EVAL_RESULT, FILE_RECORD
+from framewright.session import cut_lineage
 
 
 def with_file_keys(df: DataFrame, file_id: str = "file_id") -> DataFrame:
@@ -31,6 +33,57 @@ def read_dataset(spark: SparkSession, path: str, multiline: bool = True, mode: s
     return with_file_keys(df)
 
 
+def read_array(spark: SparkSession, path: str, schema: T.StructType = FILE_RECORD) -> DataFrame:
+    """A1 in parallel: the objects of JSON array files as rows, however large a file is.
+
+    Files are read by byte ranges as pieces that end at ``}``, the only place where an object can end.  A
+    piece's effect on the reader's state (inside a string, depth) is known without the text before it, so
+    running sums, in each range and then over a file's ranges, give the state at every piece; an object ends
+    where the depth falls back to that of the array.  Anything but one array of objects raises.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("v"))
+    count = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    plain = F.regexp_replace("v", r"(?s)\\.", "")  # without escaped characters every quote opens or closes a string
+
+    def depth(inside: int) -> Column:
+        """Change of depth by a piece that begins inside a string or outside."""
+        text = F.array_join(F.filter(F.split(plain, '"'), lambda x, i: i % 2 == inside), "")
+        return count(text, "{[") - count(text, "]")
+
+    inside_range = Window.partitionBy("file", "range").orderBy("at")
+    before, upto = inside_range.rowsBetween(Window.unboundedPreceding, -1), inside_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def carried(pieces: DataFrame, name: str) -> DataFrame:
+        """``pieces`` with the sum of ``name`` over the file's earlier ranges; the sums are one row a range."""
+        w = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = pieces.groupBy("file", "range").agg(F.sum(name).alias("_n")).select("file", "range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"{name}0"))
+        return pieces.join(sums, ["file", "range"])
+
+    pieces = carried(raw.withColumn("quotes", count(plain, '"')), "quotes")
+    start = (F.col("quotes0") + F.coalesce(F.sum("quotes").over(before), F.lit(0))) % 2
+    closed = (F.col("start") + F.col("quotes")) % 2 == 0  # the brace after the piece is none of a string
+    pieces = pieces.withColumn("start", start).withColumn("closed", closed) \
+        .withColumn("d", F.when(F.col("start") == 0, depth(0)).otherwise(depth(1)) - F.col("closed").cast("int")).select("file", "range", "at", "v", "closed", "d")
+    pieces = carried(cut_lineage(pieces), "d")
+    pieces = pieces.withColumn("end", (F.col("closed") & (F.col("d0") + F.sum("d").over(upto) == 1)).cast("int")).select("file", "range", "at", "v", "end")
+    pieces = carried(pieces, "end").withColumn("record", F.col("end0") + F.coalesce(F.sum("end").over(before), F.lit(0)))
+
+    objects = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("range", "at", "v"))).alias("parts"), F.max("end").alias("whole"))
+    text = F.concat(F.array_join(F.transform("parts", lambda x: x["v"]), "}"), F.when(F.col("whole") == 1, "}").otherwise(""))
+    objects = objects.select("file", "record", "whole", text.alias("text"))
+    # The first object follows the bracket, the others a comma; what follows the last is the closing bracket.
+    fits = F.when(F.col("whole") == 1, F.when(F.col("record") == 0, F.col("text").rlike(r"^\s*\[\s*\{")).otherwise(F.col("text").rlike(r"^\s*,\s*\{"))) \
+        .otherwise(F.when(F.col("record") == 0, F.col("text").rlike(r"^\s*\[\s*\]\s*$")).otherwise(F.col("text").rlike(r"^\s*\]\s*$")))
+    checked = F.when(fits, F.regexp_replace("text", r"^\s*[\[,]\s*", "")).otherwise(F.raise_error(F.concat(F.lit("no JSON array of objects: "), F.col("file"))))
+    # The check also sees the rest of a file: it is filtered by its own column afterwards.
+    rows = objects.select("whole", checked.alias("text")).filter((F.col("whole") == 1) | F.col("text").isNull())
+    # A file whose last piece ends an object has no closing bracket.
+    last = pieces.groupBy("file").agg(F.max(F.struct("range", "at", "end"))["end"].alias("whole"), F.max("file").alias("f")).filter("whole = 1")
+    rows = rows.unionByName(last.select("whole", F.raise_error(F.concat(F.lit("array without an end: "), F.col("f"))).cast("string").alias("text")))
+    return with_file_keys(rows.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+
+
 def ingest(spark: SparkSession, path: str, out: str, partitions: int, multiline: bool = True) -> DataFrame:
     """A1: read the interchange form once, deal its records over ``partitions`` and keep them as Parquet:
     a JSON array is one task's work however large it is, so later stages should not start from it."""

@@ -128,3 +128,37 @@ def test_pairs_of_a_hot_stem(spark):
     assert [tuple(r) for r in pairs.collect()] == [("x", "c999", "a9")]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert all("content" not in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_an_array_is_read_by_many_tasks(spark, tmp_dir):
+    import random
+
+    import pytest
+    rng = random.Random(6)
+    odd = ['}', '{"x": [', '\\"', '\\\\', "é\U0001F600", "]", ",", '"', "\n", "}{", "\\"]
+    records = [{"file_id": k, "source_code_c": "".join(rng.choice(odd) for _ in range(rng.randint(0, 9))), "assembly_code": "x" * rng.randint(0, 300),
+                "label": {"functions": [{"function_name": f"f{k}", "stack_allocation_instruction": None, "stack_allocation_size_bytes": k, "variable_mapping": []}] * (k % 3)}}
+               for k in range(700)]
+    want = {str(r["file_id"]): (r["source_code_c"], r["assembly_code"], len(r["label"]["functions"])) for r in records}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for k, kw in enumerate(({}, {"indent": 2}, {"ensure_ascii": False, "separators": (",", ":")})):
+            p = os.path.join(tmp_dir, f"a{k}.json")
+            write(p, json.dumps(records, **kw))
+            df = dataset.read_array(spark, p)
+            got = {r["file_key"]: (r["source_code_c"], r["assembly_code"], len(r["label"]["functions"])) for r in df.collect()}
+            assert got == want
+            assert spark.read.option("lineSep", "}").text(p).rdd.getNumPartitions() > 8
+        empty = os.path.join(tmp_dir, "e.json")
+        write(empty, " [ ]\n")
+        assert dataset.read_array(spark, empty).count() == 0
+        whole = json.dumps(records[:5])
+        for bad in (whole[:-1], whole[:-20], whole[1:], whole + "x", whole.replace('}, {"file', '} {"file', 1), "[1, 2]", '{"file_id": 1}'):
+            p = os.path.join(tmp_dir, "bad.json")
+            write(p, bad)
+            with pytest.raises(Exception):
+                dataset.read_array(spark, p).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
