@@ -33,7 +33,7 @@ def _run(spark: SparkSession, sf_dir: str, stale: bool = False) -> LabelRun:
     """One labelling run per (session, corpus); its line table is persisted
     and shared by every query of the session."""
     apply_semantic_conf(spark)
-    key = (id(spark), sf_dir, stale)
+    key = (spark.sparkContext.applicationId, sf_dir, stale)
     if key not in _RUNS:
         _RUNS[key] = LabelRun(corpus_files(spark, sf_dir, stale_labels=stale))
     return _RUNS[key]
@@ -295,7 +295,7 @@ def eval_rows(spark, sf_dir) -> DataFrame:
     """Ground truth = answer JSON of each labelled function; the prediction is
     planted from it by class ``k % 9``; ``sample_idx = k``.  Materialised once
     per session: it is the input table of every scoring query."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EVAL_ROWS:
         _EVAL_ROWS[key] = cut_lineage(_eval_rows(spark, sf_dir))
     return _EVAL_ROWS[key]
@@ -559,7 +559,7 @@ _GEN: dict = {}
 
 def _gen(spark, sf_dir):
     """Functions and the declaration table, materialised once per session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GEN:
         fns = K.gen_functions(_programs(spark, sf_dir), "o_orderkey")
         _GEN[key] = (fns, cut_lineage(K.declared(fns)))

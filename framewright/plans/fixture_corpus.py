@@ -157,7 +157,7 @@ def corpus_files(spark: SparkSession, sf_dir: str, stale_labels: bool = False) -
     """
     from framewright.session import cut_lineage
 
-    key = (id(spark), sf_dir, stale_labels)
+    key = (spark.sparkContext.applicationId, sf_dir, stale_labels)
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(fixture_files(spark, sf_dir, stale_labels))
     return _MEMO[key]
