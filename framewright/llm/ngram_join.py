@@ -198,26 +198,34 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         rows = shared_keys(prefixes)
     wanted = rows.select("c").distinct().join(classes, "c").select("c", _known("doc_id").alias("d"))
 
+    def detail(some: DataFrame) -> DataFrame:
+        """Rows with their class's counts by hash range, its prefix n-grams here in order, their places in the set, and
+        the row's own place among them."""
+        own = some.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
+        own = own.select("c", F.col("p.token").alias("tokens"), F.col("p.pos").alias("places"))
+        return some.join(classes.select("c", "fine"), "c").join(own, "c").withColumn("i", F.array_position("tokens", F.col("token")).cast("int"))
+
     def rest(x: DataFrame, y: DataFrame) -> DataFrame:
-        # Of a pair that needs this overlap, the first shared n-gram stands in the first n - need + 1 of both sets, and
-        # no shared one stands where what precedes and follows it in both is too little.
         need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))
-        most = F.least("xpos", "ypos") + 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
+        # A pair is made once, at its first shared n-gram: prefixes are in one order, so nothing before it is shared. Of a
+        # pair that needs this overlap it stands in the first n - need + 1 of both sets, and all else shared follows it.
+        first = ~F.arrays_overlap(F.slice("xtokens", F.lit(1), F.col("xi") - 1), F.slice("ytokens", F.lit(1), F.col("yi") - 1))
+        most = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
         # What the counts by hash range differ by, the sets differ by at least.
         apart = F.aggregate(F.zip_with("xfine", "yfine", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+        # Beyond the shared prefix n-grams at most what follows the last of them is shared.
+        shared = F.array_intersect("xtokens", "ytokens")
+        last = lambda side: F.get(F.col(side + "places"), F.array_position(F.col(side + "tokens"), F.get(shared, F.size(shared) - 1)).cast("int") - 1)
+        bound = F.size(shared) + F.least(F.col("xn") - last("x") - 1, F.col("yn") - last("y") - 1)
         pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
                        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
                        & (F.col("xpos") <= F.col("xn") - need) & (F.col("ypos") <= F.col("yn") - need) & (most >= need)
-                       & (apart <= F.col("xn") + F.col("yn") - 2 * need))
-        pairs = pairs.groupBy(F.col("xc").alias("a"), F.col("yc").alias("b"), "xn", "yn").agg(
-            F.count("*").alias("m"), F.max("xpos").alias("xp"), F.max("ypos").alias("yp"))
-        # Shared n-grams stand in the same order in both sets, so what follows the last shared one bounds the rest.
-        return pairs.where(F.col("m") + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1)
-                           >= F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))).select("a", "b")
+                       & first & (apart <= F.col("xn") + F.col("yn") - 2 * need) & (bound >= need))
+        return pairs.select(F.col("xc").alias("a"), F.col("yc").alias("b"))
 
     with bucketed(_texts(docs, wanted, width), "texts", "c", "d") as texts:
         links = link(rows, lambda pairs: _verify(pairs, classes, texts, width, percent), rest,
-                     lambda some: some.join(classes.select("c", "fine"), "c"))
+                     detail)
 
     component = connected_components(links).withColumnRenamed("node", "c")
     reached = classes.select("c", "doc_id").join(component, "c")
