@@ -36,6 +36,7 @@ QUERIES = {
 ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
     "op12_importance": importance.OP12_SQL,
     "op13_vector_codes": vector_codes.OP13_SQL,
 }
