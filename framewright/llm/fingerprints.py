@@ -4,10 +4,12 @@ A text is cut into tokens of up to ``TOKEN`` characters that are not white space
 Its k-mers (k tokens in a row) are numbered by occurrence, so a repeated k-mer is
 several elements. An element is ranked by the hash of its k-mer and its number
 together, so each occurrence has a rank of its own. The first bits of that hash give
-the bin; the smallest ``TUPLE`` elements of each bin are put back in text order and
-hashed together. So each bin is a MinHash
-that also sees the order of its k-mers: moving a passage changes it though the set
-of k-mers stays. The likeness of two fingerprints is the share of equal bins among
+the bin. In a bin that has any, the smallest element and the next ones in the order of
+hashes, ``TUPLE`` in all, are put back in text order and hashed together. In a long text
+they are of that bin; in a short one, with few elements a bin, the next may be of a later
+bin (after the last comes the first), so that a tuple always has an order. So each bin
+is a MinHash that also sees the order of its k-mers: moving a passage changes it though
+the set of k-mers stays. The likeness of two fingerprints is the share of equal bins among
 those that either fills.
 
 One sort of the k-mers' hashes with their places brings equal k-mers together in text
@@ -60,16 +62,17 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bin_bits:
     df = df.withColumn(t[1], F.sort_array(F.flatten(F.transform(t[2], lambda a, r: F.transform(
         F.slice(F.col(t[1]), a + 1, F.coalesce(F.get(F.col(t[2]), r + 1), F.size(t[1])) - a),
         lambda e, n: element(F.xxhash64(e["h"], n), e["i"]))))))
-    # The first elements of a bin: those whose neighbour ``size`` places before is of another bin.
-    df = df.withColumn(t[2], F.filter(t[1], lambda e, j: F.coalesce(bin_of(F.get(F.col(t[1]), j - size)) != bin_of(e), F.lit(True))))
-    first = F.filter(F.transform(t[2], lambda e, j: F.when(
-        F.coalesce(bin_of(F.get(F.col(t[2]), j - 1)) != bin_of(e), F.lit(True)), j)), lambda j: j.isNotNull())
-    df = df.withColumn(t[3], first)
-
-    def one(j: Column, r: Column) -> Column:
-        members = F.slice(F.col(t[2]), j + 1, F.coalesce(F.get(F.col(t[3]), r + 1), F.size(t[2])) - j)
+    # Places of the bins' smallest elements: the one before is of another bin.
+    df = df.withColumn(t[3], F.filter(F.transform(t[1], lambda e, j: F.when(
+        F.coalesce(bin_of(F.get(F.col(t[1]), j - 1)) != bin_of(e), F.lit(True)), j)), lambda j: j.isNotNull()))
+    # The elements again from the first, for tuples that go beyond the last.
+    df = df.withColumn(t[2], F.slice(F.col(t[1]), 1, size - 1))
+
+    def one(j: Column) -> Column:
+        beyond = F.greatest(F.least(j, j + size - F.size(t[1])), F.lit(0))
+        members = F.concat(F.slice(F.col(t[1]), j + 1, F.lit(size)), F.slice(F.col(t[2]), F.lit(1), beyond))
         ordered = F.sort_array(F.transform(members, lambda e: F.struct(e["i"].alias("i"), e["h"].alias("x"))))
-        return F.concat(F.hex(bin_of(F.get(F.col(t[2]), j))), F.lit(":"),
+        return F.concat(F.hex(bin_of(F.get(F.col(t[1]), j))), F.lit(":"),
                         F.hex(F.xxhash64(F.transform(ordered, lambda e: e["x"]))))
 
     return df.withColumn(name, F.array_join(F.transform(t[3], one), ",")).drop(*t)
