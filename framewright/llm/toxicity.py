@@ -3,8 +3,8 @@
 A lexicon is learned from labelled training rows: words that toxic texts have far
 more often than others. Features of a text are densities of its strong and weak
 words, their nearness to words that address the reader, capitals, punctuation and
-spellings that hide a word. Trees are fitted on one part of a bounded sample of
-training rows, the calibration on the other; every whole text is scored.
+spellings that hide a word. Lexicon and trees are fitted on one part of a bounded sample
+of training rows, the calibration on the other; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -80,8 +80,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_WORDS) -> dict[bytes, flo
         for batch in batches:
             words, labels = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = set((text or "").encode().translate(_SPLIT).split())
-                words += [w for w in some if len(w) <= 40]
+                words += set((text or "").encode().translate(_SPLIT).split())
                 labels += [label] * (len(words) - len(labels))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int32())], ["w", "y"])
 
@@ -131,10 +130,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled")
     train = stage(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), "train-texts")
-    lexicon = learn_lexicon(train)
+    fitting = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0
+    lexicon = learn_lexicon(train.where(fitting))
     feats = stage(featured(docs, lexicon), "features")
     rows = stage(featured(train, lexicon).join(sample, "doc_id").repartition(4, "doc_id"), "train")
-    fitting = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0
     out = feats.withColumn("held_out", held_out(F.col("doc_id")))
     totals = rows.agg(F.sum("label").alias("p"), F.count("*").alias("n"), F.sum(F.when(fitting, F.col("label"))).alias("fp"), F.count(F.when(fitting, 1)).alias("fn")).first()
     if not totals["fp"] or totals["fp"] == totals["fn"]:
@@ -156,4 +155,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document's score. Edge cases as in ``score_toxicity``; an empty table gives no row."""
     return score_toxicity(docs, labels)
