@@ -68,7 +68,7 @@ def shares(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
 
     taken is what the mix takes of the document, repeats counted. Null texts have size 0 and none is
     taken; a null source is a source, the last. Rows that share doc_id and text have one key and stand
-    next to each other. An empty table gives no row; if no text has a word, all targets are 0.
+    next to each other; documents with equal keys follow by doc_id, then size. An empty table gives no row; if no text has a word, all targets are 0.
     """
     rows = stage(_sized(docs, doc_id, source, text), "sizes")
     goal = stage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "targets")
@@ -82,7 +82,7 @@ def shares(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     goal = goal.withColumnRenamed("source", "g")
     sums = sums.join(goal, F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumnRenamed("source", "s")
     both = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    inside = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", F.col("i").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("before", F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = both.withColumn("budget", F.expr("target_num div target_den")) \
         .withColumn("target", F.col("target_num").cast("double") / F.col("target_den"))
@@ -134,7 +134,7 @@ t AS (SELECT o.source, o.source_size,
         CASE WHEN f.first IS NULL OR o.place < f.first THEN 1 ELSE l.share END AS den
       FROM o, f LEFT JOIN o l ON l.place = f.first),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.num, t.den, (t.num // t.den)::BIGINT AS budget,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM r)
 SELECT doc_id, size, source_size, num::DOUBLE / den AS target,
