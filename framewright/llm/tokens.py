@@ -5,11 +5,13 @@ space between two characters that are not blank always begins a new such word; a
 single line feed between two of them, and a mark after a letter, are words of
 their own. So the parts between these places have their ids on their own: those
 seen before come from the cache, new ones are encoded by the library. A text with
-any other white space is encoded by the library as a whole.
+any other white space is encoded by the library as a whole. A vocabulary file of another
+kind, with a normalizer or another rule of words, has all its texts encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 
 CACHE_WORDS = 1_300_000  # entries, about 200 bytes each; when it is full it starts anew
@@ -26,6 +28,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _byte_level(spec: dict) -> bool:
+    """Whether the file is a plain byte-level BPE, whose words have their ids on their own."""
+    rule, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (spec.get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex", True)
+            and not rule.get("add_prefix_space") and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+            and all(t["content"].startswith("<") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens") or []))
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,6 +45,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.by_words = _byte_level(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.signs = {c: self._whole(c) for c in ("\n", *_MARKS)}
@@ -78,6 +90,8 @@ class Encoder:
         """
         if len(self.words) > CACHE_WORDS:
             self.words = {}
+        if not self.by_words:
+            return [self._whole(t or "") for t in texts]
         words = self.words
         cut = [("\0\0" + t.replace("\n", " \0")).split(" ") if t else [] for t in texts]
         bad = set()
