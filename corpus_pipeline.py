@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framewright.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from framewright.llm.queries import tokenizer_path
 from framewright.llm.storage import stage, table
+from framewright.llm.text_expr import free_name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +27,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Repeated rows stay once.
-
-    Documents link at five-word shingles and a Jaccard similarity of 0.8; op4's values hold for op4 only."""
-    found = ngram_join.ngram_join(docs, width=5, percent=80).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    kept = stage(found.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group: that with the smallest doc_id. Documents without a word stay; repeated
+    rows stay once.
+
+    Documents link at five-word shingles and a Jaccard similarity of 0.8; op4's values hold for op4 only.
+    Rows that share a doc_id are documents of their own, told apart by the digest of their text."""
+    digest = F.coalesce(F.md5("text"), F.lit("null"))
+    found = ngram_join.components(docs, width=5, percent=80, mark=digest)
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("first")).select("first.doc_id", "first.mark")
+    kept = stage(first.unionByName(found.where("component IS NULL").select("doc_id", "mark")).distinct(), "kept")
+    docs = docs.withColumn(name := free_name(docs.columns, "digest"), digest)
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (docs[name] == kept["mark"])
+    return docs.join(kept, same, "left_semi").drop(name).dropDuplicates(["doc_id", "text"])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import wordhash
@@ -51,10 +51,10 @@ def _sets(column, width: int):
 
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document: doc_id, n, c (class, null for an empty set), ranges, fine; and per task a row for
+    """A row per document: doc_id, mark, n, c (class, null for an empty set), ranges, fine; and per task a row for
     each block of cells: block, part, counts (a byte a cell, 255 for more: it only blurs the order of
     n-grams that are frequent anyway)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.int32())),
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("n", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.int32())),
                         ("fine", pa.list_(pa.int8())), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def rows(size, **columns):
@@ -74,7 +74,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
                 fine.append(np.minimum(parts, 127).astype(np.int8))
                 np.add.at(cells, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             if n:
-                yield rows(len(n), doc_id=batch.column(0), n=n, c=c, ranges=ranges, fine=fine)
+                yield rows(len(n), doc_id=batch.column(0), mark=batch.column(2), n=n, c=c, ranges=ranges, fine=fine)
         part = TaskContext.get().partitionId()
         small = np.minimum(cells, 255).astype(np.uint8).reshape(-1, BLOCK)
         for at in range(0, len(small), 64):
@@ -82,7 +82,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             if some:
                 yield rows(len(some), block=[k for k, _ in some], part=[part] * len(some), counts=[x for _, x in some])
 
-    return docs.mapInArrow(run, "doc_id BIGINT, n BIGINT, c BIGINT, ranges ARRAY<INT>, fine ARRAY<TINYINT>, block INT, part INT, counts BINARY")
+    return docs.mapInArrow(run, "doc_id BIGINT, mark STRING, n BIGINT, c BIGINT, ranges ARRAY<INT>, fine ARRAY<TINYINT>, block INT, part INT, counts BINARY")
 
 
 def _counts(measured: DataFrame) -> np.ndarray:
@@ -176,7 +176,16 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, a row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id)``, a row per row of ``docs``; edge cases as in ``components``."""
+    return components(docs, doc_id, text, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
+               mark: Column | None = None) -> DataFrame:
+    """``(doc_id, mark, n_shingles, component_id, component)``, a row per row of ``docs``.
+
+    component tells components apart also where rows share a doc_id; it is null for an empty set. ``mark`` is a
+    string of the caller's that tells a document's rows apart.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their n-gram sets; words are
     lower-cased A-Z only. A text of fewer than ``width`` words is one n-gram; null, empty and blank texts
@@ -184,7 +193,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     Rows that share a doc_id are documents of their own; a null doc_id is only a component's id if no
     other is there. Other columns are left out; an empty table gives no row.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                       (F.lit(None) if mark is None else mark).cast("string").alias("mark"))
     with passing(_measure(docs, width), "sets") as measured:
         counts = _counts(measured)
         nodes = stage(measured.where("n IS NOT NULL").drop("block", "part", "counts"), "nodes")
@@ -193,7 +203,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
     del counts
-    with passing(_prefixes(docs, shared, width, percent), "prefixes") as prefixes:
+    with passing(_prefixes(docs.select("doc_id", "text"), shared, width, percent), "prefixes") as prefixes:
         shared.destroy()  # the prefixes are written
         rows = shared_keys(prefixes)
     wanted = rows.select("c").distinct().join(classes, "c").select("c", _known("doc_id").alias("d"))
@@ -231,10 +241,12 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     reached = classes.select("c", "doc_id").join(component, "c")
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("c", F.col("doc_id").alias("own")).join(component, "c", "left").join(least, "component", "left") \
-        .select("c", F.coalesce("component_id", "own").alias("component_id"))
+        .select("c", F.coalesce("component", "c").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
     of_class = stage(of_class, "class-components")
-    return nodes.join(of_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes.join(of_class, "c", "left").select(
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op4_ngram_join(docs: DataFrame) -> DataFrame:
+    """Every document's component. Edge cases as in ``components``."""
     return ngram_join(docs)
