@@ -15,10 +15,13 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) gets a folder of its own.
+    Only a local session without that setting (tests, one machine) gets a folder of its own; on a
+    cluster its executors would not see it, so there the setting is required.
     """
     path = spark.conf.get(SETTING, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="framewright-llm-")
         spark.conf.set(SETTING, path)
     return path.rstrip("/")

@@ -28,6 +28,7 @@ from framewright.llm import wordhash
 from framewright.llm.components import connected_components
 from framewright.llm.rounds import link, shared_keys
 from framewright.llm.storage import stage
+from framewright.llm.text_expr import free_name
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -301,9 +302,12 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_copies(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the words of the copies that are not kept; other columns and rows stay."""
-    spans = copies.where("NOT kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("t", "start_word", "n_words")).alias("_spans"))
-    joined = docs.join(spans, F.col(f"`{doc_id}`") == F.col("_doc"), "left").drop("_doc")
+    """``docs`` without the words of the copies that are not kept; other columns, whatever their names,
+    and rows stay. Null and empty texts and rows with a null doc_id are left as they are; an empty table
+    gives no row."""
+    doc, found = free_name(docs.columns, "_doc"), free_name(docs.columns, "_spans")
+    spans = copies.where("NOT kept").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("t", "start_word", "n_words")).alias(found))
+    joined = docs.join(spans, F.col(f"`{doc_id}`") == F.col(doc), "left").drop(doc)
     place = joined.columns.index(text)
 
     def run(batches):
@@ -328,4 +332,5 @@ def remove_copies(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id", te
 
 
 def op1_substring_dedup(docs: DataFrame) -> DataFrame:
+    """The copies of ``docs``, a row each. Edge cases as in ``substring_dedup``."""
     return substring_dedup(docs).drop("t")

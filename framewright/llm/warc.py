@@ -175,5 +175,7 @@ def select_records(index: DataFrame, condition: Column) -> DataFrame:
 
 
 def op6_warc(pages: DataFrame) -> DataFrame:
+    """The records of all pages, as read back from the archives. Edge cases as in ``write_warc``; an empty
+    table gives no row."""
     index = write_warc(pages, new_path(pages.sparkSession, "warc"))
     return read_warc(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

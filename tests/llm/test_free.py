@@ -5,18 +5,21 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import random
 import re
 import string
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from framewright.llm import ngram_join, packing, substring_dedup, token_store, tokens, toxicity, warc, wordhash
+from framewright.llm import ngram_join, packing, storage, substring_dedup, token_store, tokens, toxicity, warc, wordhash
 from framewright.llm.components import connected_components
 from framewright.llm.queries import tokenizer_path
 
@@ -353,6 +356,71 @@ def test_pipeline_links_at_five_words_and_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_pipeline_keeps_rows_not_ids(spark):
+    """A copy goes though its id has another text, and that text stays; rows of one id that are near copies are one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    rows = [(3, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (7, c, "en", "s", 0), (7, c + " end", "en", "s", 0), (9, None, "en", "s", 0),
+            (9, "", "en", "s", 0), (9, "", "en", "s", 0), (None, b, "en", "s", 0), (None, "x y z", "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).withColumn("digest", F.lit("mine")), "")
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert set(got) - {(7, c), (7, c + " end")} == {(3, a), (5, b), (9, None), (9, ""), (None, "x y z")}
+    assert len(got) == len(set(got)) == 6 and kept.columns[-1] == "digest"
+
+
+def test_pipeline_run_and_empty_tables(spark, docs, texts, ids, tmp_dir):
+    """run() is its stages one after another, each over all that the one before kept; nothing comes of nothing."""
+    docs.write.parquet(tmp_dir + "/documents.parquet")
+    out = corpus_pipeline.run(spark, tmp_dir).collect()
+    now = docs
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        now = function(spark, now, "")
+    now = now.collect()
+    want = Counter()
+    for r in now:
+        want[r.doc_id] += len(ids(r.text))
+    got = Counter()
+    for r in out:
+        got[r.doc_id] += r.length
+    assert got == want and len(got) > 20
+    for k, (_, function) in enumerate(corpus_pipeline.STAGES):
+        none = function(spark, docs.limit(0), "")
+        assert none.collect() == [] and (k == 4 or none.columns == docs.columns)
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+
+
+def test_copies_are_removed_beside_clashing_columns(spark, docs):
+    odd = docs.withColumn("_doc", F.lit("mine")).withColumn("_spans", F.lit("mine"))
+    out = substring_dedup.remove_copies(odd, substring_dedup.substring_dedup(docs))
+    assert out.columns == odd.columns and out.count() == docs.count() and {(r._doc, r._spans) for r in out.collect()} == {("mine", "mine")}
+
+
+def test_other_vocabularies_are_encoded_as_a_whole(tmp_path):
+    """A file with a normalizer or another rule of words gives the library's ids, too."""
+    spec = json.load(open(tokenizer_path()))
+    made = {"lower": {**spec, "normalizer": {"type": "Lowercase"}}, "space": {**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}},
+            "plain": {**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}}
+    some = ["One Two  three", "", "a\nB, c.", None, "don't stop 12345"]
+    for name, s in made.items():
+        (tmp_path / name).write_text(json.dumps(s))
+        library = Tokenizer.from_file(str(tmp_path / name))
+        encoder = tokens.Encoder(str(tmp_path / name))
+        assert not encoder.by_words
+        assert [array("I", x).tolist() for x in encoder.encode(some)] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert tokens.Encoder(tokenizer_path()).by_words
+
+
 def test_pipeline_equals_brute_force(spark, docs, texts, ids):
     """Each stage on its own input: what it keeps, in the columns of documents."""
     now = docs

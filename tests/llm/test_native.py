@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from framewright.llm import fingerprints, line_dedup, mixing, quality_rules
@@ -83,6 +85,79 @@ def test_rules_judge_each_language_by_itself(spark):
         assert kept - {100} == set(range(30)) | {50, 51}
 
 
+def test_a_text_is_not_its_own_reference(spark):
+    """Digits and signs that are the only text of their language, or most of its words, are junk all the same;
+    the texts of other languages are the reference then."""
+    rng = random.Random(16)
+    junk = [" ".join(f"{rng.randint(0, 10 ** 6)}%" for _ in range(3_000)) for _ in range(2)]
+    rows = [(k, prose(rng, 150), "en") for k in range(300)] + [(1000, junk[0], "zz"), (1001, junk[1], "yy"), (1002, prose(rng, 150), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert {r.doc_id for r in quality_rules.accepted(docs).collect()} == set(range(300)) | {1002}
+
+
+def js(a: list, b: list) -> float:
+    p, q = ([x / max(sum(c), 1) for x in c] for c in (a, b))
+    part = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+    return math.sqrt(max(sum(part(x, y) + part(y, x) for x, y in zip(p, q)) / 2, 0.0))
+
+
+def test_distances_match_brute_force(spark, corpus):
+    rng = random.Random(17)
+    mixed = [(500 + k, " ".join(rng.choice([f"{rng.randint(0, 99)}", "und", "der", "Ein", "Wort;", "ähnlich", "\u4e2d\u6587"]) for _ in range(rng.choice([20, 60, 300]))),
+              rng.choice(["de", None, "de", "fr"])) for k in range(60)]
+    rows = [(r.doc_id, r.text, r.lang) for r in corpus.select("doc_id", "text", "lang").collect()] + mixed
+    classes = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[.,;:?'\"()\-]", r"\p{N}", r"\p{L}"]
+
+    def counted(text):
+        left, out = text or "", []
+        for c in classes:
+            less = regex.sub(c, "", left)
+            out.append(len(left) - len(less))
+            left = less
+        return [*out, len(left)]
+
+    chars, word_lists = [counted(t) for _, t, _ in rows], [WORD.findall(t or "") for _, t, _ in rows]
+    solid = lambda c: sum(c) - c[1]
+    alike = lambda c: [solid(c) - c[3] - c[4], c[3], c[4]]
+    less = lambda a, b: [x - y for x, y in zip(a, b)]
+    total = [sum(c) for c in zip(*chars)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")).collect()}
+    kinds = Counter()
+    for k, (i, text, lang) in enumerate(rows):
+        members = [j for j, r in enumerate(rows) if lang is None or r[2] == lang]
+        counts = Counter(w for j in members for w in word_lists[j])
+        top = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w.encode()))[:32]
+        own, n = Counter(word_lists[k]), len(word_lists[k])
+        theirs = less([sum(c) for c in zip(*(chars[j] for j in members))], chars[k])
+        many = len(members) - 1 >= quality_rules.MIN_REFERENCE_DOCS
+        x = y = 0.0
+        if solid(chars[k]) >= quality_rules.MIN_CHARS_FOR_CHAR_RULE:
+            if many and solid(theirs) >= quality_rules.MIN_REFERENCE_CHARS:
+                x, kinds["own"] = js(chars[k], theirs), kinds["own"] + 1
+            elif solid(less(total, chars[k])) >= quality_rules.MIN_REFERENCE_CHARS:
+                x, kinds["all"] = js(alike(chars[k]), alike(less(total, chars[k]))), kinds["all"] + 1
+        if many and sum(counts.values()) - n >= quality_rules.MIN_REFERENCE_WORDS and n >= quality_rules.MIN_WORDS_FOR_WORD_RULE:
+            a = [own[w] for w in top]
+            b = [counts[w] - own[w] for w in top]
+            y, kinds["words"] = js([*a, n - sum(a)], [*b, sum(counts.values()) - n - sum(b)]), kinds["words"] + 1
+        r = got[i]
+        assert abs(r.char_distance - x) < 1e-9 and abs(r.word_distance - y) < 1e-9, (i, lang)
+        assert r.kept == (not r.base_failed and x <= quality_rules.MAX_CHAR_DISTANCE and y <= quality_rules.MAX_WORD_DISTANCE)
+    assert min(kinds[k] for k in ("own", "all", "words")) > 3
+
+
+def test_rules_with_names_of_their_own_steps(spark, corpus):
+    odd = corpus
+    for name in ("_t", "_words", "_lang", "_c0", "_row", "row", "u0", "c1", "_key", "_common"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    out = quality_rules.quality_rules(odd)
+    assert out.columns[:len(odd.columns)] == odd.columns
+    assert out.where(" AND ".join(f"{c} = 'mine'" for c in ("_t", "_words", "_lang", "_c0", "_row", "row", "u0", "c1", "_key", "_common"))).count() == corpus.count()
+    kept = quality_rules.accepted(odd)
+    assert kept.columns == odd.columns and {r._row for r in kept.collect()} == {"mine"}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.accepted(corpus).collect()}
+
+
 def test_line_dedup_by_site(spark):
     rows = [(k, f"menu\nown line {k}\nfooter", "a") for k in range(20)] + [(100 + k, f"rare {k}\nmenu", "small") for k in range(5)]
     rows += [(200 + k, "x\n" * (k % 2) + f"body {k}", "b") for k in range(12)] + [(300, None, "a"), (301, "", "a"), (302, "menu", None), (0, "menu\nsecond row", "a")]
@@ -140,6 +215,14 @@ def test_mixing_targets_and_budgets(spark, corpus, range_rows):
     assert again == sorted((str(r.i), r.taken) for r in out)
 
 
+def test_mixing_of_equal_keys_is_the_same_in_every_run(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_KEY_DIGITS", 1)  # 16 keys for 300 documents
+    rng = random.Random(18)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randint(1, 30)), rng.choice("ab")) for k in range(300)], "doc_id BIGINT, text STRING, source STRING")
+    runs = [sorted((r.i, r.taken) for r in mixing.shares(docs.repartition(n, F.rand(n)), range_rows=100).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mix_returns_whole_documents(corpus):
     out = mixing.mix(corpus)
     assert out.columns == corpus.columns
@@ -211,8 +294,41 @@ def test_fingerprint_counts_every_occurrence(spark):
     assert r.m < 0.75 and r.d < 0.75
 
 
+def edits(a: list, b: list) -> int:
+    """Edit distance of two lists of words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("n", [20, 40, 80, 160])
+def test_fingerprint_ranks_short_texts_as_the_edit_distance_does(spark, n):
+    """Texts with ever more changed words, and one with its sentences in another order, whose words and pairs of
+    words are nearly all the same: its likeness is low as its edit distance is high."""
+    rng = random.Random(n)
+    rows = []
+    for case in range(30):
+        words = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(n)]
+        sentences = [words[i:i + 5] for i in range(0, n, 5)]
+        moved = sentences[:]
+        while moved == sentences:
+            rng.shuffle(moved)
+        changed = [[f"x{k}" if k % every == 3 else w for k, w in enumerate(words)] for every in (n, 10, 5)]
+        others = [*changed, sum(moved, [])]
+        rows += [(case, k, " ".join(words), " ".join(o), edits(words, o)) for k, o in enumerate(others)]
+    df = spark.createDataFrame(rows, "i INT, k INT, a STRING, b STRING, e INT")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = df.groupBy("k").agg(F.avg(fingerprints.likeness(F.col("fa"), F.col("fb"))).alias("near"), F.avg("e").alias("e")).collect()
+    near = {r.k: r.near for r in got}
+    assert near[0] > near[1] > near[2]
+    assert near[3] < 0.45 and near[3] < near[1]
+
+
 def test_fingerprint_equals_a_plain_model(spark):
-    """Bins of the smallest hashes of (k-mer, number), in text order, with the places of long texts."""
+    """A bin's smallest hash of (k-mer, number) and the next one, in text order."""
     rng = random.Random(22)
     rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 5, 60, 400])))) for k in range(12)]
     df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "i INT, t STRING"), "t", "f")
@@ -224,10 +340,16 @@ def test_fingerprint_equals_a_plain_model(spark):
         seen[i, m] += 1
     ranks = spark.createDataFrame([(p, *x) for p, x in enumerate(keyed)], "p INT, i INT, a STRING, b STRING, n INT") \
         .select("p", "i", F.xxhash64(F.xxhash64("a", "b"), "n").alias("h")).collect()
-    bins: dict = {}
-    for r in sorted(ranks):
-        bins.setdefault(r.i, {}).setdefault((r.h % 2 ** 64) >> 58, []).append((r.h, r.p))
-    flat = [(i, b, [h for _, h in sorted((p, h) for h, p in sorted(e)[:2])]) for i, of in bins.items() for b, e in of.items()]
+    of: dict = {}
+    for r in ranks:
+        of.setdefault(r.i, []).append((r.h, r.p))
+    flat = []
+    for i, e in of.items():
+        e.sort()
+        first = {}
+        for j, (h, _) in enumerate(e):
+            first.setdefault((h % 2 ** 64) >> 58, j)
+        flat += [(i, b, [h for _, h in sorted({(p, h) for h, p in (e[j], e[(j + 1) % len(e)])})]) for b, j in first.items()]
     hashed = spark.createDataFrame(flat, "i INT, b INT, e ARRAY<BIGINT>").select("i", "b", F.concat(F.hex("b"), F.lit(":"), F.hex(F.xxhash64("e"))).alias("s"), F.col("e")[0].alias("h")).collect()
     for i, t in texts.items():
         if len(t.split()) >= 2:
