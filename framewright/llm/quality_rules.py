@@ -109,9 +109,9 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     totals = of_lang.where(F.col("_lang") != POOLED).unionByName(of_lang.agg(F.sum("_all").alias("_all")).select(F.lit(POOLED).alias("_lang"), "_all"))
     summed = ["_docs", *(f"_c{k}" for k in range(N_CLASSES))]
     every = chars.agg(*(F.sum(c).alias(c) for c in summed)).select(F.lit(POOLED).alias("_lang"), *summed)
-    pool = every.select(F.col("_lang").alias("_p"), F.array(*(F.col(f"_c{k}") for k in range(N_CLASSES))).alias("_pool"))
-    rows = chars.where(F.col("_lang") != POOLED).unionByName(every).withColumn("_p", F.lit(POOLED))
-    rows = rows.join(pool, "_p").join(totals, "_lang", "left").join(tops, "_lang", "left")
+    pool = every.select(F.array(*(F.col(f"_c{k}") for k in range(N_CLASSES)))).scalar()
+    rows = chars.where(F.col("_lang") != POOLED).unionByName(every).withColumn("_pool", pool)
+    rows = rows.join(totals, "_lang", "left").join(tops, "_lang", "left")
     top = F.coalesce("_top", F.array().cast(tops.schema["_top"].dataType))
     return rows.select("_lang", "_docs", F.coalesce("_all", F.lit(0)).alias("_all"), F.transform(top, lambda x: x["_w"]).alias("_common"),
                        F.coalesce(F.array_max(F.transform(top, lambda x: F.octet_length(x["_w"]))), F.lit(0)).alias("_longest"),
