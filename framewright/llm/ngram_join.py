@@ -8,8 +8,8 @@
 3. Two sets that are similar enough share an n-gram of their prefixes (of a set of n,
    the first n - ceil(t n) + 1). Prefix n-grams of a single class are dropped by an
    aggregate with map-side combine.
-4. Candidate pairs pass the length filter, the positional filter (shared prefix n-grams
-   and what can follow the last of them) and a suffix filter (a lower bound of the
+4. Candidate pairs pass the length filter, the positional filter (the first shared prefix
+   n-gram and what can follow it) and a suffix filter (a lower bound of the
    symmetric difference from hash-range counts), both inside the candidate join, then are
    verified once, on whole sets.
 
@@ -209,28 +209,24 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     wanted = rows.select("c").distinct().join(classes, "c").select("c", _known("doc_id").alias("d"))
 
     def detail(some: DataFrame) -> DataFrame:
-        """Rows with their class's counts by hash range, its prefix n-grams here in order, their places in the set, and
-        the row's own place among them."""
-        own = some.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
-        own = own.select("c", F.col("p.token").alias("tokens"), F.col("p.pos").alias("places"))
-        return some.join(classes.select("c", "fine"), "c").join(own, "c").withColumn("i", F.array_position("tokens", F.col("token")).cast("int"))
+        """Rows with their class's counts by hash range and its prefix n-grams here that stand before the row's own:
+        no more of the prefix goes through the shuffle of the candidate join."""
+        own = some.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p")).select("c", F.col("p.token").alias("tokens"))
+        before = F.slice("tokens", F.lit(1), F.array_position("tokens", F.col("token")).cast("int") - 1)
+        return some.join(classes.select("c", "fine"), "c").join(own, "c").withColumn("before", before).drop("tokens")
 
     def rest(x: DataFrame, y: DataFrame) -> DataFrame:
         need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent))
         # A pair is made once, at its first shared n-gram: prefixes are in one order, so nothing before it is shared. Of a
         # pair that needs this overlap it stands in the first n - need + 1 of both sets, and all else shared follows it.
-        first = ~F.arrays_overlap(F.slice("xtokens", F.lit(1), F.col("xi") - 1), F.slice("ytokens", F.lit(1), F.col("yi") - 1))
+        first = ~F.arrays_overlap("xbefore", "ybefore")
         most = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
         # What the counts by hash range differ by, the sets differ by at least.
         apart = F.aggregate(F.zip_with("xfine", "yfine", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-        # Beyond the shared prefix n-grams at most what follows the last of them is shared.
-        shared = F.array_intersect("xtokens", "ytokens")
-        last = lambda side: F.get(F.col(side + "places"), F.array_position(F.col(side + "tokens"), F.get(shared, F.size(shared) - 1)).cast("int") - 1)
-        bound = F.size(shared) + F.least(F.col("xn") - last("x") - 1, F.col("yn") - last("y") - 1)
         pairs = x.join(y, (F.col("xtoken") == F.col("ytoken")) & (F.col("xc") < F.col("yc")) & (F.col("xk") != F.col("yk"))
                        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
                        & (F.col("xpos") <= F.col("xn") - need) & (F.col("ypos") <= F.col("yn") - need) & (most >= need)
-                       & first & (apart <= F.col("xn") + F.col("yn") - 2 * need) & (bound >= need))
+                       & (apart <= F.col("xn") + F.col("yn") - 2 * need) & first)
         return pairs.select(F.col("xc").alias("a"), F.col("yc").alias("b"))
 
     with bucketed(_texts(docs, wanted, width), "texts", "c", "d") as texts:
