@@ -80,10 +80,11 @@ def _words(data: np.ndarray, cuts: np.ndarray, lower: bool):
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _FACTOR[4])
 
 
-def text_words(column: pa.Array, lower: bool = False):
-    """Yield ``(row, starts, ends, hashes)`` for each text; null counts as empty.
+def text_runs(column: pa.Array, lower: bool = False):
+    """Yield ``(row, bytes, inner, cut, starts, ends, hashes)`` for each run of texts of about ``CHUNK`` bytes.
 
-    Starts and ends are byte offsets in the text. Texts are hashed in runs of about ``CHUNK`` bytes.
+    Text ``row + k`` has the bytes ``inner[k]`` to ``inner[k + 1]`` and the words ``cut[k]`` to ``cut[k + 1]``;
+    starts and ends are byte offsets in the run. Null counts as empty.
     """
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.string())
@@ -100,11 +101,19 @@ def text_words(column: pa.Array, lower: bool = False):
         lo, hi = offsets[row], offsets[upto]
         inner = offsets[row:upto + 1] - lo
         starts, ends, hashes = _words(data[lo:hi], inner[:-1], lower)
-        cut = np.searchsorted(starts, inner)
-        for k in range(upto - row):
+        yield row, data[lo:hi], inner, np.searchsorted(starts, inner), starts, ends, hashes
+        row = upto
+
+
+def text_words(column: pa.Array, lower: bool = False):
+    """Yield ``(row, starts, ends, hashes)`` for each text; null counts as empty.
+
+    Starts and ends are byte offsets in the text. Texts are hashed in runs of about ``CHUNK`` bytes.
+    """
+    for row, _, inner, cut, starts, ends, hashes in text_runs(column, lower):
+        for k in range(len(inner) - 1):
             a, b = cut[k], cut[k + 1]
             yield row + k, starts[a:b] - inner[k], ends[a:b] - inner[k], hashes[a:b]
-        row = upto
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

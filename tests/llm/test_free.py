@@ -215,6 +215,68 @@ def test_substring_dedup_keeps_a_copy_of_every_word(spark):
     assert left[1] == texts[1] and left[5] == [] and len(left[2]) >= 460
 
 
+def fresh(rng, n):
+    return [f"{rng.choice('abcdefgh')}{rng.randint(0, 10 ** 6)}" for _ in range(n)]
+
+
+def test_substring_dedup_passages_inside_lines(spark):
+    """Passages copied into the middle of a line, as they are or with one word changed, are found to their ends."""
+    rng = random.Random(77)
+    kinds = {(51, False): 60, (51, True): 60, (70, True): 30, (30, False): 30}
+    rows, place = [], {}
+    for (n, changed), many in kinds.items():
+        for _ in range(many):
+            passage = fresh(rng, n)
+            copy = list(passage)
+            if changed:
+                copy[rng.randrange(n)] = "changed"
+            for words in (passage, copy):
+                before = rng.randint(30, 60)
+                place[len(rows)] = (n, changed, before)
+                rows.append((len(rows), " ".join(fresh(rng, before) + words + fresh(rng, rng.randint(100, 140)))))
+    found = defaultdict(list)
+    for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).where("kind = 'passage'").collect():
+        found[r.doc_id].append(r)
+    share, words = Counter(), Counter()
+    for doc, (n, changed, before) in place.items():
+        covered = {k for r in found[doc] for k in range(r.start_word, r.start_word + r.n_words)}
+        assert all(before <= k < before + n for k in covered)
+        classes = {r.class_id for r in found[doc]}
+        share[n, changed] += bool(covered) and classes == {r.class_id for r in found[doc ^ 1]}
+        words[n, changed] += len(covered) / n
+    share, words = ({k: v[k] / (2 * m) for k, m in kinds.items()} for v in (share, words))
+    assert min(share.values()) >= 0.9, (share, words)
+    assert words[51, False] >= 0.95 and words[51, True] >= 0.85, (share, words)
+
+
+def test_substring_dedup_passages_are_as_similar_as_asked():
+    """Against the exact Jaccard similarity of the words' shingles, whatever stands on the two sides."""
+    def grams(w):
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    rng = random.Random(5)
+    wide = 0
+    for _ in range(400):
+        core = [rng.random() for _ in range(16)]
+
+        def sides():
+            a = [rng.random() for _ in range(rng.randint(0, 40))]
+            b = list(a)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randint(0, len(b))
+                b[at:at + rng.randint(0, 2)] = [rng.random() for _ in range(rng.randint(0, 2))]
+            return a, b
+
+        (la, lb), (ra, rb) = sides(), sides()
+        x0, y0, x1, y1 = substring_dedup._reach(substring_dedup._onward(la, lb), substring_dedup._onward(ra, rb), 16, 0.8)
+        a, b = la[:x0][::-1] + core + ra[:x1], lb[:y0][::-1] + core + rb[:y1]
+        assert len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+        exact = [next((k for k, (p, q) in enumerate(zip(s, t)) if p != q), min(len(s), len(t))) for s, t in ((la, lb), (ra, rb))]
+        assert x0 >= exact[0] and x1 >= exact[1]
+        wide += a != b
+    assert wide > 50
+
+
 @pytest.mark.parametrize("fan_in", [2, 64])
 def test_packing_covers_every_id_once(docs, texts, ids, fan_in):
     rows = packing.pack(docs.withColumn("offset", F.lit("clash")), tokenizer_path(), window=64, most_open=3, fan_in=fan_in).collect()
