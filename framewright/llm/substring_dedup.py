@@ -221,12 +221,19 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
+def _shingle_sets(column: pa.Array):
+    """The sorted distinct shingles of each text; texts have ``SHINGLE`` words or more."""
+    for _, _, inner, cut, _, _, hashes in wordhash.text_runs(column, lower=True):
+        grams = wordhash.shingles(hashes, SHINGLE)  # those across two texts are in no slice
+        for k in range(len(inner) - 1):
+            yield np.unique(grams[cut[k]:cut[k + 1] - SHINGLE + 1])
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for (_, _, _, x), (_, _, _, y) in zip(wordhash.text_words(batch.column("ta"), True), wordhash.text_words(batch.column("tb"), True)):
-                x, y = np.unique(wordhash.shingles(x, SHINGLE)), np.unique(wordhash.shingles(y, SHINGLE))
+            for x, y in zip(_shingle_sets(batch.column("ta")), _shingle_sets(batch.column("tb"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             table = pa.Table.from_batches([batch]).select(["a", "b"]).rename_columns(["src", "dst"])
