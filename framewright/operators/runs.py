@@ -3,7 +3,7 @@ report, epoch estimate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: checkpoint folders and throughput-tool defaults ----------
@@ -42,20 +42,27 @@ def loss_curve(log_history: DataFrame, step: str = "step", loss: str = "loss", e
     return train.unionByName(ev)
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles as IEEE 754 has it: a step that took no time runs at infinite speed."""
+    a = a.cast("double")
+    at_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, F.when(F.isnan(a), float("nan")).otherwise(at_zero)).otherwise(F.try_divide(a, b))
+
+
 def throughput_report(steps: DataFrame, step: str = "step", elapsed: str = "elapsed_s",
                       tokens: str = "real_tokens", peak: str = "peak_gb", warmup: int = WARMUP_STEPS) -> DataFrame:
     """Drop the first ``warmup`` steps; mean/min/max step time,
-    tokens/s = sum(tokens) / sum(time), per-step min/max tokens/s; peak
-    memory over all steps (warm-up included).  The warm-up steps are a
+    tokens/s = sum(tokens) / sum(time), per-step min/max tokens/s (infinite where
+    a step took no time); peak memory over all steps (warm-up included).  The warm-up steps are a
     top-k of ``warmup`` rows; one aggregation computes the rest."""
     first = steps.select(step).orderBy(step).limit(warmup).withColumn("_warm", F.lit(True))
     d = steps.join(F.broadcast(first), step, "left")
     m = F.col("_warm").isNull()
-    tps = F.col(tokens) / F.col(elapsed)
+    tps = _ratio(F.col(tokens), F.col(elapsed))
     return d.agg(F.avg(F.when(m, F.col(elapsed))).alias("avg_step_s"),
                  F.min(F.when(m, F.col(elapsed))).alias("min_step_s"),
                  F.max(F.when(m, F.col(elapsed))).alias("max_step_s"),
-                 (F.sum(F.when(m, F.col(tokens))) / F.sum(F.when(m, F.col(elapsed)))).alias("avg_tokens_per_s"),
+                 _ratio(F.sum(F.when(m, F.col(tokens))), F.sum(F.when(m, F.col(elapsed)))).alias("avg_tokens_per_s"),
                  F.min(F.when(m, tps)).alias("min_tokens_per_s"), F.max(F.when(m, tps)).alias("max_tokens_per_s"),
                  F.count_if(m).cast("bigint").alias("measured_steps"),
                  F.max(peak).alias("peak_gb"))
@@ -70,5 +77,5 @@ def epoch_estimate(report: DataFrame, train_examples: int = DEFAULT_TRAIN_EXAMPL
     return report.select(
         F.lit(-(-train_examples // eff)).cast("bigint").alias("steps_per_epoch"),
         F.lit(tokens).cast("bigint").alias("tokens_per_epoch"),
-        (F.lit(float(tokens)) / F.col("avg_tokens_per_s")).alias("epoch_seconds"),
-        (F.lit(float(tokens)) / F.col("avg_tokens_per_s") / 60.0).alias("epoch_minutes"))
+        _ratio(F.lit(float(tokens)), F.col("avg_tokens_per_s")).alias("epoch_seconds"),
+        (_ratio(F.lit(float(tokens)), F.col("avg_tokens_per_s")) / 60.0).alias("epoch_minutes"))

@@ -162,3 +162,15 @@ def test_an_array_is_read_by_many_tasks(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_steps_without_time_run_at_infinite_speed(spark):
+    """Dividing by an elapsed time of zero is no error: the quotient is IEEE's, in warm-up steps and others."""
+    steps = spark.createDataFrame([(i, 0.0 if i in (2, 8) else 2.0, 10, 1.0) for i in range(10)], "step long, elapsed_s double, real_tokens long, peak_gb double")
+    r = J.throughput_report(steps).first()
+    assert (r["max_tokens_per_s"], r["min_tokens_per_s"], r["avg_tokens_per_s"], r["measured_steps"]) == (float("inf"), 5.0, 50 / 8.0, 5)
+    still = J.throughput_report(steps.withColumn("elapsed_s", F.lit(0.0)))
+    assert still.first()["avg_tokens_per_s"] == float("inf")
+    assert J.epoch_estimate(still).first()["epoch_seconds"] == 0.0
+    none = J.epoch_estimate(J.throughput_report(steps.withColumn("real_tokens", F.lit(0).cast("long")))).first()
+    assert none["epoch_minutes"] == float("inf")
