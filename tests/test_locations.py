@@ -156,3 +156,13 @@ def test_parameters_suffix_procedures_and_empty_bodies(spark):
     assert got == {("f", "p"): ("ebp+8", "stack"), ("my_f", "p"): ("ebp+8", "stack"), ("my_f", None): (None, "missing"), ("e", "q"): (None, "missing")}
     assert {r["function_name"] for r in run.function_frames().collect()} == {"f", "my_f", "e"}
     assert {r["fn_ord"]: r["fn"]["variable_mapping"][0]["assembly_reference"] for r in run.updated_functions().collect()} == {0: "ebp+8", 1: "ebp+8", 2: None, 3: None}
+
+
+def test_bodies_keep_the_partitions_asked_for(spark):
+    """Adaptive planning may not merge procedures by their compressed size: their lines are many times larger."""
+    from framewright.operators.extract import function_bodies
+    from tests.helpers import files_df, proc
+    files = files_df(spark, [(i, "", proc("f", [" ; int a;", "\tnop"]), [("f", ["a"])]) for i in range(40)])
+    _, bodies = function_bodies(files, partitions=13)
+    assert bodies.rdd.getNumPartitions() == 13 and bodies.count() == 40
+    assert "REPARTITION_BY_NUM" in bodies._jdf.queryExecution().executedPlan().toString()
