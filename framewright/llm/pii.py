@@ -3,10 +3,10 @@
 Generators propose spans, also loose and overlapping ones: addresses spelled with
 "[at]" and "dot", IP numbers with bracketed dots, card numbers inside longer digit
 runs or with unusual separators, phone numbers without their plus. Boosted trees
-judge a candidate by format and context. They learn from a bounded sample of
-documents: the spans of strict rules, rewritten spellings of these in their own
+judge a candidate by format and context. They learn from every document with
+candidates: the spans of strict rules, rewritten spellings of these in their own
 context, spans broken on purpose, and the candidates that no reading makes valid.
-A calibration part of the sample turns scores into probabilities and picks each
+A calibration part of these documents turns scores into probabilities and picks each
 kind's threshold; spans of the strict rules always stay.
 """
 
@@ -25,8 +25,7 @@ from framewright.llm.storage import stage
 from framewright.llm.text_expr import free_name, whole
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 3_000  # documents with candidates that the trees and the calibration are fitted on, at most
-SAMPLE_SPANS = 40  # strict spans of a sampled document, at most, and as many other candidates; the first ones
+TRAIN_BATCH = 10_000  # training rows a task holds at once
 TREES = 20
 DEPTH = 4
 PRECISION = 0.98  # of a kind's accepted candidates in the calibration part, at least
@@ -225,10 +224,10 @@ def _rewritten(kind: int, s: str, k: int) -> Iterator[tuple[str, int]]:
 
 
 def training_rows(text: str) -> Iterator[tuple[list[float], int]]:
-    """Features and label of a sampled document's strict spans, their rewritten and broken spellings, and
+    """Features and label of a document's strict spans, their rewritten and broken spellings, and
     its invalid candidates. A valid candidate outside the strict spans has no label."""
     strict = strict_spans(text)
-    for kind, start, end in strict[:SAMPLE_SPANS]:
+    for kind, start, end in strict:
         yield features(text, kind, start, end), 1
         k = zlib.crc32(text[start:end].encode())
         before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
@@ -242,9 +241,9 @@ def training_rows(text: str) -> Iterator[tuple[list[float], int]]:
                 n = len(_only_digits(text[start:end]))
                 yield features(other, kind, len(before), len(before) + n), 1
     clear = Held((s, e) for _, s, e in strict)
-    rest = [c for c in candidates(text) if not clear.meets(*c[1:]) and not valid(c[0], text[c[1]:c[2]])]
-    for c in rest[:SAMPLE_SPANS]:
-        yield features(text, *c), 0
+    for c in candidates(text):
+        if not clear.meets(*c[1:]) and not valid(c[0], text[c[1]:c[2]]):
+            yield features(text, *c), 0
 
 
 _SPAN = "STRUCT<kind: INT, start: BIGINT, end: BIGINT>"
@@ -254,43 +253,52 @@ _LOOSE_ARROW = pa.struct([*_SPAN_ARROW, ("x", pa.list_(pa.float64()))])
 
 
 def _proposed(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, copy, base, more``: strict spans, and candidates clear of them with their features, of every whole text."""
+    """``row, doc_id, copy, base, more, text``: strict spans, and candidates clear of them with their features, of every whole text;
+    the text itself only where it has one of these."""
     def run(batches):
         for batch in batches:
-            base, more = [], []
+            base, more, texts = [], [], []
             for text in batch.column(3):
                 text = text.as_py()
                 strict = strict_spans(text)
                 clear = Held((s, e) for _, s, e in strict)
                 base.append([dict(zip(("kind", "start", "end"), c)) for c in strict])
                 more.append([{"kind": c[0], "start": c[1], "end": c[2], "x": features(text, *c)} for c in candidates(text) if not clear.meets(*c[1:])])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.list_(_SPAN_ARROW)), pa.array(more, pa.list_(_LOOSE_ARROW))],
-                                             ["row", "doc_id", "copy", "base", "more"])
+                texts.append(text if base[-1] or more[-1] else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.list_(_SPAN_ARROW)), pa.array(more, pa.list_(_LOOSE_ARROW)), pa.array(texts, pa.string())],
+                                             ["row", "doc_id", "copy", "base", "more", "text"])
 
-    return docs.mapInArrow(run, f"row BIGINT, doc_id BIGINT, copy BIGINT, base ARRAY<{_SPAN}>, more ARRAY<{_LOOSE}>")
+    return docs.mapInArrow(run, f"row BIGINT, doc_id BIGINT, copy BIGINT, base ARRAY<{_SPAN}>, more ARRAY<{_LOOSE}>, text STRING")
 
 
-def _training(sample: DataFrame) -> DataFrame:
-    """``key, x, label`` from the texts of ``sample(key, text)``."""
+def _training(texts: DataFrame) -> DataFrame:
+    """``key, x, label`` from all of ``texts(key, text)``."""
+    def made(key, x, y):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["key", "x", "label"])
+
     def run(batches):
+        key, x, y = [], [], []
         for batch in batches:
-            key, x, y = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row, label in training_rows(text):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                doc_id = doc_id.as_py()
+                for row, label in training_rows(text.as_py()):
                     key.append(doc_id), x.append(row), y.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["key", "x", "label"])
+                    if len(key) == TRAIN_BATCH:
+                        yield made(key, x, y)
+                        key, x, y = [], [], []
+        yield made(key, x, y)
 
-    return sample.mapInArrow(run, "key BIGINT, x ARRAY<DOUBLE>, label INT")
+    return texts.mapInArrow(run, "key BIGINT, x ARRAY<DOUBLE>, label INT")
 
 
-def fit(sample: DataFrame):
-    """A function that adds ``p``, the calibrated probability, to rows with ``x``, and the threshold of each kind; None where the sample
-    lacks one of the labels."""
+def fit(texts: DataFrame):
+    """A function that adds ``p``, the calibrated probability, to rows with ``x``, and the threshold of each kind; None where the texts
+    lack one of the labels."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = stage(_training(sample).withColumn("v", array_to_vector("x")).withColumn("y", F.col("label").cast("double")), "pii-train")
+    rows = stage(_training(texts).withColumn("v", array_to_vector("x")).withColumn("y", F.col("label").cast("double")), "pii-train")
     fitting = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(3)) != 0
     n = rows.groupBy(fitting.alias("f"), "label").count().collect()
     if {r["label"] for r in n if r["f"]} != {0, 1}:
@@ -336,22 +344,19 @@ def _chosen(rows: DataFrame) -> DataFrame:
     return rows.select("row", "base", "found").mapInArrow(run, "row BIGINT, spans ARRAY<STRUCT<kind: INT, start: BIGINT, end: BIGINT, strict: BOOLEAN>>")
 
 
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, copy, spans``, a row per row of ``docs``: spans holds (kind, start, end, strict), by kind and start.
 
     kind is a place in ``KINDS``, start and end count code points, copy is a hash of the text. Null and
     empty texts have no span, an empty table no row; repeated rows get equal spans; other columns are left
-    out. Where the sample has no strict span or no other candidate to learn from, only strict spans are
-    returned. The trees see the ``sample_docs`` documents with candidates whose ids hash smallest, and of
-    a document ``SAMPLE_SPANS`` spans; every document is searched and judged.
+    out. Where no document has a strict span or another candidate to learn from, only strict spans are
+    returned. The trees, the calibration and the thresholds learn from every document with candidates, once
+    for each id and text.
     """
     t = whole(F.col(f"`{text}`").cast("string"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("copy"), t.alias("text"))
     found = stage(_proposed(docs), "pii-candidates")
-    some = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("doc_id", "copy").distinct()
-    sample = stage(some.orderBy(F.xxhash64("doc_id", "copy"), "doc_id", "copy").limit(sample_docs), "pii-sample")
-    texts = docs.join(F.broadcast(sample.withColumnsRenamed({"doc_id": "i", "copy": "c"})), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c")))
-    score, thresholds = fit(texts.dropDuplicates(["doc_id", "copy"]).select("copy", "text"))
+    score, thresholds = fit(found.where(F.col("text").isNotNull()).dropDuplicates(["doc_id", "copy"]).select("copy", "text"))
     strict = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.lit(True).alias("strict")))
     out = found.select("row", "doc_id", "copy", "base", strict.alias("strict"))
     if not thresholds:
@@ -366,11 +371,11 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samp
     return out.join(more, "row", "left").select("doc_id", "copy", F.coalesce("spans", "strict").alias("spans"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each found span replaced by its kind in angle brackets; spans that meet become one, of
     the first one's kind. Texts without a span, null ones too, stay as they are."""
     names = [free_name(docs.columns, x) for x in ("_i", "_copy", "_spans")]
-    found = find_spans(docs, doc_id, text, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "copy"])
+    found = find_spans(docs, doc_id, text).where(F.size("spans") > 0).dropDuplicates(["doc_id", "copy"])
     found = found.select(F.col("doc_id").alias(names[0]), F.col("copy").alias(names[1]), F.col("spans").alias(names[2]))
     t = F.col(f"`{text}`").cast("string")
     wide = docs.join(found, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(whole(t)) == F.col(names[1])), "left")

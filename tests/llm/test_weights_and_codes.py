@@ -114,6 +114,16 @@ def test_redacted_texts_hold_no_strict_span(spark, private):
     assert {r["doc_id"]: r["text"] for r in out.collect()}[2001] == "the host <IP> failed"
 
 
+def test_pii_learns_from_every_document_and_every_span(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda texts: (seen.append(texts.count()), (None, {}))[1])
+    docs = rows(spark, [(i, f"write to a{i}@b.org") for i in range(3050)] + [(0, "write to a0@b.org"), (-1, "nothing here")])
+    assert pii.find_spans(docs).count() == 3052 and seen == [3050]
+    strict_rows = [x for x, label in pii.training_rows(", ".join(f"a{i}@b.org" for i in range(90))) if label == 1]
+    assert len(strict_rows) >= 90
+    assert sum(label == 0 for _, label in pii.training_rows(", ".join(f"1.2.3.{i}" for i in range(300, 390)))) >= 90
+
+
 def test_pii_without_rows_or_candidates(spark):
     assert pii.op11_pii(rows(spark, []).limit(0)).collect() == []
     got = pii.op11_pii(rows(spark, [(1, "nothing here"), (2, "a@b.org")])).collect()
