@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from framewright.functions.text import parse_offset
 from framewright.operators.locations import LabelRun
+from framewright.plans.fixture_corpus import fixture_functions
+from framewright.session import cut_lineage
 from tests.helpers import files_df, proc
 
 
@@ -166,3 +168,32 @@ def test_bodies_keep_the_partitions_asked_for(spark):
     _, bodies = function_bodies(files, partitions=13)
     assert bodies.rdd.getNumPartitions() == 13 and bodies.count() == 40
     assert "REPARTITION_BY_NUM" in bodies._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_steps_are_written_as_parquet(spark):
+    kept = cut_lineage(spark.createDataFrame([("a", [1, 2]), (None, None)], "k string, n array<int>"))
+    assert kept.inputFiles() and all(f.endswith(".parquet") for f in kept.inputFiles())
+    assert sorted(kept.collect(), key=str) == sorted([("a", [1, 2]), (None, None)], key=str)
+
+
+def test_register_facts_are_read_in_the_row_of_a_block(spark):
+    run, rows = locate(spark, [" ; EBX = n", "\tmov ebx,1", " ; no fact", "\tnop", " ; XYZ = n", "\tnop", " ; EDI = m", "\tnop"], ["n", "m"])
+    assert rows == {"n": ("register ebx", None, "register"), "m": ("register edi", None, "register")}
+    grouped = next(line for line in plan_of(run.procedures).splitlines() if "Aggregate" in line and "collect_list" in line)
+    assert "comment_text" not in grouped
+
+
+def test_texts_of_a_variable_are_made_in_its_row(spark, tmp_dir):
+    spark.createDataFrame([(1, 1, 20), (1, 2, 33), (2, 1, 4), (2, 1, 3), (3, 1, 5)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (4, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_dir}/orders.parquet")
+    fns = fixture_functions(spark, tmp_dir)
+    assert "transform(" not in plan_of(fns)
+    got = {r["k"]: r for r in fns.collect()}
+    assert sorted(got) == [1, 2] and [v["variable_name"] for v in got[1]["fn_label"]["variable_mapping"]] == ["v1_20", "v2_33"]
+    assert got[2]["fn_asm"].split("\n") == [
+        "_fn_2\tproc\tnear", " ;\tvoid fn_2() {", "\tpush      ebp", "\tmov       ebp,esp", "\tpush      ecx", " ;\t    int v1_3;", "\tmov       dword ptr [ebp-77],0",
+        " ;\t    v1_3 = 7;", "\tmov       dword ptr [ebp-4],7", "\tpop       ebp", "\tret", "?debug L 2", "_fn_2\tendp"]
