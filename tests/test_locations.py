@@ -197,3 +197,12 @@ def test_texts_of_a_variable_are_made_in_its_row(spark, tmp_dir):
     assert got[2]["fn_asm"].split("\n") == [
         "_fn_2\tproc\tnear", " ;\tvoid fn_2() {", "\tpush      ebp", "\tmov       ebp,esp", "\tpush      ecx", " ;\t    int v1_3;", "\tmov       dword ptr [ebp-77],0",
         " ;\t    v1_3 = 7;", "\tmov       dword ptr [ebp-4],7", "\tpop       ebp", "\tret", "?debug L 2", "_fn_2\tendp"]
+
+
+def test_bodies_alone_make_no_line_table(spark, monkeypatch):
+    from framewright.operators import locations
+    kept = []
+    monkeypatch.setattr(locations, "cut_lineage", lambda df: kept.append(1) or cut_lineage(df))
+    run = LabelRun(files_df(spark, [(1, "", proc("f", [" ; x = 1", "\tnop"]), [("f", ["x"])])]))
+    assert [r["lname"] for r in run.bodies.collect()] == ["f"] and run.functions.count() == 1 and not kept
+    assert run.blocks.count() == 1 and run.found.count() == 1 and len(kept) == 1
