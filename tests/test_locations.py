@@ -206,3 +206,15 @@ def test_bodies_alone_make_no_line_table(spark, monkeypatch):
     run = LabelRun(files_df(spark, [(1, "", proc("f", [" ; x = 1", "\tnop"]), [("f", ["x"])])]))
     assert [r["lname"] for r in run.bodies.collect()] == ["f"] and run.functions.count() == 1 and not kept
     assert run.blocks.count() == 1 and run.found.count() == 1 and len(kept) == 1
+
+
+def test_blocks_are_made_in_the_row_of_a_body(spark):
+    """Lines are neither exploded nor sorted, and the comments of a block are kept once."""
+    body = ["\tpush ebx", " ", "\tadd esp,-8", " ; EBX = a", "\tmov [ebp-0fc],1", "\tmov [ebp - 0ch],1", "; int b;", "?live1@2: ; ESI = &b", "\tlea eax,[ebp+4]"]
+    run = LabelRun(files_df(spark, [(1, "", proc("f", body), [("f", ["a"])])]), materialize=None)
+    plan = run.every._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan and "comment_text" not in run.every.columns
+    rows = run.blocks.select("block_id", "write_off", "any_off", "active", "n_comment", "n_code", "stop_line").orderBy("block_id").collect()
+    assert [tuple(r) for r in rows] == [(0, None, None, [], 0, 2, None), (1, -12, -12, ["; EBX = a"], 1, 2, None), (2, None, 4, ["?live1@2: ; ESI = &b"], 2, 1, None)]
+    assert {(r["var"], r["reg"]) for r in run.registers().collect()} == {("a", "ebx"), ("b", "esi")}
+    assert [(r["stack_allocation_instruction"], r["alloc_index"]) for r in run.frames.collect()] == [("add esp,-8", 2)]
