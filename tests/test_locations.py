@@ -218,3 +218,21 @@ def test_blocks_are_made_in_the_row_of_a_body(spark):
     assert [tuple(r) for r in rows] == [(0, None, None, [], 0, 2, None), (1, -12, -12, ["; EBX = a"], 1, 2, None), (2, None, 4, ["?live1@2: ; ESI = &b"], 2, 1, None)]
     assert {(r["var"], r["reg"]) for r in run.registers().collect()} == {("a", "ebx"), ("b", "esi")}
     assert [(r["stack_allocation_instruction"], r["alloc_index"]) for r in run.frames.collect()] == [("add esp,-8", 2)]
+
+
+def test_new_labels_are_dealt_by_file_once(spark):
+    df = files_df(spark, [(1, "", proc("f", ["\tsub esp,4"]), [("f", ["a"]), ("", [])]), (2, "", None, [("g", [])]), (3, "", proc("h", ["\tnop"]), []),
+                          (4, "", proc("f", ["\tsub esp,8"]), [("f", [])]), (4, "", proc("g", ["\tsub esp,12"]), [("g", [])])])
+    run = LabelRun(df)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = run.updated_files(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 2
+    got = sorted((r["file_key"], [(f["function_name"], f["stack_allocation_size_bytes"]) for f in r["label"]["functions"]]) for r in run.updated_files(df).collect())
+    both = [("f", 8), ("f", 8), ("g", 12), ("g", 12)]  # files that share a key share their functions
+    assert got == [("1", [("f", 4), ("", None)]), ("2", [("g", None)]), ("3", []), ("4", both), ("4", both)]
