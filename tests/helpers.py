@@ -22,3 +22,11 @@ def files_df(spark, records):
 
 def proc(name, lines):
     return "\n".join([f"_{name}\tproc\tnear"] + lines + [f"_{name}\tendp"])
+
+
+def order_tables(spark, folder, orders=30):
+    """Tables ``orders`` and ``lineitem`` with the columns that the listing corpus reads: two orders a customer, up to five lines an order."""
+    spark.createDataFrame([(k, k // 2) for k in range(1, orders + 1)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, n, 7 * k + 3 * n) for k in range(1, orders + 1) for n in range(1, 2 + k % 5)],
+                          "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
