@@ -92,11 +92,14 @@ def ingest(spark: SparkSession, path: str, out: str, partitions: int, multiline:
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> None:
-    """A4: write records (one compact JSON object per line, or Parquet)."""
+                  partition_by: list[str] | None = None, compression: str | None = None) -> None:
+    """A4: write records (one compact JSON object per line, or Parquet); ``compression``: a codec that the readers know by the
+    files' names (``gzip`` for JSON), none by default."""
     cols = [c for c in ["file_id", "source_code_c", "assembly_code", "label"] if c in df.columns]
     extra = [c for c in (partition_by or []) if c not in cols]
     w = df.select(*cols, *extra).write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     getattr(w, fmt)(path)
