@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewright.operators.extract import c_functions
+from framewright.operators.extract import _brace_table, c_functions
 from framewright.operators.sanitize import sanitize_dataset, strip_debug
 from tests.helpers import files_df
 
@@ -135,3 +135,13 @@ def test_cuts_of_files_with_thousands_of_functions(spark):
     assert c_functions(df).where("c_function LIKE 'f%(int a) { if (a) { return %; } }'").count() == n
     assert len(bodies(spark, asm, [f"f{k}" for k in range(n)])) == n
     assert time.time() - began < 60
+
+
+def test_brace_table_takes_one_running_sum(spark):
+    """The depth is the only running sum of a text; a signature whose ``)`` stands in a later piece finds the brace there."""
+    texts = {"f({x}) { a } }": "f({x}) { a }", "f({) { } } f(){}": "f({) { }", "f({ } {) {{}}": "f({ } {) {{}}", "f() { } }": "f() { }", "f() {{ }": "", "} f() {}": "f() {}"}
+    df = files_df(spark, [(str(i), t, "", [("f", [])]) for i, t in enumerate(texts)])
+    cut = c_functions(df)
+    assert [r["c_function"] for r in cut.orderBy(F.col("file_key").cast("int")).collect()] == list(texts.values())
+    plan = df.select(_brace_table(F.col("source_code_c")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2  # of the chunks and over them
