@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import pandas as pd
+import pytest
 
 from framewright.operators import batching as H
 from framewright.operators import split as SP
@@ -101,3 +102,21 @@ def test_predict_batches_sees_whole_batches(spark):
 
     out = {r["idx"]: r["prediction"] for r in H.predict_batches(b, predictor).collect()}
     assert len(out) == 10 and out[0].startswith("P0/")
+
+
+def test_predictions_of_a_frame_come_together():
+    """Batches that end in a later frame are whole; a frame gives one frame of texts, not one a batch; a missing text raises."""
+    rows = pd.DataFrame({"idx": range(100, 123), "batch_no": [i // 4 for i in range(23)]})
+    frames = [rows.iloc[:0], rows.iloc[:10], rows.iloc[10:11], rows.iloc[11:21].reset_index(drop=True), rows.iloc[21:]]
+    seen = []
+
+    def predictor(pdf: pd.DataFrame) -> pd.Series:
+        seen.append(list(pdf["idx"]))
+        return pd.Series([f"{i}/{len(pdf)}" for i in pdf["idx"]])
+
+    out = list(H.predicted(frames, predictor, "idx"))
+    assert seen == [list(range(100 + i, min(104 + i, 123))) for i in range(0, 23, 4)]
+    assert [len(x) for x in out] == [8, 12, 3]
+    assert [t for x in out for t in x["prediction"]] == [f"{i}/{4 if i < 120 else 3}" for i in range(100, 123)]
+    with pytest.raises(ValueError):
+        list(H.predicted(frames, lambda pdf: pd.Series(["x"]), "idx"))
